@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bpe", "packing", "rules", "media"]
+MODULES = ["bpe", "packing", "rules", "media", "suffixes", "sketches"]
 
 
 def gather(name: str) -> dict:

@@ -16,6 +16,8 @@ import numpy as np
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93))
 INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in BASES)
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 BYTE_HASHES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -63,12 +65,12 @@ class Prefix:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each ``width`` consecutive values, in log2(width) passes."""
+def sliding(least: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum or maximum of each ``width`` consecutive values, in log2(width) passes."""
     out, have = values, 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        out = least(out[: len(out) - step], out[step:])
         have += step
     return out
 
@@ -76,14 +78,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def runs(prefix: Prefix, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of the documents that begin at ``starts`` (the last entry is the end of all symbols).
 
-    Returns arrays (document, anchor, first window, last window); positions count from the beginning of the
-    block. A document of fewer than ``length`` symbols has no run. Text with a period of under ``length``
+    Returns arrays (document, anchor, first window, last window, ties); positions count from the beginning of
+    the block. Ties are anchors that stand twice within a window's reach, so that windows of one run may be
+    equal. A document of fewer than ``length`` symbols has no run. Text with a period of under ``length``
     could make a run of any size; runs are cut at ``length`` windows, which changes no window's anchor.
     """
     if int(starts[-1]) < length:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    low = sliding_min(prefix.grams(gram), length - gram + 1)  # by first position of the window
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
+    grams, width = prefix.grams(gram), length - gram + 1
+    low = sliding(np.minimum, grams, width)  # by first position of the window
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = np.flatnonzero(grams == sliding(np.maximum, np.concatenate((edge, low, edge)), width))
+    again = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (chosen[1:] - chosen[:-1] < length))
+    ties = grams[chosen[again]]
     begins, ends = starts[:-1], starts[1:] - length  # of the windows of a document
     whole = ends >= begins
     cuts = np.unique(np.concatenate((begins[whole], ends[whole] + 1, np.flatnonzero(low[1:] != low[:-1]) + 1)))
@@ -101,11 +109,35 @@ def runs(prefix: Prefix, starts: np.ndarray, length: int, gram: int) -> tuple[np
         ends_at = lasts[row]
         firsts, document = firsts[row] + nth * length, document[row]
         lasts = np.minimum(firsts + length - 1, ends_at)
-    return document, low[firsts], firsts, lasts
+    return document, low[firsts], firsts, lasts, ties
 
 
-def context_keys(prefixes: tuple[Prefix, Prefix], firsts: np.ndarray, lasts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for the symbols of each context."""
-    stops = lasts + length
-    size = (stops - firsts).astype(np.uint64) * BASES[1]
-    return mix(prefixes[0].stretch(firsts, stops) + size), mix(prefixes[1].stretch(firsts, stops) ^ size)
+class Bytes:
+    """Documents as their UTF-8 bytes."""
+
+    def __init__(self, length: int = 100, gram: int = 32):
+        self.length, self.gram, self.bytes_per_anchor = length, gram, (length - gram + 2) / 2
+
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts of the documents and the end, a hash of each symbol, the raw bytes)."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        return np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64), BYTE_HASHES[raw], raw
+
+
+class Words:
+    """Documents as their words, split at ASCII white space, each word as a hash of its bytes."""
+
+    def __init__(self, length: int = 20, gram: int = 5):
+        self.length, self.gram, self.bytes_per_anchor = length, gram, 6 * (length - gram + 2) / 2
+
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        space = SPACE[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(raw) and not space[0]:
+            edges = np.concatenate(([0], edges))
+        begins, ends = edges[0::2], edges[1::2]
+        hashes = mix(Prefix(BYTE_HASHES[raw]).stretch(begins, ends) + (ends - begins).astype(np.uint64) * BASES[1]) if len(begins) else np.zeros(0, np.uint64)
+        borders = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
+        return np.searchsorted(begins, borders).astype(np.int64), hashes, None
+
