@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bpe", "packing", "rules", "media", "suffixes", "sketches"]
+MODULES = ["bpe", "neighbours", "packing", "rules", "media", "suffixes", "automaton", "urls", "simhash", "sketches"]
 
 
 def gather(name: str) -> dict:
