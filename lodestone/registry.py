@@ -1,4 +1,6 @@
 """All queries of the library by name, and their DuckDB twins."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import search, text_web  # noqa: F401
+from .plans.common import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
