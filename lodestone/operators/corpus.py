@@ -190,7 +190,7 @@ def diversified(weighted: DataFrame, topics: list[str], alpha: float = 0.3, by:
     whole = Window.partitionBy(by)
     diversity = sum((F.col(t) / (F.sum(t).over(whole) + 1) for t in topics), F.lit(0.0))
     out = weighted.withColumn("diversity_score", F.round(diversity, 6))
-    return out.withColumn("combined_score", F.round((1 - alpha) * F.col(score) + alpha * F.col("diversity_score"), 6))
+    return out.withColumn("combined_score", F.round((1 - alpha) * F.col(score) + alpha * F.col("diversity_score"), 7))
 
 
 def topic_arrays(weighted: DataFrame, topics: list[str], n: int = 5, by: str = "query_id") -> DataFrame:

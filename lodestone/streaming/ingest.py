@@ -39,10 +39,14 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def sync(stream: DataFrame, store: str, checkpoint: str) -> DataFrame:
     """Append the documents whose URL the store lacks, batch by batch; a repeated batch adds nothing."""
     spark = stream.sparkSession
-    schema = stream.schema
+    schema, names = stream.schema, stream.columns
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(store).select(*names)
 
     def send(batch: DataFrame, number: int) -> None:
-        held = spark.read.schema(schema).parquet(store)
+        # What this batch wrote in an earlier attempt does not count as held.
+        held = spark.read.schema(schema).parquet(store).where(F.col("batch") != number).select(*names)
         fresh = unsent(batch, held)
         first = insert_or_ignore(held.limit(0), fresh, order="page_id")
         # A path of its own for each batch: a retried batch overwrites what it wrote before.
@@ -50,7 +54,7 @@ def sync(stream: DataFrame, store: str, checkpoint: str) -> DataFrame:
 
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/batch=-1")
     stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(store)
+    return stored()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
