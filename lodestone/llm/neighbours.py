@@ -23,13 +23,14 @@ SAMPLE = 1500
 SAMPLE_BYTES = 100_000
 HASHED = 1024
 LATENT = 48
-NEIGHBOURS = 25
-SHARPNESS = 12
+#: Chosen on a validation fold of the training rows (crc32 mod 5 = 1): fewest errors, then least log loss.
+NEIGHBOURS = 9
+SHARPNESS = 30
 FOLDS = 5
 THRESHOLD = 0.3
 BANDS = 12
 SHAPES = 9
-SHAPE_WEIGHT = 2.5
+SHAPE_WEIGHT = 4
 WIDTH = HASHED + SHAPES * (BANDS + 1)
 SLOT = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
 UPPER = bytes(set(range(256)) - set(range(65, 91)))
