@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import table  # noqa: F401
+from ..storage import materialise, shared_folder  # noqa: F401
+
 #: Rows that Arrow hands to Python at once. Texts may be long, so a batch is kept small.
 BATCH_ROWS = 1000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SIGN = 1 << 63
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -71,7 +48,3 @@ def signed(values: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's LONG."""
     return values.view(np.int64)
 
-
-def lower_az(data: bytes) -> bytes:
-    """A-Z in lower case, nothing else changed: what ``bytes.lower`` does."""
-    return data.lower()

@@ -36,7 +36,10 @@ SEGMENTS = (13, 13, 13, 13, 12)
 CROWD = 128
 #: Near copies: words in a shingle, least similarity, segments of the ring, and how many may differ.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_SEGMENTS, COPY_DIFFERENCES = 5, 0.8, 20, 9
-SMALL = 16
+#: Up to so many documents under a key, all pairs are candidates.
+SMALL = 48
+#: Shingles of a document, the first in hash order, that tell how near it is to the middle of its crowd.
+SKETCH = 256
 
 
 def shingle_hashes(data: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -175,6 +178,21 @@ def signatures(docs: DataFrame, size: int, segments: int, key: str, text: str) -
     return arrow_map(docs.select(key, text), run, f"{key} {kind}, ring array<long>, shingles binary")
 
 
+def crowding(signed: DataFrame) -> DataFrame:
+    """(doc_id, crowd): how many of the given documents hold each of a document's first SKETCH shingles, on average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            sets = [np.frombuffer(x, "<u4")[:SKETCH].astype(np.int64) for x in batch.column("shingles").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["doc_id", "s"])
+
+    held = materialise(arrow_map(signed.select("doc_id", "shingles"), run, "doc_id long, s long"), "sketches")
+    counts = materialise(held.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "counts")
+    return held.join(counts, "s").groupBy("doc_id").agg(F.avg("n").alias("crowd"))
+
+
 def similar(pairs: DataFrame, least: float) -> DataFrame:
     """(u, v) of the pairs whose shingle sets ``s``, ``t`` have Jaccard similarity ``least`` or more."""
 
@@ -198,19 +216,32 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
 
     The ring has ``segments`` minima; two documents of similarity s agree in each with probability s. Chains
     let ``differences`` of them differ in all, so their first segments are equal, and documents are dealt by
-    those. Under a key of up to SMALL documents all pairs are candidates; under a larger one, each document
-    with the key's smallest, which with ``segments`` keys a document links groups without pairs in the square
-    of their size. Candidates are checked on their whole shingle sets.
+    those. Under a key of up to SMALL documents all pairs are candidates. Under a larger one, each document
+    meets four others: the smallest, and the three whose shingles are the most common in the crowd, which
+    are nearest to the text that the copies come from. With up to ``segments`` keys a document that links
+    groups without pairs in the square of their size. Candidates are checked on their whole shingle sets.
     """
     equal = next(n for n in range(segments, 0, -1) if n * differences < segments)  # segments of a chain that must be equal
     signed = materialise(signatures(docs.where("doc_id IS NOT NULL"), size, segments, "doc_id", "text"), "rings")
     starts = [F.struct(F.lit(i).alias("k"), F.xxhash64(*[F.col("ring")[(i + j) % segments] for j in range(equal)]).alias("v")) for i in range(segments)]
     keyed = signed.select("doc_id", F.explode(F.array(*starts)).alias("x")).select("doc_id", "x.k", "x.v")
-    sizes = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "keys")
+    sizes = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     dealt = materialise(keyed.join(sizes, ["k", "v"]), "dealt")
     few = dealt.where(F.col("n") <= SMALL)
     pairs = few.alias("a").join(few.alias("b"), ["k", "v"]).where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"))
-    stars = dealt.where(F.col("n") > SMALL).where("least < doc_id").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
+    many = dealt.where(F.col("n") > SMALL)
+    central = crowding(signed.join(many.select("doc_id").distinct(), "doc_id", "left_semi"))
+    known = materialise(many.join(central, "doc_id"), "many")
+    pivots = known.groupBy("k", "v").agg(F.min("doc_id").alias("first"), F.max(F.struct("crowd", (-F.col("doc_id")).alias("d"))).alias("m1"))
+    for i in (2, 3):
+        # The next below the one before: a second and third maximum by plain aggregation.
+        before = materialise(pivots, "pivots")
+        rank = F.struct("crowd", (-F.col("doc_id")).alias("d"))
+        next_ = known.join(before.select("k", "v", f"m{i - 1}"), ["k", "v"]).where(rank < F.col(f"m{i - 1}")).groupBy("k", "v").agg(F.max(rank).alias(f"m{i}"))
+        pivots = before.join(next_, ["k", "v"], "left")
+    met = materialise(pivots.select("k", "v", F.array_compact(F.array("first", *[-F.col(f"m{i}.d") for i in (1, 2, 3)])).alias("w")), "pivots")
+    stars = known.select("k", "v", "doc_id").join(met, ["k", "v"]).select("doc_id", F.explode(F.array_distinct("w")).alias("w"))
+    stars = stars.where("w <> doc_id").select(F.least("w", "doc_id").alias("u"), F.greatest("w", "doc_id").alias("v"))
     candidates = materialise(pairs.unionByName(stars).distinct(), "candidates")
     sets = signed.select("doc_id", "shingles")
     one = candidates.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s")), "u")

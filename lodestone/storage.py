@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
@@ -18,7 +20,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: iterations cut their lineage so, and lost executors cost no rework."""
+    """Write ``df`` to shared storage and read it back.
+
+    Lineage ends there, so lost executors cost no rework, and the planner knows the table's size.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete what this application's ``materialise`` wrote, once no result needs it. Returns how many tables went."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    held = " ".join(keep.inputFiles()) if keep is not None else ""
+    hadoop, gone = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
+    for path in paths:
+        if path.rsplit("/", 1)[-1] in held:
+            _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+        else:
+            at = hadoop.Path(path)
+            gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return gone

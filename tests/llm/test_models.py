@@ -92,6 +92,24 @@ def test_copies_stay_once(spark):
     assert {r.doc_id for r in simhash.without_copies(docs).collect()} == alone
 
 
+def test_copies_around_a_text_that_is_not_the_first(spark):
+    """A crowd of copies, each like the text in its middle but not like each other, is one group."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        if i != 140:
+            for at in rng.sample(range(5, 195), 3):
+                own[at] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(word() for _ in range(100))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash.without_copies(docs).collect())
+    assert kept == [0, *range(1000, 1020)]
+
+
 def test_automaton_is_a_probability():
     rng = random.Random(5)
     words = [b"a", b"b", b"c", b"d", b""]

@@ -71,3 +71,10 @@ def test_other_writers(spark, tmp_path):
     assert sorted(r._id for r in merged.collect()) == ["x_1", "y_1"]
     (tmp_path / "gaz.tsv").write_text("place\t48.5\t9.0\tDE\tP\n")
     assert readers.gazetteer_file(spark, str(tmp_path / "gaz.tsv")).where(F.col("country_code") == "DE").count() == 1
+
+
+def test_sweep(spark):
+    from lodestone.storage import materialise, sweep
+
+    held, other = materialise(spark.range(5), "held"), materialise(spark.range(3), "other")
+    assert other.count() == 3 and sweep(spark, keep=held) >= 1 and held.count() == 5
