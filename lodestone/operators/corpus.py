@@ -103,7 +103,7 @@ def rake(docs: DataFrame, k: int | None = None) -> DataFrame:
     if k is None:
         return scored
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 #: Places of the demonstration gazetteer; their names are words of the test corpus.
@@ -198,7 +198,7 @@ def topic_arrays(weighted: DataFrame, topics: list[str], n: int = 5, by: str = "
     left, out = weighted, None
     for i, t in enumerate(topics):
         order = Window.partitionBy(by).orderBy(F.desc(t), "doc_id")
-        picked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(by, F.lit(i).alias("topic"), "rank", "doc_id")
+        picked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(by, F.lit(i).alias("topic"), F.col("rank").cast("long").alias("rank"), "doc_id")
         left = left.join(picked.select(by, "doc_id"), [by, "doc_id"], "left_anti")
         out = picked if out is None else out.unionByName(picked)
     return out

@@ -111,7 +111,7 @@ class Ranker:
         """(query_id, rank, doc_id, prediction)."""
         scored = self.model.transform(self.assembler.transform(rows)).withColumn("prediction", F.round("prediction", 6))
         order = Window.partitionBy("query_id").orderBy(F.desc("prediction"), "doc_id")
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "prediction")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long")).select("query_id", "rank", "doc_id", "prediction")
 
     def importance(self) -> dict[str, float]:
         return dict(zip(self.columns, self.model.featureImportances.toArray().tolist()))

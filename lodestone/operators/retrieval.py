@@ -37,7 +37,7 @@ def query_terms(queries: DataFrame, tokens: Column | None = None) -> DataFrame:
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "doc_id") -> DataFrame:
     """Rank from 1 within ``by``, by falling score, ties by key; Catalyst limits groups before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.desc(score), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene", idf_method: str | None = None, k: int = 10, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, pad: bool = False, tokens: Column | None = None) -> DataFrame:
