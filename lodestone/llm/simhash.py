@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ CROWD = 128
 COPY_SHINGLE, COPY_SIMILARITY, COPY_SEGMENTS, COPY_DIFFERENCES = 5, 0.8, 20, 9
 #: Up to so many documents under a key, all pairs are candidates.
 SMALL = 48
+#: Documents, and bytes of their shingle sets, in a block of a larger key.
+BLOCK, BLOCK_BYTES = 256, 1 << 24
 #: Shingles of a document, the first in hash order, that tell how near it is to the middle of its crowd.
 SKETCH = 256
 
@@ -211,20 +214,67 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
     return arrow_map(pairs.select("u", "v", "s", "t"), run, "u long, v long")
 
 
+def across(many: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v) of all pairs that share a key of ``many``, differ in label and have similarity ``least`` or more.
+
+    Under each key, the documents outside its most frequent label meet all. Both sides are dealt by hash into
+    blocks of bounded size, and each pair of blocks is compared in a task: no group of rows grows with the key.
+    """
+    named = many.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k", "v", "doc_id", "bytes", F.coalesce("label", "doc_id").alias("label"))
+    named = materialise(named.groupBy("k", "v", "doc_id", "label").agg(F.sum("bytes").alias("bytes")), "named")
+    parts = named.groupBy("k", "v", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    crowds = parts.groupBy("k", "v").agg(F.sum("n").alias("n"), F.sum("bytes").alias("b"), F.max(F.struct("n", "bytes", "label")).alias("top")).where("n > top.n")
+    blocks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)).cast("int")
+    crowds = materialise(crowds.select("k", "v", F.col("top.label").alias("most"), blocks(F.col("n") - F.col("top.n"), F.col("b") - F.col("top.bytes")).alias("rows"), blocks(F.col("n"), F.col("b")).alias("columns")), "crowds")
+    held = materialise(named.drop("bytes").join(crowds, ["k", "v"]), "apart").join(sets, "doc_id")
+    own = lambda size: F.pmod(F.xxhash64("doc_id"), F.col(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1))
+    rest = held.where("label <> most").select("k", "v", own("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("rest"), "doc_id", "label", "shingles")
+    whole = held.select("k", "v", every("rows").alias("i"), own("columns").alias("j"), F.lit(False).alias("rest"), "doc_id", "label", "shingles")
+
+    def run(cell: pa.Table) -> pa.Table:
+        one, all_ = cell.filter(cell["rest"]), cell.filter(pc.invert(cell["rest"]))
+        found_u, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if one.num_rows and all_.num_rows:
+            ids, names = all_["doc_id"].to_numpy(), all_["label"].to_numpy()
+            each = [np.frombuffer(x, "<u4") for x in all_["shingles"].to_pylist()]
+            sizes = np.array([len(x) for x in each])
+            values, owners = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
+            order = np.argsort(values, kind="stable")
+            owners = owners[order]
+            values, starts = np.unique(values[order], return_index=True)
+            counts = np.diff(np.append(starts, len(owners)))
+            for doc, label, x in zip(one["doc_id"].to_pylist(), one["label"].to_pylist(), one["shingles"].to_pylist()):
+                mine = np.frombuffer(x, "<u4")
+                at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+                at = at[values[at] == mine]
+                n = counts[at]
+                runs = np.repeat(starts[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
+                both = np.bincount(owners[runs], minlength=len(each))
+                hit = (both >= least * (len(mine) + sizes - both)) & (names != label)
+                found_u.append(np.minimum(ids[hit], doc))
+                found_v.append(np.maximum(ids[hit], doc))
+        return pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v)})
+
+    return rest.unionByName(whole).groupBy("k", "v", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
 def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, segments: int = COPY_SEGMENTS, differences: int = COPY_DIFFERENCES) -> DataFrame:
     """(node, label): near copies by doc_id, with the smallest doc_id of their group.
 
     The ring has ``segments`` minima; two documents of similarity s agree in each with probability s. Chains
     let ``differences`` of them differ in all, so their first segments are equal, and documents are dealt by
     those. Under a key of up to SMALL documents all pairs are candidates. Under a larger one, each document
-    meets four others: the smallest, and the three whose shingles are the most common in the crowd, which
-    are nearest to the text that the copies come from. With up to ``segments`` keys a document that links
-    groups without pairs in the square of their size. Candidates are checked on their whole shingle sets.
+    first meets four others: the smallest, and the three whose shingles are the most common in the crowd,
+    which are nearest to the text that the copies come from. That links most groups without pairs in the
+    square of their size. Pairs of a crowd that it leaves in different groups are then all compared
+    (``across``), so a crowd is connected as all its pairs would connect it. Candidates are checked on their
+    whole shingle sets.
     """
     equal = next(n for n in range(segments, 0, -1) if n * differences < segments)  # segments of a chain that must be equal
     signed = materialise(signatures(docs.where("doc_id IS NOT NULL"), size, segments, "doc_id", "text"), "rings")
     starts = [F.struct(F.lit(i).alias("k"), F.xxhash64(*[F.col("ring")[(i + j) % segments] for j in range(equal)]).alias("v")) for i in range(segments)]
-    keyed = signed.select("doc_id", F.explode(F.array(*starts)).alias("x")).select("doc_id", "x.k", "x.v")
+    keyed = signed.select("doc_id", F.length("shingles").cast("long").alias("bytes"), F.explode(F.array(*starts)).alias("x")).select("doc_id", "bytes", "x.k", "x.v")
     sizes = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     dealt = materialise(keyed.join(sizes, ["k", "v"]), "dealt")
     few = dealt.where(F.col("n") <= SMALL)
@@ -246,7 +296,10 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
     sets = signed.select("doc_id", "shingles")
     one = candidates.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s")), "u")
     both = one.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("t")), "v")
-    return components(similar(both, least))
+    links = materialise(similar(both, least), "links")
+    labels = components(links)
+    more = materialise(across(many, labels, sets, least), "more")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

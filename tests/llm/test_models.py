@@ -110,6 +110,25 @@ def test_copies_around_a_text_that_is_not_the_first(spark):
     assert kept == [0, *range(1000, 1020)]
 
 
+def test_copies_of_a_crowd_connect_what_brute_force_connects(spark, monkeypatch):
+    """Pairs of near copies in a crowd on one template, far from each other pair and from any pivot."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template, rows = [word() for _ in range(150)], []
+    for i in range(60):
+        own = [*template, *(word() for _ in range(60))]
+        rows.append((i, " ".join(own)))
+        own[rng.randrange(150)] = word()
+        own[rng.randrange(155, 205)] = word()
+        rows.append((1000 + i, " ".join(own)))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert links == {(i, 1000 + i) for i in range(60)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r.label, r.node) for r in simhash.copies(docs).collect() if r.label != r.node} == links
+
+
 def test_automaton_is_a_probability():
     rng = random.Random(5)
     words = [b"a", b"b", b"c", b"d", b""]
