@@ -1,14 +1,15 @@
 """Language-model scores by a weighted backoff automaton.
 
-Unigrams are counted exactly over all training tokens. Bigrams and trigrams are counted exactly, over all
-training tokens too, among the most frequent words; absolute discounting makes probabilities of them, and
-what it takes off goes to backoff. N-grams become states, each word an arc with its log-probability, and a
-state without an arc for the next word has a failure arc to the state of the shorter context, which costs
-the backoff weight. A text is one traversal from left to right.
-
-The root has arcs for the words of a head of bounded size. Words beyond it are as many as the corpus has,
-so no task holds them all: the traversal leaves them open (they fall back to the root and lead there), and
-a join with the counts adds their unigram log-probabilities.
+All unigrams, bigrams and trigrams of the training tokens are counted exactly, those seen once too; absolute
+discounting makes probabilities of them, and what it takes off goes to backoff. N-grams become states, each
+word an arc with its log-probability, and a state without an arc for the next word has a failure arc to the
+state of the shorter context, which costs the backoff weight. A text is one path from left to right.
+
+States and arcs are as many as the corpus has n-grams, so no task holds them all. They are tables
+(``model``). Where a path stands depends on the last two words alone, so each token finds its arc by a join
+with the trigrams, and the tokens without one follow the failure arcs by joins with states and bigrams.
+``Automaton`` is the same in memory. Words of a head of bounded size are numbered by rank, which keeps the
+tables small; others by 63 bits of a hash.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, encoded, materialise, remainder, table
 
-#: At most so many words have arcs at the root, stand in bigrams, and stand in trigrams.
-HEAD, PAIRS, TRIPLES = 1 << 18, 512, 64
+#: At most so many words are numbered by rank and have their unigram scores in each task.
+HEAD = 1 << 18
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
 END = b""
 BITS = 20
-FLUSH = 1_000_000
+#: Stands before a text's first word; no word has this number.
+START = 1 << 40
+FLUSH = 250_000
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -138,30 +143,78 @@ def head_of(vocabulary: DataFrame, size: int) -> DataFrame:
     return vocabulary.where(F.lit(False)) if least is None else vocabulary.where(level >= least)
 
 
-def grams_of(docs: DataFrame, words: list[bytes], triples: int, text: str = "text") -> dict[tuple[int, ...], int]:
-    """Counts of all bigrams among ``words`` and trigrams among the first ``triples`` of them.
+def number(ids: dict[bytes, int], word: bytes) -> int:
+    """The word's rank in the head, or a negative hash."""
+    found = ids.get(word)
+    return -1 - (xxhash.xxh64_intdigest(word) >> 1) if found is None else found
 
-    At most len(words)**2 + triples**3 sums reach the driver, however large the corpus.
-    """
-    ids = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
+
+def paths(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the list, word but one before, word before, word) of all words of lists of numbers."""
+    words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    owners = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.where(place > 0, np.roll(words, 1), START)
+    return owners, np.where(place > 1, np.roll(words, 2), START), before, words
+
+
+def model(training: DataFrame, vocabulary: DataFrame, ids, rest: int, text: str = "text") -> tuple[DataFrame, ...]:
+    """Unigrams (w, p1), bigram arcs (v, w, p2), trigram arcs (u, v, w, p3), and states (v, weight1), (u, v, weight2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[int] = Counter()
-        get = ids.value.get
         for batch in batches:
-            for data in encoded(batch, text):
-                found = [get(w, 0) for w in tokens(data)]
-                held.update([a << 10 | b for a, b in zip(found, found[1:]) if a and b])
-                held.update([(a << 10 | b) << 10 | c for a, b, c in zip(found, found[1:], found[2:]) if 0 < a <= triples and 0 < b <= triples and 0 < c <= triples])
-        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int64()), pa.array([*held.values()], pa.int64())], ["gram", "c"])
+            lists = pa.array([[number(ids.value, w) for w in tokens(data)] for data in encoded(batch, text)], pa.list_(pa.int64()))
+            _, u, v, w = paths(lists)
+            keep = v != START
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (u, v, w)], ["u", "v", "w"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([number(ids.value, w) for w in batch.column("word").to_pylist()], pa.int64()), batch.column("c")], ["w", "c"])
 
-    sums = arrow_map(docs.select(text), run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
-    out = {}
-    for g, c in zip(sums.column("gram").to_pylist(), sums.column("c").to_pylist()):
-        gram = ((g >> 20) - 1, (g >> 10 & 1023) - 1, (g & 1023) - 1)
-        out[gram if gram[0] >= 0 else gram[1:]] = c
-    # A trigram's context must be a kept bigram.
-    return {g: c for g, c in out.items() if len(g) == 2 or g[:2] in out}
+    def weight(low: str):
+        return F.greatest(F.lit(DISCOUNT) * F.col("n") / F.col("whole"), F.lit(1e-12)) / F.greatest(1 - F.col(low), F.lit(1e-12))
+
+    def states(arcs: DataFrame, context: list[str], low: str) -> DataFrame:
+        return arcs.groupBy(*context).agg(F.sum("c").alias("whole"), F.count(F.lit(1)).alias("n"), F.sum(low).alias("low"))
+
+    held = (F.col("c") - DISCOUNT) / F.col("whole")
+    unigrams = materialise(arrow_map(vocabulary.select("word", "c"), numbered, "w long, c long").select("w", ((F.col("c") + 1) / F.lit(float(rest))).alias("p1")), "unigrams")
+    grams = materialise(arrow_map(training.select(text), run, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "grams")
+    pairs = materialise(grams.groupBy("v", "w").agg(F.sum("c").alias("c")), "pairs")
+    one = materialise(states(pairs.join(unigrams, "w"), ["v"], "p1").select("v", "whole", weight("low").alias("weight1")), "states-1")
+    bigrams = materialise(pairs.join(one, "v").select("v", "w", held.alias("p2")), "bigrams")
+    triples = grams.where(F.col("u") != START)
+    two = materialise(states(triples.join(bigrams, ["v", "w"]), ["u", "v"], "p2").select("u", "v", "whole", weight("low").alias("weight2")), "states-2")
+    trigrams = materialise(triples.join(two, ["u", "v"]).select("u", "v", "w", held.alias("p3")), "trigrams")
+    return unigrams, bigrams, trigrams, one.select("v", "weight1"), two.select("u", "v", "weight2")
+
+
+def arcs_of(walked: DataFrame, tables: tuple[DataFrame, ...], rest: int) -> DataFrame:
+    """(_row, score): summed log10 probabilities of the paths ``ids`` of all rows."""
+    unigrams, bigrams, trigrams, one, two = tables
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, u, v, w = paths(batch.column("ids"))
+            rows = batch.column("_row").to_numpy(zero_copy_only=False)[owners]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, u, v, w)], ["_row", "u", "v", "w"])
+
+    steps = arrow_map(walked.select("_row", "ids"), run, "_row long, u long, v long, w long").join(trigrams, ["u", "v", "w"], "left")
+    lost = lambda name: F.when(F.col("p3").isNull(), F.col(name)).alias(name)
+    steps = materialise(steps.select("_row", F.log10("p3").alias("found"), lost("u"), lost("v"), lost("w")), "steps")
+    found = steps.where("found IS NOT NULL").select("_row", "found")
+    # Failure arcs. A text's first word has only the root, its second no trigram state.
+    rest_of = steps.where("found IS NULL").drop("found")
+    later = rest_of.where(F.col("u") != START).join(two, ["u", "v"], "left").select("_row", "v", "w", F.coalesce(F.log10("weight2"), F.lit(0.0)).alias("cost"))
+    second = rest_of.where((F.col("u") == START) & (F.col("v") != START)).select("_row", "v", "w", F.lit(0.0).alias("cost"))
+    shorter = materialise(later.unionByName(second).join(bigrams, ["v", "w"], "left"), "shorter")
+    kept = shorter.where("p2 IS NOT NULL").select("_row", (F.col("cost") + F.log10("p2")).alias("found"))
+    root = shorter.where("p2 IS NULL").join(one, "v", "left").select("_row", "w", (F.col("cost") + F.coalesce(F.log10("weight1"), F.lit(0.0))).alias("cost"))
+    first = rest_of.where(F.col("v") == START).select("_row", "w", F.lit(0.0).alias("cost"))
+    plain = root.unionByName(first).join(unigrams, "w", "left").select("_row", (F.col("cost") + F.log10(F.coalesce("p1", F.lit(1 / rest)))).alias("found"))
+    return found.unionByName(kept).unionByName(plain).groupBy("_row").agg(F.sum("found").alias("score"))
 
 
 def scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,33 +230,31 @@ def scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str
     head = head_of(vocabulary, HEAD)
     rows = sorted(((c, bytes(w)) for w, c in head.collect()), key=lambda x: (-x[0], x[1]))
     words, counts = [w for _, w in rows], [c for c, _ in rows]
-    # The end has no successor; as a context it would be a state that nothing leaves.
-    inner = [w for w in words[: PAIRS + 1] if w != END][:PAIRS]
-    ids = {w: i for i, w in enumerate(words)}
-    followed = [*inner, END] if END in ids else inner
-    grams = grams_of(training, followed[: PAIRS + 1], TRIPLES, text) if words else {}
-    place = [ids[w] for w in followed]
-    automaton = context.broadcast(Automaton(words, counts, total, distinct, {tuple(place[i] for i in g): c for g, c in grams.items()}))
+    rest = total + distinct + 1
+    ids = context.broadcast({w: i for i, w in enumerate(words)})
+    base = context.broadcast([math.log10((c + 1) / rest) for c in counts])
+    tables = model(training, vocabulary, ids, rest, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, row = automaton.value, (TaskContext.get().partitionId() << 33)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             for data in encoded(batch, text):
                 found = tokens(data)
-                score, plain, known, left = machine.traverse(found)
-                out.append((row, len(found), known, plain, score, left))
+                path = [number(ids.value, w) for w in found]
+                known = [i for i in path if i >= 0]
+                out.append((row, len(found), len(known), sum(map(base.value.__getitem__, known)), path, [w for w, i in zip(found, path) if i < 0]))
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, t) for x, t in zip([*zip(*out)] or [[]] * 6, kinds))], [key, "_row", "n_tokens", "n_head", "plain", "partial", "left"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, t) for x, t in zip([*zip(*out)] or [[]] * 6, kinds))], [key, "_row", "n_tokens", "n_head", "plain", "ids", "left"])
 
-    walked = materialise(arrow_map(docs.select(key, text), run, f"{key} {kind}, _row long, n_tokens long, n_head long, plain double, partial double, left array<binary>"), "walked")
+    walked = materialise(arrow_map(docs.select(key, text), run, f"{key} {kind}, _row long, n_tokens long, n_head long, plain double, ids array<long>, left array<binary>"), "walked")
     open_words = walked.select("_row", F.explode("left").alias("word"))
     c = F.coalesce("c", F.lit(0))
-    found = open_words.join(vocabulary, "word", "left").groupBy("_row").agg(F.sum(F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
-    joined = walked.drop("left").join(found, "_row", "left")
+    found = open_words.join(vocabulary, "word", "left").groupBy("_row").agg(F.sum(F.log10((c + 1) / F.lit(float(rest)))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
+    joined = walked.drop("left", "ids").join(found, "_row", "left").join(arcs_of(walked, tables, rest), "_row")
     more = F.coalesce("more", F.lit(0.0))
-    return joined.select(key, "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("plain") + more).alias("base_score"), (F.col("partial") + more).alias("score"))
+    return joined.select(key, "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("plain") + more).alias("base_score"), "score")
 
 
 def op7_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

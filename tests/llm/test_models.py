@@ -197,6 +197,33 @@ def test_scores_of_awkward_rows(spark):
     assert all(r.n_known == 0 and r.base_score == 0 for r in free)
 
 
+@pytest.mark.parametrize("head", [8, 1 << 18])
+def test_scores_hold_all_grams(spark, monkeypatch, head):
+    """Scores are those of an automaton with every bigram and trigram, of rare words and seen once too."""
+    monkeypatch.setattr(automaton, "HEAD", head)
+    rng = random.Random(23)
+    names = [f"w{i}" for i in range(1200)]
+    weights = [1 / (i + 1) for i in range(1200)]
+    rows = [(i, " ".join(rng.choices(names, weights, k=rng.randrange(40)))) for i in range(300)]
+    rows += [(1000, "unseen w1 w2 unseen w1"), (1001, ""), (1002, None)]
+    train = [[*(t or "").encode().split(), b""] for i, t in rows if i < 250]
+    counts = Counter(w for s in train for w in s)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    ids, grams = {w: i for i, w in enumerate(order)}, Counter()
+    for s in train:
+        x = [ids[w] for w in s]
+        grams.update(zip(x, x[1:]))
+        grams.update(zip(x, x[1:], x[2:]))
+    total = sum(counts.values())
+    whole = automaton.Automaton(order, [counts[w] for w in order], total, len(order), grams)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in automaton.scores(docs, docs.where("doc_id < 250")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        score, _, _, left = whole.traverse([*(t or "").encode().split(), b""])
+        assert got[i] == pytest.approx(score - len(left) * math.log10(total + len(order) + 1), abs=1e-6)
+
+
 def test_neighbours_learn_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
