@@ -224,6 +224,15 @@ def test_scores_hold_all_grams(spark, monkeypatch, head):
         assert got[i] == pytest.approx(score - len(left) * math.log10(total + len(order) + 1), abs=1e-6)
 
 
+def test_scores_hold_grams_seen_once(spark):
+    """A text's pair and triple seen once in training score above the same words in an order never seen."""
+    rows = [(0, "a b c"), (1, "c b a"), (2, "b a c"), (3, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "x y z"), (1, "z y x")], "doc_id long, text string")
+    by = {r.doc_id: r for r in automaton.scores(asked, docs).collect()}
+    assert by[0].base_score == pytest.approx(by[1].base_score) and by[0].score > by[1].score + 0.5
+
+
 def test_neighbours_learn_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
