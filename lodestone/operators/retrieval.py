@@ -34,14 +34,15 @@ def query_terms(queries: DataFrame, tokens: Column | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "doc_id") -> DataFrame:
-    """Rank from 1 within ``by``, by falling score, ties by key; Catalyst limits groups before the shuffle."""
+def top_k(scored: DataFrame, k: int | None, by: str = "query_id", score: str = "score", key: str = "doc_id") -> DataFrame:
+    """Rank from 1 within ``by``, by falling score, ties by key; Catalyst limits groups before the shuffle. All rows if ``k`` is None."""
     order = Window.partitionBy(by).orderBy(F.desc(score), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).withColumn("rank", F.col("rank").cast("long"))
 
 
-def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene", idf_method: str | None = None, k: int = 10, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, pad: bool = False, tokens: Column | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score): the best k documents of each query, all queries in one job.
+def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene", idf_method: str | None = None, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, pad: bool = False, tokens: Column | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): the best k documents of each query, or all if k is None, all queries in one job.
 
     ``queries`` is a batch from the caller, so of bounded size; its terms become a literal filter on the
     token arrays, and only their postings leave the scan. Document frequencies come from those postings and
@@ -69,7 +70,7 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene"
     if pad or method in SHIFTED:
         # Among the first k documents, at least as many lack all terms as places can be open.
         asked_ids = spark.createDataFrame([(q,) for q, _ in queries], "query_id int")
-        first = docs.select("doc_id").orderBy("doc_id").limit(k)
+        first = docs.select("doc_id") if k is None else docs.select("doc_id").orderBy("doc_id").limit(k)
         rest = first.crossJoin(F.broadcast(asked_ids)).join(matched, ["query_id", "doc_id"], "left_anti").join(F.broadcast(shift), "query_id", "left")
         scored = scored.unionByName(rest.select("query_id", "doc_id", F.round(F.coalesce("shift", F.lit(0.0)), 6).alias("score")))
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score")

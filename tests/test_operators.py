@@ -158,3 +158,14 @@ def test_engine(spark, tmp_path):
     store = engine.crawl(str(tmp_path / "store"), str(tmp_path / "checkpoint"))
     first = store.count()
     assert first > 0 and engine.crawl(str(tmp_path / "store2"), str(tmp_path / "checkpoint2"), ["zzznothing"]).count() == 0
+
+
+def test_all_scores_have_no_last_rank(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lodestone import registry
+
+    n = 1_000_010
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("ingti").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["bm25_own_all_scores"](spark, str(tmp_path)).agg(F.count(F.lit(1)), F.max("rank")).first()
+    assert tuple(got) == (n, n)
