@@ -2,7 +2,7 @@
 
 Each document gets counts (words, symbols, repeated lines, repeated three-word windows, capitals) and, from
 them, five rates in parts per thousand. Per language and source, the rates go into quantile sketches:
-histograms over fixed whole-number bins. Sketches of any two sets of rows merge by adding their counts, so
+histograms over whole-number bins. Sketches of any two sets of rows merge by adding their counts, so
 partial aggregation builds them, a group of few rows takes the merged sketch of its language, and a
 language of few rows that of all documents. A document is rejected if a rate is beyond its group's limit,
 
@@ -27,7 +27,7 @@ from .common import arrow_map, encoded, materialise, table
 SYMBOLS = b"#*$%&|<>"
 #: Slack of each rate: how far beyond the spread of a uniform group a document may lie.
 SLACK = {"symbol_rate": 60, "line_rate": 400, "repeat_rate": 400, "capital_rate": 250, "long_rate": 4500}
-#: Bins are whole parts per thousand; rates from the last bin on share it.
+#: Bins are whole parts per thousand. The SQL twin clips rates to this one; the operator does not, so that rules fire beyond it.
 LAST_BIN = 20_000
 SPREAD = 4
 LOWER, MIDDLE = 5, 50
@@ -85,7 +85,7 @@ def rates() -> dict[str, F.Column]:
         "capital_rate": per("n_capitals", "n_letters"),
         "long_rate": per("word_chars", "n_words"),
     }
-    return {k: F.least(v, F.lit(LAST_BIN)) for k, v in found.items()}
+    return found
 
 
 def limits(counted: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def limits(counted: DataFrame) -> DataFrame:
     sketch = materialise(bins.groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n")), "sketch")
 
     def quantiles(merged: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        # A group's sketch has at most LAST_BIN + 1 bins a rate, however many rows: small enough for one list.
+        # A group's sketch has a bin for each distinct rate. There are many only where texts have no spaces, as symbols
+        # and characters are counted per word; nothing bounds them then but the distinct lengths of the texts.
         entries = F.sort_array(F.collect_list(F.struct("bin", "n")))
         held = merged.groupBy(*keys, "rate").agg(F.sum("n").alias("rows"), entries.alias("bins"))
 

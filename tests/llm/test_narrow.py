@@ -137,3 +137,13 @@ def test_interleaving_stays_aligned(spark):
     catalogue = spark.createDataFrame([("d2", "payload 2")], "digest string, payload string")
     got = sorted((r.page_id, r.position, r.ref, r.caption, r.payload) for r in media.resolve(media.references(found), catalogue).collect())
     assert got == [(1, 1, "d1", "c1", None), (1, 3, "d2", "cap 2", "payload 2"), (3, 0, "d2", None, "payload 2")]
+
+
+def test_rules_fire_beyond_the_last_bin(spark):
+    """Where words have 25 characters, a text of huge unbroken strings goes; where all have 3,000, they stay."""
+    from lodestone.llm import rules
+
+    row = lambda i, source, size: (i, "en", source, " ".join(f"{j:05d}".ljust(size, "x") for j in range(60)))
+    rows = [row(i, "a", 25) for i in range(120)] + [row(1000, "a", 5000)] + [row(2000 + i, "b", 3000) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    assert {r.doc_id for r in rules.quality_rules(docs).where("NOT kept").collect()} == {1000}
