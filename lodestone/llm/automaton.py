@@ -1,267 +1,357 @@
 """Language-model scores by a weighted backoff automaton.
 
-All unigrams, bigrams and trigrams of the training tokens are counted exactly, those seen once too; absolute
-discounting makes probabilities of them, and what it takes off goes to backoff. N-grams become states, each
-word an arc with its log-probability, and a state without an arc for the next word has a failure arc to the
-state of the shorter context, which costs the backoff weight. A text is one path from left to right.
-
-States and arcs are as many as the corpus has n-grams, so no task holds them all. They are tables
-(``model``). Where a path stands depends on the last two words alone, so each token finds its arc by a join
-with the trigrams, and the tokens without one follow the failure arcs by joins with states and bigrams.
-``Automaton`` is the same in memory. Words of a head of bounded size are numbered by rank, which keeps the
-tables small; others by 63 bits of a hash.
+All unigrams, bigrams and trigrams of the training tokens are counted exactly, those seen once too. Smoothing
+is hierarchical: a context h (of two words, one, or none) has for its next word w
+
+    p(w | h) = (c(h w) + m * p(w | shorter h)) / (c(h) + m),
+
+with add-one unigrams at the root. As an automaton: contexts seen in training are states; a state has an arc for
+each word seen after it, with that probability; any other word takes the failure arc to the shorter context's
+state, which costs m / (c(h) + m). Unseen contexts are no states, and a path never stands on them. Over all
+words, an unknown one included, the probabilities of a state add up to one.
+
+The automaton grows with the corpus, so no task holds it whole: a task holds the states and arcs that its own
+texts can reach. Three steps, each a plain shuffle of blobs that were aggregated before:
+
+1. ``walks``: a chunk of up to ``CHUNK`` tokens becomes word numbers and a dictionary of the chunk's words.
+2. ``arcs``: each chunk sends its distinct n-grams, with their counts in its training texts, to parts of the
+   hash space; a part adds up all chunks' counts and sends each chunk the sums for the n-grams it sent. An
+   n-gram of any frequency is one entry a chunk, so no word or pair makes a hot part.
+3. ``scores``: a chunk with its sums is its automaton, and its texts are taken along it from left to right.
+   Which state a path stands on depends on its last two words alone, so all steps are taken as arrays.
+
+N-grams are told apart by 60 bits of a hash.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, encoded, materialise, remainder, table
+from .windows import U, mix
 
-#: At most so many words are numbered by rank and have their unigram scores in each task.
-HEAD = 1 << 18
-DISCOUNT = 0.75
 FOLDS, HELD_OUT = 7, 2
 END = b""
-BITS = 20
-#: Stands before a text's first word; no word has this number.
-START = 1 << 40
-FLUSH = 250_000
-
-
-def tokens(data: bytes) -> list[bytes]:
-    return [*data.lower().split(), END]
-
-
-class Automaton:
-    """States are contexts; state 0 is the empty one. ``arcs``: state and word -> (next state, log10 probability)."""
-
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, grams: dict[tuple[int, ...], int]):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.rest = total + distinct + 1
-        self.base = [math.log10((c + 1) / self.rest) for c in counts]
-        self.fail, self.weight = [0], [0.0]
-        self.arcs: dict[int, tuple[int, float]] = {}
-        contexts: dict[tuple[int, ...], dict[int, int]] = {}
-        for gram, c in grams.items():
-            contexts.setdefault(gram[:-1], {})[gram[-1]] = c
-        states = {(): 0}
-        for context in sorted(contexts, key=lambda x: (len(x), x)):
-            states[context] = len(self.fail)
-            self.fail.append(states.get(context[1:], 0))
-            self.weight.append(0.0)
-
-        def state_after(gram: tuple[int, ...]) -> int:
-            while gram not in states:
-                gram = gram[1:]
-            return states[gram]
-
-        for i in range(len(words)):
-            self.arcs[i] = (state_after((i,)), self.base[i])
-        for context in sorted(contexts, key=lambda x: (len(x), x)):
-            state, seen = states[context], contexts[context]
-            # All that follows a context, whether kept here or not, was counted in the shorter gram.
-            whole = counts[context[0]] if len(context) == 1 else grams[context]
-            held = {w: (c - DISCOUNT) / whole for w, c in seen.items()}
-            lower = sum(10 ** self.probability(self.fail[state], w) for w in held)
-            self.weight[state] = math.log10(max(1 - sum(held.values()), 1e-12) / max(1 - lower, 1e-12))
-            for w, p in held.items():
-                self.arcs[state << BITS | w] = (state_after((*context, w)), math.log10(p))
-
-    def probability(self, state: int, word: int) -> float:
-        out = 0.0
-        while (arc := self.arcs.get(state << BITS | word)) is None:
-            out += self.weight[state]
-            state = self.fail[state]
-        return out + arc[1]
-
-    def traverse(self, words: list[bytes]) -> tuple[float, float, int, list[bytes]]:
-        """(log10 probability, unigram part, known words, words left open) of a text's tokens."""
-        arcs, fail, weight, base = self.arcs, self.fail, self.weight, self.base
-        score, plain, known, state, left = 0.0, 0.0, 0, 0, []
-        for word, i in zip(words, map(self.ids.get, words)):
-            if i is None:
-                while state:
-                    score += weight[state]
-                    state = fail[state]
-                left.append(word)
-                continue
-            arc = arcs.get(state << BITS | i)
-            while arc is None:
-                score += weight[state]
-                state = fail[state]
-                arc = arcs.get(state << BITS | i)
-            state = arc[0]
-            score += arc[1]
-            plain += base[i]
-            known += 1
-        return score, plain, known, left
-
-
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c): counts of all tokens, added up within tasks first."""
+#: Weights of the shorter context; chosen by the held-out texts of a tenth of the smaller test input.
+PAIR_PRIOR, TRIPLE_PRIOR = 500.0, 5.0
+#: Tokens of a chunk, and of a text that goes into one chunk whole; a longer text is cut, and its parts overlap.
+CHUNK, SEGMENT = 3_000_000, 500_000
+#: Entries of a part of the hash space, about.
+PART_ENTRIES = 2_000_000
+KEY_BITS = 60
+#: Stand before a text's first word. No word has this hash but by chance of 1 in 2**64.
+START = U(0x5851F42D4C957F2D)
+
+
+class Numbers(dict):
+    """Numbers words in the order of their first lookup."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**64 as compressed byte planes, lowest first."""
+    size = len(values)
+    raw = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    out = [size.to_bytes(8, "little")]
+    top = int(values.max()).bit_length() if size else 0
+    for plane in raw[: (top + 7) // 8]:
+        packed = pa.compress(plane.tobytes(), codec="zstd", asbytes=True)
+        out += [len(packed).to_bytes(8, "little"), packed]
+    return b"".join(out)
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    size, at, out = int.from_bytes(data[:8], "little"), 8, None
+    out = np.zeros((size, 8), np.uint8)
+    for i in range(8):
+        if at >= len(data):
+            break
+        n = int.from_bytes(data[at : at + 8], "little")
+        out[:, i] = np.frombuffer(pa.decompress(data[at + 8 : at + 8 + n], size, codec="zstd"), np.uint8)
+        at += 8 + n
+    return out.view("<u8").reshape(-1)
+
+
+def sorted_planes(values: np.ndarray) -> bytes:
+    """The same for ascending numbers, by their differences."""
+    return planes(np.diff(values, prepend=U(0)))
+
+
+def unplaned_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data), dtype=np.uint64)
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def keys(u: np.ndarray | None, v: np.ndarray | None, w: np.ndarray) -> np.ndarray:
+    """60-bit keys of n-grams, given their words' hashes."""
+    h = mix(w ^ U(0x2545F4914F6CDD1D))
+    if v is not None:
+        h = mix(h + mix(v ^ U(0x9E3779B97F4A7C15)))
+    if u is not None:
+        h = mix(h + mix(u ^ U(0xD1B54A32D192ED03)) * U(3))
+    return h >> U(64 - KEY_BITS)
+
+
+class Walk:
+    """The paths of a chunk: hashes of each token and the two before, and what counts."""
+
+    def __init__(self, row: dict):
+        self.dictionary = np.frombuffer(row["dictionary"], "<u8")
+        self.ids = unplaned(row["ids"]).astype(np.uint32)
+        self.sizes, self.lead, self.train = np.array(row["sizes"], np.int64), np.array(row["lead"], np.int64), np.array(row["train"], bool)
+        ends = np.cumsum(self.sizes)
+        self.first = ends - self.sizes
+        #: 0 for a segment's first token, 1 for its second, 2 for all others.
+        self.place = np.full(len(self.ids), 2, np.uint8)
+        second = self.first[self.sizes > 1] + 1
+        self.place[second] = 1
+        self.place[self.first] = 0
+        # A segment's leading tokens were counted and scored in the segment before.
+        self.own = np.ones(len(self.ids), bool)
+        for i in np.flatnonzero(self.lead):
+            self.own[self.first[i] : self.first[i] + self.lead[i]] = False
+        self.counted = np.repeat(self.train, self.sizes) & self.own
+        self.led = np.zeros(len(self.ids), bool)  # a text's true second word has START before its first
+        for i in np.flatnonzero(self.lead):
+            self.led[self.first[i] : self.first[i] + 2] = True
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, which): of all n-grams of ``order``, at the tokens ``which``."""
+        if order == 1:
+            return keys(None, None, self.dictionary), np.arange(len(self.dictionary))
+        w = self.dictionary[self.ids]
+        v = np.roll(w, 1)
+        v[self.first] = START
+        if order == 2:
+            valid = ~(self.led & (self.place == 0))
+            return keys(None, v, w)[valid], np.flatnonzero(valid)
+        u = np.roll(v, 1)
+        valid = (self.place > 0) & ~self.led
+        return keys(u, v, w)[valid], np.flatnonzero(valid)
+
+    def local_counts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys ascending, their counts in training)."""
+        if order == 1:
+            found, _ = self.grams(1)
+            counts = np.bincount(self.ids[self.counted], minlength=len(found))
+            by = np.argsort(found)
+            return found[by], counts[by]
+        found, which = self.grams(order)
+        found = found << U(1) | self.counted[which].astype(np.uint64)
+        found.sort()
+        key = found >> U(1)
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        ones = np.concatenate(([0], np.cumsum((found & U(1)).astype(np.int64))))
+        return key[heads], np.diff(ones[np.append(heads, len(key))])
+
+    def spread(self, order: int, sums: np.ndarray) -> np.ndarray:
+        """The sums of the distinct keys, given for each n-gram's token (or for each word of the dictionary)."""
+        found, which = self.grams(order)
+        by = np.argsort(found)
+        ordered = found[by]
+        group = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1]))) if len(by) else by
+        out = np.zeros(len(self.dictionary) if order == 1 else len(self.ids), np.int64)
+        out[which[by]] = sums[group]
+        return out
+
+
+def steps(walk: Walk, sums: list[np.ndarray], tokens: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 probability, unigram count, unigram log10 probability) of each step along the automaton."""
+    word = walk.spread(1, sums[0])
+    one = word[walk.ids]
+    base = np.log10(one + 1.0) - math.log10(tokens + distinct + 1)
+    # The root's arc, or the unknown word's.
+    p = (one + 1.0) / (tokens + distinct + 1)
+    context = np.roll(one, 1)
+    context[walk.first] = texts
+    pair = walk.spread(2, sums[1])
+    p = (pair + PAIR_PRIOR * p) / (context + PAIR_PRIOR)
+    before = np.roll(pair, 1)
+    before[walk.first] = 0
+    triple = walk.spread(3, sums[2])
+    p = np.where(walk.place > 0, (triple + TRIPLE_PRIOR * p) / (before + TRIPLE_PRIOR), p)
+    return np.log10(p), one, base
+
+
+WALK = "sizes array<int>, lead array<int>, train array<boolean>, ids binary, dictionary binary"
+
+
+def walks(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame:
+    """One row a chunk: (chunk, rows, keys, sizes, lead, train, ids, dictionary, tokens, texts), the last two of training."""
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(marked.schema["key"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        row, chunk = base, base
+        numbers, held, segments, size = Numbers(), [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*held], pa.binary()), pa.array([*held.values()], pa.int64())], ["word", "c"])
+            ids = np.concatenate(held)
+            order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            hashes = np.fromiter(map(word_hash, numbers), np.uint64, len(numbers))[order]
+            rows, names, lead, train = zip(*segments)
+            sizes = [len(x) for x in held]
+            learnt = sum(n - m for n, m, t in zip(sizes, lead, train) if t)
+            starts = sum(1 for m, t in zip(lead, train) if t and not m)
+            arrays = [pa.array([x], t) for x, t in ((chunk, pa.int64()), (rows, pa.list_(pa.int64())), (names, pa.list_(kind)), (sizes, pa.list_(pa.int32())), (lead, pa.list_(pa.int32())), (train, pa.list_(pa.bool_())), (planes(rank[ids]), pa.binary()), (hashes.astype("<u8").tobytes(), pa.binary()), (learnt, pa.int64()), (starts, pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, ["chunk", "rows", "keys", "sizes", "lead", "train", "ids", "dictionary", "tokens", "texts"])
 
         for batch in batches:
-            for data in encoded(batch, text):
-                held.update(tokens(data))
-                if len(held) > FLUSH:
-                    yield out()
-                    held.clear()
+            for name, data, train in zip(batch.column("key").to_pylist(), encoded(batch), batch.column("train").to_pylist()):
+                words = data.lower().split()
+                words.append(END)
+                for at in range(0, len(words), SEGMENT):
+                    lead = min(at, 2)
+                    part = words[at - lead : at + SEGMENT]
+                    held.append(np.fromiter(map(numbers.__getitem__, part), np.uint32, len(part)))
+                    segments.append((row, name, lead, train))
+                    size += len(part)
+                    if size >= CHUNK:
+                        yield out()
+                        chunk += 1
+                        numbers, held, segments, size = Numbers(), [], [], 0
+                row += 1
         if held:
             yield out()
 
-    return arrow_map(docs.select(text), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(marked.schema["key"].dataType)), *T._parse_datatype_string(WALK).fields, T.StructField("tokens", T.LongType()), T.StructField("texts", T.LongType())])
+    return arrow_map(marked, run, schema)
 
 
-def head_of(vocabulary: DataFrame, size: int) -> DataFrame:
-    """The most frequent words, at most ``size``: all down to the last count level that fits.
+def arcs(walked: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, known, s1, s2, s3): for each chunk and part, training counts of the n-grams it has there.
 
-    Levels are eighths of powers of two, so that the driver sees a few hundred rows for any vocabulary.
+    ``known`` is, in one row of a part and 0 in the others, how many of its words occur in training.
     """
-    level = F.floor(F.log2("c") * 8)
-    held, least = 0, None
-    for row in sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True):
-        held += row["count"]
-        if held > size:
-            break
-        least = row["level"]
-    return vocabulary.where(F.lit(False)) if least is None else vocabulary.where(level >= least)
-
-
-def number(ids: dict[bytes, int], word: bytes) -> int:
-    """The word's rank in the head, or a negative hash."""
-    found = ids.get(word)
-    return -1 - (xxhash.xxh64_intdigest(word) >> 1) if found is None else found
-
-
-def paths(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the list, word but one before, word before, word) of all words of lists of numbers."""
-    words = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    owners = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = np.where(place > 0, np.roll(words, 1), START)
-    return owners, np.where(place > 1, np.roll(words, 2), START), before, words
+    shift = U(KEY_BITS - (parts - 1).bit_length())
 
-
-def model(training: DataFrame, vocabulary: DataFrame, ids, rest: int, text: str = "text") -> tuple[DataFrame, ...]:
-    """Unigrams (w, p1), bigram arcs (v, w, p2), trigram arcs (u, v, w, p3), and states (v, weight1), (u, v, weight2)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = pa.array([[number(ids.value, w) for w in tokens(data)] for data in encoded(batch, text)], pa.list_(pa.int64()))
-            _, u, v, w = paths(lists)
-            keep = v != START
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (u, v, w)], ["u", "v", "w"])
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in batch.to_pylist():
+                walk = Walk(row)
+                found = []
+                for order in (1, 2, 3):
+                    key, counts = walk.local_counts(order)
+                    borders = np.searchsorted(key, np.arange(1, parts, dtype=np.uint64) << shift) if parts > 1 else np.zeros(0, np.int64)
+                    found.append((key, counts, [0, *borders.tolist(), len(key)]))
+                for part in range(parts):
+                    blobs = []
+                    for key, counts, borders in found:
+                        a, b = borders[part], borders[part + 1]
+                        blobs += [sorted_planes(key[a:b]), planes(counts[a:b].astype(np.uint64))]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "part", "k1", "c1", "k2", "c2", "k3", "c3"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+            sums: list[list[bytes]] = []
+            known = 0
+            for order in "123":
+                each = [unplaned_sorted(x["k" + order]) for x in held]
+                key = np.concatenate(each)
+                counts = np.concatenate([unplaned(x["c" + order]) for x in held]).astype(np.int64)
+                by = np.argsort(key)
+                key = key[by]
+                new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+                totals = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(key) else counts
+                known += int((totals > 0).sum()) if order == "1" else 0
+                whole = np.empty(len(key), np.int64)
+                whole[by] = totals[np.cumsum(new) - 1]
+                borders = np.cumsum([0, *map(len, each)])
+                sums.append([planes(whole[a:b].astype(np.uint64)) for a, b in zip(borders, borders[1:])])
+            for i, x in enumerate(held):
+                columns = [pa.array([v], t) for v, t in ((x["chunk"], pa.int64()), (part, pa.int32()), (0 if i else known, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([s[i]], pa.binary()) for s in sums)], ["chunk", "part", "known", "s1", "s2", "s3"])
+
+        now, held = None, []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([number(ids.value, w) for w in batch.column("word").to_pylist()], pa.int64()), batch.column("c")], ["w", "c"])
-
-    def weight(low: str):
-        return F.greatest(F.lit(DISCOUNT) * F.col("n") / F.col("whole"), F.lit(1e-12)) / F.greatest(1 - F.col(low), F.lit(1e-12))
-
-    def states(arcs: DataFrame, context: list[str], low: str) -> DataFrame:
-        return arcs.groupBy(*context).agg(F.sum("c").alias("whole"), F.count(F.lit(1)).alias("n"), F.sum(low).alias("low"))
-
-    held = (F.col("c") - DISCOUNT) / F.col("whole")
-    unigrams = materialise(arrow_map(vocabulary.select("word", "c"), numbered, "w long, c long").select("w", ((F.col("c") + 1) / F.lit(float(rest))).alias("p1")), "unigrams")
-    grams = materialise(arrow_map(training.select(text), run, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c")), "grams")
-    pairs = materialise(grams.groupBy("v", "w").agg(F.sum("c").alias("c")), "pairs")
-    one = materialise(states(pairs.join(unigrams, "w"), ["v"], "p1").select("v", "whole", weight("low").alias("weight1")), "states-1")
-    bigrams = materialise(pairs.join(one, "v").select("v", "w", held.alias("p2")), "bigrams")
-    triples = grams.where(F.col("u") != START)
-    two = materialise(states(triples.join(bigrams, ["v", "w"]), ["u", "v"], "p2").select("u", "v", "whole", weight("low").alias("weight2")), "states-2")
-    trigrams = materialise(triples.join(two, ["u", "v"]).select("u", "v", "w", held.alias("p3")), "trigrams")
-    return unigrams, bigrams, trigrams, one.select("v", "weight1"), two.select("u", "v", "weight2")
+            for row in batch.to_pylist():
+                if row["part"] != now and held:
+                    yield from out(now, held)
+                    held = []
+                now = row["part"]
+                held.append(row)
+        if held:
+            yield from out(now, held)
 
+    sent = arrow_map(walked.select("chunk", *[x.split()[0] for x in WALK.split(", ")]), send, "chunk long, part int, k1 binary, c1 binary, k2 binary, c2 binary, k3 binary, c3 binary")
+    return arrow_map(sent.repartition("part").sortWithinPartitions("part"), add, "chunk long, part int, known long, s1 binary, s2 binary, s3 binary")
 
-def arcs_of(walked: DataFrame, tables: tuple[DataFrame, ...], rest: int) -> DataFrame:
-    """(_row, score): summed log10 probabilities of the paths ``ids`` of all rows."""
-    unigrams, bigrams, trigrams, one, two = tables
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, u, v, w = paths(batch.column("ids"))
-            rows = batch.column("_row").to_numpy(zero_copy_only=False)[owners]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, u, v, w)], ["_row", "u", "v", "w"])
-
-    steps = arrow_map(walked.select("_row", "ids"), run, "_row long, u long, v long, w long").join(trigrams, ["u", "v", "w"], "left")
-    lost = lambda name: F.when(F.col("p3").isNull(), F.col(name)).alias(name)
-    steps = materialise(steps.select("_row", F.log10("p3").alias("found"), lost("u"), lost("v"), lost("w")), "steps")
-    found = steps.where("found IS NOT NULL").select("_row", "found")
-    # Failure arcs. A text's first word has only the root, its second no trigram state.
-    rest_of = steps.where("found IS NULL").drop("found")
-    later = rest_of.where(F.col("u") != START).join(two, ["u", "v"], "left").select("_row", "v", "w", F.coalesce(F.log10("weight2"), F.lit(0.0)).alias("cost"))
-    second = rest_of.where((F.col("u") == START) & (F.col("v") != START)).select("_row", "v", "w", F.lit(0.0).alias("cost"))
-    shorter = materialise(later.unionByName(second).join(bigrams, ["v", "w"], "left"), "shorter")
-    kept = shorter.where("p2 IS NOT NULL").select("_row", (F.col("cost") + F.log10("p2")).alias("found"))
-    root = shorter.where("p2 IS NULL").join(one, "v", "left").select("_row", "w", (F.col("cost") + F.coalesce(F.log10("weight1"), F.lit(0.0))).alias("cost"))
-    first = rest_of.where(F.col("v") == START).select("_row", "w", F.lit(0.0).alias("cost"))
-    plain = root.unionByName(first).join(unigrams, "w", "left").select("_row", (F.col("cost") + F.log10(F.coalesce("p1", F.lit(1 / rest)))).alias("found"))
-    return found.unionByName(kept).unionByName(plain).groupBy("_row").agg(F.sum("found").alias("score"))
-
-
-def scores(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every text of ``docs``.
 
-    A null or empty text is its end alone. Null keys and repeated rows each give a row. Without training
-    tokens every probability is 1, the unknown word's.
+    The model learns from the rows for which ``training`` is true (null: not). A null or empty text is its end
+    alone. Null keys and repeated rows each give a row, and a repeated row counts each time. Without training
+    tokens every probability is 1, the unknown word's. Texts of any length go in parts of SEGMENT tokens.
+    Only the named columns are read.
     """
-    context = docs.sparkSession.sparkContext
-    kind = dict(docs.dtypes)[key]
-    vocabulary = materialise(counted(training, text), "vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = head_of(vocabulary, HEAD)
-    rows = sorted(((c, bytes(w)) for w, c in head.collect()), key=lambda x: (-x[0], x[1]))
-    words, counts = [w for _, w in rows], [c for c, _ in rows]
-    rest = total + distinct + 1
-    ids = context.broadcast({w: i for i, w in enumerate(words)})
-    base = context.broadcast([math.log10((c + 1) / rest) for c in counts])
-    tables = model(training, vocabulary, ids, rest, text)
+    walked = materialise(walks(docs, training, key, text), "walks")
+    size = walked.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    tokens, texts, whole = map(int, size)
+    parts = 1 << max(0, math.ceil(math.log2(max(1.0, 1.5 * whole / PART_ENTRIES))))
+    summed = materialise(arcs(walked, parts), "arcs")
+    distinct = int(summed.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0])
+    fields = [x.split()[0] for x in WALK.split(", ")]
+    empty = lambda names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
+    mine = walked.select("chunk", F.lit(-1).alias("part"), "rows", "keys", *fields, *empty((f"s{i}", "binary") for i in "123"))
+    sums = summed.select("chunk", "part", *empty((n, dict(walked.dtypes)[n]) for n in ("rows", "keys", *fields)), "s1", "s2", "s3")
+    kind = docs.schema[key].dataType
+    names = ["_row", key, "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        def out(walk_row: dict, keys_: pa.Array, held: list[dict]) -> pa.RecordBatch:
+            walk = Walk(walk_row)
+            found, one, base = steps(walk, [np.concatenate([unplaned(x[f"s{i}"]) for x in held]).astype(np.int64) for i in "123"], tokens, distinct, texts)
+            per = lambda x: np.add.reduceat(np.where(walk.own, x, 0), walk.first)
+            arrays = [pa.array(walk_row["rows"], pa.int64()), keys_, *(pa.array(x) for x in (walk.sizes - walk.lead, per((one > 0).astype(np.int64)), per(base), per(found)))]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        now, row, names_, held = None, None, None, []
         for batch in batches:
-            out = []
-            for data in encoded(batch, text):
-                found = tokens(data)
-                path = [number(ids.value, w) for w in found]
-                known = [i for i in path if i >= 0]
-                out.append((row, len(found), len(known), sum(map(base.value.__getitem__, known)), path, [w for w, i in zip(found, path) if i < 0]))
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, t) for x, t in zip([*zip(*out)] or [[]] * 6, kinds))], [key, "_row", "n_tokens", "n_head", "plain", "ids", "left"])
-
-    walked = materialise(arrow_map(docs.select(key, text), run, f"{key} {kind}, _row long, n_tokens long, n_head long, plain double, ids array<long>, left array<binary>"), "walked")
-    open_words = walked.select("_row", F.explode("left").alias("word"))
-    c = F.coalesce("c", F.lit(0))
-    found = open_words.join(vocabulary, "word", "left").groupBy("_row").agg(F.sum(F.log10((c + 1) / F.lit(float(rest)))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))
-    joined = walked.drop("left", "ids").join(found, "_row", "left").join(arcs_of(walked, tables, rest), "_row")
-    more = F.coalesce("more", F.lit(0.0))
-    return joined.select(key, "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("plain") + more).alias("base_score"), "score")
+            kept = batch.column("keys")
+            for i, x in enumerate(batch.drop_columns(["keys"]).to_pylist()):
+                if x["chunk"] != now and row:
+                    yield out(row, names_, held)
+                if x["chunk"] != now:
+                    now, row, held = x["chunk"], x, []
+                    names_ = kept[i].values
+                else:
+                    held.append(x)
+        if row:
+            yield out(row, names_, held)
+
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField(key, kind), *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields])
+    dealt = mine.unionByName(sums).repartition("chunk").sortWithinPartitions("chunk", "part")
+    pieces = arrow_map(dealt, run, schema)
+    total = pieces.groupBy("_row").agg(F.first(key).alias(key), *[F.sum(n).alias(n) for n in names[2:]])
+    return total.select(key, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` scored by a model of those that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), FOLDS) == HELD_OUT
-    return scores(docs, docs.where(~held_out)).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES = {"op7_automaton": op7_automaton}

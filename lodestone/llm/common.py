@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,15 +14,17 @@ from pyspark.sql import functions as F
 from ..sources.readers import table  # noqa: F401
 from ..storage import materialise, shared_folder  # noqa: F401
 
-#: Rows that Arrow hands to Python at once. Texts may be long, so a batch is kept small.
-BATCH_ROWS = 1000
+#: Rows and bytes that Arrow hands to Python at once. Texts may be long, so a batch is kept small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded to ``BATCH_ROWS`` rows, unless the session has a smaller bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
+    """``mapInArrow`` with bounded batches, unless the session has smaller bounds. A row over the bound comes alone."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.sub("[^0-9-]", "", conf.get(key))) <= most:
+            conf.set(key, most)
     return df.mapInArrow(function, schema)
 
 

@@ -129,108 +129,118 @@ def test_copies_of_a_crowd_connect_what_brute_force_connects(spark, monkeypatch)
     assert {(r.label, r.node) for r in simhash.copies(docs).collect() if r.label != r.node} == links
 
 
+class Backoff:
+    """The whole automaton in memory: states with arcs and failure arcs, and a path that carries its state."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        grams: Counter = Counter()
+        for t in texts:
+            path = (None, *t)  # None stands before the first word
+            for n in (1, 2, 3):
+                grams.update(path[i - n : i] for i in range(max(n, 2), len(path) + 1) if i >= n)
+        self.total = sum(c for g, c in grams.items() if len(g) == 1)
+        self.words = {g[0] for g in grams if len(g) == 1}
+        self.size = self.total + len(self.words) + 1
+        seen = {(): self.total, (None,): len(texts)} | {g: c for g, c in grams.items() if len(g) < 3}
+        self.states = {g[:-1]: seen[g[:-1]] for g in grams}
+        self.prior = {1: automaton.PAIR_PRIOR, 2: automaton.TRIPLE_PRIOR}
+        self.arcs: dict = {h: {} for h in self.states}
+        for g in sorted(grams, key=len):
+            h, w = g[:-1], g[-1]
+            self.arcs[h][w] = (grams[g] + 1) / self.size if not h else (grams[g] + self.prior[len(h)] * self.probability(h[1:], w)) / (self.states[h] + self.prior[len(h)])
+
+    def failure(self, h) -> float:
+        return self.prior[len(h)] / (self.states[h] + self.prior[len(h)])
+
+    def probability(self, h, w) -> float:
+        while h not in self.states:
+            h = h[1:]
+        cost = 1.0
+        while w not in self.arcs.get(h, {}):
+            if not h:
+                return cost / self.size
+            cost *= self.failure(h)
+            h = h[1:]
+            while h not in self.states:
+                h = h[1:]
+        return cost * self.arcs[h][w]
+
+    def score(self, text: list[bytes]) -> float:
+        state, out = (None,), 0.0
+        for w in text:
+            out += math.log10(self.probability(state, w))
+            state = (*state, w)[-2:]
+        return out
+
+
+def words_of(text) -> list[bytes]:
+    return [*(text or "").encode().lower().split(), b""]
+
+
 def test_automaton_is_a_probability():
     rng = random.Random(5)
-    words = [b"a", b"b", b"c", b"d", b""]
-    seqs = [[*rng.choices(words[:4], [5, 3, 2, 1], k=rng.randrange(12)), b""] for _ in range(80)]
-    counts = Counter(w for s in seqs for w in s)
-    order = sorted(counts, key=lambda w: (-counts[w], w))
-    ids = {w: i for i, w in enumerate(order)}
-    grams = Counter()
-    for s in seqs:
-        t = [ids[w] for w in s]
-        grams.update(zip(t, t[1:]))
-        grams.update(zip(t, t[1:], t[2:]))
-    grams = {g: c for g, c in grams.items() if c > 1}
-    grams = {g: c for g, c in grams.items() if len(g) == 2 or g[:2] in grams}
-    total = sum(counts.values())
-    m = automaton.Automaton(order, [counts[w] for w in order], total, len(order), grams)
-    assert len(m.fail) > 3
-    for state in range(len(m.fail)):
-        unknown, s = 0.0, state
-        while s:
-            unknown += m.weight[s]
-            s = m.fail[s]
-        mass = sum(10 ** m.probability(state, i) for i in range(len(order))) + 10**unknown / (total + len(order) + 1)
-        assert mass == pytest.approx(1, abs=1e-9)
-    for s in seqs[:20]:
-        state, want = 0, 0.0
-        for w in s:
-            want += m.probability(state, ids[w])
-            while (arc := m.arcs.get(state << automaton.BITS | ids[w])) is None:
-                state = m.fail[state]
-            state = arc[0]
-        assert m.traverse(s)[0] == pytest.approx(want)
-
-
-@pytest.mark.parametrize("head", [8, 1 << 18])
-def test_base_scores(spark, monkeypatch, head):
-    monkeypatch.setattr(automaton, "HEAD", head)
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).select("doc_id", "text")
-    rows_more = [(9001, None), (9002, "  "), (9003, "Unseen unseenx")]
-    docs = docs.unionByName(spark.createDataFrame(rows_more, "doc_id long, text string"))
-    rows = docs.collect()
-    hold = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
-    toks = lambda t: [*(t or "").encode().lower().split(), b""]
-    counts = Counter(w for r in rows if not hold(r.doc_id) for w in toks(r.text))
+    m = Backoff([[*rng.choices([b"a", b"b", b"c", b"d"], [5, 3, 2, 1], k=rng.randrange(12)), b""] for _ in range(30)])
+    assert sum(len(h) == 2 for h in m.states) > 3
+    for h in [*m.states, (b"x",), (b"x", b"a"), (b"a", b"x")]:
+        assert sum(m.probability(h, w) for w in [*m.words, b"never seen"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_planes_round_trip():
+    rng = np.random.default_rng(3)
+    for top in (1, 2, 255, 256, 1 << 20, 1 << 40, 1 << 63):
+        x = rng.integers(0, top, 1000, dtype=np.uint64)
+        assert (automaton.unplaned(automaton.planes(x)) == x).all()
+        assert (automaton.unplaned_sorted(automaton.sorted_planes(np.sort(x))) == np.sort(x)).all()
+    assert len(automaton.unplaned(automaton.planes(np.zeros(0, np.uint64)))) == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK": 50, "SEGMENT": 7, "PART_ENTRIES": 100}, {"CHUNK": 1, "SEGMENT": 3, "PART_ENTRIES": 500}])
+def test_scores_are_those_of_the_whole_automaton(spark, monkeypatch, sizes):
+    """Chunks, parts and segments of any size give the path of one automaton with all n-grams."""
+    for name, size in sizes.items():
+        monkeypatch.setattr(automaton, name, size)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30 if sizes else 60).select("doc_id", "text")
+    rng = random.Random(23)
+    names, weights = [f"w{i}" for i in range(200)], [1 / (i + 1) for i in range(200)]
+    made = [(9100 + i, " ".join(rng.choices(names, weights, k=rng.randrange(40)))) for i in range(40)]
+    rows = [(r.doc_id, r.text[:2000]) for r in docs.collect()] + made + [(9001, None), (9002, "  "), (9003, "Unseen unseenx w1 w2 Unseen"), (9004, "w1"), (None, "w1 w2 w3")]
+    hold = lambda k: zlib.crc32(str(k).encode()) % 7 == 2 if k is not None else False
+    train = [words_of(t) for k, t in rows if not hold(k)]
+    counts = Counter(w for t in train for w in t)
     n, v = sum(counts.values()), len(counts)
+    whole = Backoff(train)
     from pyspark.sql import functions as F
 
-    fixed = spark.createDataFrame(rows, docs.schema)
-    got = automaton.scores(fixed, fixed.where((automaton.remainder(F.col("doc_id"), 7) != 2))).collect()
+    fixed = spark.createDataFrame(rows, docs.schema).repartition(3)
+    got = automaton.scores(fixed, automaton.remainder(F.col("doc_id"), 7) != 2).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    for r in rows:
-        t = toks(r.text)
-        g = by[r.doc_id]
+    for k, text in rows:
+        t, g = words_of(text), by[k]
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(t), sum(counts[w] > 0 for w in t), n)
         assert g.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), abs=1e-6)
-        assert g.score < 0
+        assert g.score == pytest.approx(whole.score(t), abs=1e-6)
 
 
 def test_scores_of_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
     docs = documents(spark)
-    rows = automaton.scores(docs, docs).collect()
+    rows = automaton.scores(docs, F.lit(True)).collect()
     assert len(rows) == len(TEXTS) + 1 and all(r.n_known == r.n_tokens for r in rows)
-    assert automaton.scores(empty(spark), empty(spark)).count() == 0
-    free = automaton.scores(docs, empty(spark)).collect()
-    assert all(r.n_known == 0 and r.base_score == 0 for r in free)
-
-
-@pytest.mark.parametrize("head", [8, 1 << 18])
-def test_scores_hold_all_grams(spark, monkeypatch, head):
-    """Scores are those of an automaton with every bigram and trigram, of rare words and seen once too."""
-    monkeypatch.setattr(automaton, "HEAD", head)
-    rng = random.Random(23)
-    names = [f"w{i}" for i in range(1200)]
-    weights = [1 / (i + 1) for i in range(1200)]
-    rows = [(i, " ".join(rng.choices(names, weights, k=rng.randrange(40)))) for i in range(300)]
-    rows += [(1000, "unseen w1 w2 unseen w1"), (1001, ""), (1002, None)]
-    train = [[*(t or "").encode().split(), b""] for i, t in rows if i < 250]
-    counts = Counter(w for s in train for w in s)
-    order = sorted(counts, key=lambda w: (-counts[w], w))
-    ids, grams = {w: i for i, w in enumerate(order)}, Counter()
-    for s in train:
-        x = [ids[w] for w in s]
-        grams.update(zip(x, x[1:]))
-        grams.update(zip(x, x[1:], x[2:]))
-    total = sum(counts.values())
-    whole = automaton.Automaton(order, [counts[w] for w in order], total, len(order), grams)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in automaton.scores(docs, docs.where("doc_id < 250")).collect()}
-    assert len(got) == len(rows)
-    for i, t in rows:
-        score, _, _, left = whole.traverse([*(t or "").encode().split(), b""])
-        assert got[i] == pytest.approx(score - len(left) * math.log10(total + len(order) + 1), abs=1e-6)
+    assert automaton.scores(empty(spark), F.lit(True)).count() == 0
+    free = automaton.scores(docs, F.lit(None).cast("boolean")).collect()
+    assert len(free) == len(rows) and all(r.n_known == 0 and r.base_score == 0 and r.score == 0 for r in free)
 
 
 def test_scores_hold_grams_seen_once(spark):
     """A text's pair and triple seen once in training score above the same words in an order never seen."""
-    rows = [(0, "a b c"), (1, "c b a"), (2, "b a c"), (3, "x y z")]
+    from pyspark.sql import functions as F
+
+    rows = [(0, "a b c"), (1, "c b a"), (2, "b a c"), (3, "x y z"), (10, "x y z"), (11, "z y x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    asked = spark.createDataFrame([(0, "x y z"), (1, "z y x")], "doc_id long, text string")
-    by = {r.doc_id: r for r in automaton.scores(asked, docs).collect()}
-    assert by[0].base_score == pytest.approx(by[1].base_score) and by[0].score > by[1].score + 0.5
+    by = {r.doc_id: r for r in automaton.scores(docs, F.col("doc_id") < 10).collect()}
+    assert by[10].base_score == pytest.approx(by[11].base_score) and by[10].score > by[11].score + 0.1
 
 
 def test_neighbours_learn_quality(spark):
