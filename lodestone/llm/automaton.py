@@ -44,9 +44,9 @@ END = b""
 #: Weights of the shorter context; chosen by the held-out texts of a tenth of the smaller test input.
 PAIR_PRIOR, TRIPLE_PRIOR = 500.0, 5.0
 #: Tokens of a chunk, and of a text that goes into one chunk whole; a longer text is cut, and its parts overlap.
-CHUNK, SEGMENT = 3_000_000, 500_000
+CHUNK, SEGMENT = 2_000_000, 500_000
 #: Entries of a part of the hash space, about.
-PART_ENTRIES = 2_000_000
+PART_ENTRIES = 1_500_000
 KEY_BITS = 60
 #: Stand before a text's first word. No word has this hash but by chance of 1 in 2**64.
 START = U(0x5851F42D4C957F2D)
@@ -73,15 +73,17 @@ def planes(values: np.ndarray) -> bytes:
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    size, at, out = int.from_bytes(data[:8], "little"), 8, None
-    out = np.zeros((size, 8), np.uint8)
-    for i in range(8):
-        if at >= len(data):
-            break
+    """The numbers again, as 32 bits each if they fit."""
+    size, at, found = int.from_bytes(data[:8], "little"), 8, []
+    while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
-        out[:, i] = np.frombuffer(pa.decompress(data[at + 8 : at + 8 + n], size, codec="zstd"), np.uint8)
+        found.append(data[at + 8 : at + 8 + n])
         at += 8 + n
-    return out.view("<u8").reshape(-1)
+    width = 4 if len(found) <= 4 else 8
+    out = np.zeros((size, width), np.uint8)
+    for i, packed in enumerate(found):
+        out[:, i] = np.frombuffer(pa.decompress(packed, size, codec="zstd"), np.uint8)
+    return out.reshape(-1).view(f"<u{width}")
 
 
 def sorted_planes(values: np.ndarray) -> bytes:
@@ -112,7 +114,7 @@ class Walk:
 
     def __init__(self, row: dict):
         self.dictionary = np.frombuffer(row["dictionary"], "<u8")
-        self.ids = unplaned(row["ids"]).astype(np.uint32)
+        self.ids = unplaned(row["ids"])
         self.sizes, self.lead, self.train = np.array(row["sizes"], np.int64), np.array(row["lead"], np.int64), np.array(row["train"], bool)
         ends = np.cumsum(self.sizes)
         self.first = ends - self.sizes
@@ -163,29 +165,36 @@ class Walk:
         """The sums of the distinct keys, given for each n-gram's token (or for each word of the dictionary)."""
         found, which = self.grams(order)
         by = np.argsort(found)
-        ordered = found[by]
-        group = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1]))) if len(by) else by
-        out = np.zeros(len(self.dictionary) if order == 1 else len(self.ids), np.int64)
+        found = found[by]
+        group = np.zeros(len(by), np.uint32)
+        np.cumsum(found[1:] != found[:-1], out=group[1:], dtype=np.uint32)
+        out = np.zeros(len(self.dictionary) if order == 1 else len(self.ids), sums.dtype)
         out[which[by]] = sums[group]
         return out
 
 
 def steps(walk: Walk, sums: list[np.ndarray], tokens: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log10 probability, unigram count, unigram log10 probability) of each step along the automaton."""
-    word = walk.spread(1, sums[0])
-    one = word[walk.ids]
-    base = np.log10(one + 1.0) - math.log10(tokens + distinct + 1)
+    one = walk.spread(1, sums[0])[walk.ids]
     # The root's arc, or the unknown word's.
-    p = (one + 1.0) / (tokens + distinct + 1)
-    context = np.roll(one, 1)
-    context[walk.first] = texts
+    base = (one + 1.0) / (tokens + distinct + 1)
+    p = base * PAIR_PRIOR
     pair = walk.spread(2, sums[1])
-    p = (pair + PAIR_PRIOR * p) / (context + PAIR_PRIOR)
+    p += pair
+    context = np.roll(one, 1).astype(np.float64)
+    context[walk.first] = texts
+    p /= context + PAIR_PRIOR
+    del context
+    # A first word has no state of two words; all counts are 0 there, and the arc is the shorter context's.
     before = np.roll(pair, 1)
     before[walk.first] = 0
+    del pair
+    p *= TRIPLE_PRIOR
     triple = walk.spread(3, sums[2])
-    p = np.where(walk.place > 0, (triple + TRIPLE_PRIOR * p) / (before + TRIPLE_PRIOR), p)
-    return np.log10(p), one, base
+    p += triple
+    del triple
+    p /= before + TRIPLE_PRIOR
+    return np.log10(p, out=p), one, np.log10(base, out=base)
 
 
 WALK = "sizes array<int>, lead array<int>, train array<boolean>, ids binary, dictionary binary"
@@ -267,17 +276,18 @@ def arcs(walked: DataFrame, parts: int) -> DataFrame:
             known = 0
             for order in "123":
                 each = [unplaned_sorted(x["k" + order]) for x in held]
+                borders = np.cumsum([0, *map(len, each)])
                 key = np.concatenate(each)
+                del each
                 counts = np.concatenate([unplaned(x["c" + order]) for x in held]).astype(np.int64)
                 by = np.argsort(key)
                 key = key[by]
                 new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
                 totals = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(key) else counts
                 known += int((totals > 0).sum()) if order == "1" else 0
-                whole = np.empty(len(key), np.int64)
+                whole = np.empty(len(key), np.uint64)
                 whole[by] = totals[np.cumsum(new) - 1]
-                borders = np.cumsum([0, *map(len, each)])
-                sums.append([planes(whole[a:b].astype(np.uint64)) for a, b in zip(borders, borders[1:])])
+                sums.append([planes(whole[a:b]) for a, b in zip(borders, borders[1:])])
             for i, x in enumerate(held):
                 columns = [pa.array([v], t) for v, t in ((x["chunk"], pa.int64()), (part, pa.int32()), (0 if i else known, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([s[i]], pa.binary()) for s in sums)], ["chunk", "part", "known", "s1", "s2", "s3"])
@@ -321,7 +331,7 @@ def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(walk_row: dict, keys_: pa.Array, held: list[dict]) -> pa.RecordBatch:
             walk = Walk(walk_row)
-            found, one, base = steps(walk, [np.concatenate([unplaned(x[f"s{i}"]) for x in held]).astype(np.int64) for i in "123"], tokens, distinct, texts)
+            found, one, base = steps(walk, [np.concatenate([unplaned(x[f"s{i}"]) for x in held]) for i in "123"], tokens, distinct, texts)
             per = lambda x: np.add.reduceat(np.where(walk.own, x, 0), walk.first)
             arrays = [pa.array(walk_row["rows"], pa.int64()), keys_, *(pa.array(x) for x in (walk.sizes - walk.lead, per((one > 0).astype(np.int64)), per(base), per(found)))]
             return pa.RecordBatch.from_arrays(arrays, names)
