@@ -28,14 +28,29 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row``, so that no column of its can clash with one that is added."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+
+
+def rows_again(df: DataFrame) -> DataFrame:
+    """The columns that ``whole_rows`` put into ``row``."""
+    return df.select("row.*")
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, a null as an empty one."""
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
 def encoded(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    """The batch's texts as UTF-8, without decoding them; a null is empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    """The batch's texts (or those in its struct column ``row``) as UTF-8, without decoding them; a null is empty."""
+    held = batch.column("row").field(column) if "row" in batch.schema.names else batch.column(column)
+    return [x or b"" for x in held.cast(pa.binary()).to_pylist()]
 
 
 def remainder(column, modulus: int):

@@ -1,37 +1,44 @@
 """Quality rules whose limits follow the data.
 
 Each document gets counts (words, symbols, repeated lines, repeated three-word windows, capitals) and, from
-them, five rates in parts per thousand. Per language and source, the rates go into quantile sketches:
-histograms over whole-number bins. Sketches of any two sets of rows merge by adding their counts, so
-partial aggregation builds them, a group of few rows takes the merged sketch of its language, and a
-language of few rows that of all documents. A document is rejected if a rate is beyond its group's limit,
+them, five smoothed rates. Per language and source, the rates go into quantile sketches: histograms over
+logarithmic bins, 128 to a power of two, so that a quantile is known to within a hundredth of itself and a
+sketch has a few thousand bins at most, whatever the rows. Sketches of any two sets of rows merge by adding
+their counts; partial aggregation builds them, and those of a language, and of all documents, are merged from
+those of its sources. A rate beyond its group's fences,
 
-    median + SPREAD * (median - lower quantile) + slack,
+    upper quartile + SPREAD * (upper - lower quartile)    and, for the rates in ``LOWER``,
+    lower quartile - SPREAD * (upper - lower quartile),
 
-which follows the clean half of a group: up to half of its documents may be bad without moving it much.
-The bins are whole numbers, so every result is exact and repeatable, in any order of rows.
+both counted in bins, that is in powers, rejects a document. Nothing but the quartiles decides where a fence
+stands. A group's fences are drawn towards its language's, and these towards all documents', as if PRIOR rows
+of them were in the group: alike for any number of rows.
+
+Bins are whole numbers and add up exactly, so results are repeatable in any order of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, encoded, materialise, table
+from .common import arrow_map, encoded, materialise, rows_again, table, whole_rows
 
 SYMBOLS = b"#*$%&|<>"
-#: Slack of each rate: how far beyond the spread of a uniform group a document may lie.
-SLACK = {"symbol_rate": 60, "line_rate": 400, "repeat_rate": 400, "capital_rate": 250, "long_rate": 4500}
-#: Bins are whole parts per thousand. The SQL twin clips rates to this one; the operator does not, so that rules fire beyond it.
-LAST_BIN = 20_000
-SPREAD = 4
-LOWER, MIDDLE = 5, 50
-MIN_ROWS = 100
+#: Each rate is (count + 1) / (whole + SMOOTH), in millionths.
+RATES = {"symbol_rate": ("n_symbols", "n_words"), "line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "capital_rate": ("n_capitals", "n_letters"), "word_length": ("word_chars", "n_words")}
+#: Rates of which too little is a fault as well.
+LOWER = ("capital_rate", "word_length")
+SMOOTH, UNIT = 8, 1_000_000
+#: Bins to a power of two, as a power of two.
+BIN_BITS = 7
+#: Fences stand as many quartile distances beyond the quartiles as those for far outliers do.
+SPREAD = 3
+PRIOR = 100
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_capitals long"
 NAMES = [x.split()[0] for x in METRICS.split(", ")]
 NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
@@ -61,106 +68,111 @@ def measure(data: bytes) -> tuple[int, ...]:
     return (len(words), chars, len(joined.translate(None, NOT_SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals + len(joined.translate(None, NOT_SMALL)), capitals)
 
 
-def with_counts(docs: DataFrame, text: str = "text", drop_text: bool = True) -> DataFrame:
-    """``docs`` with the counts of its texts. One narrow stage; columns that clash with a count are dropped."""
-    kept = [c for c in docs.columns if c not in NAMES and not (drop_text and c == text)]
-    fields = [f for f in docs.schema.fields if f.name in kept]
-    schema = T.StructType([*fields, *T._parse_datatype_string(METRICS).fields])
+def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs``, of columns doc_id, lang, source and ``text`` or of one struct ``row``, with the counts of its texts."""
+    kept = [c for c in docs.columns if c != text]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string(METRICS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [*zip(*map(measure, encoded(batch, text)))] or [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, pa.int64()) for x in counts)], [*kept, *NAMES])
 
-    return arrow_map(docs.select(*dict.fromkeys([*kept, text])), run, schema)
+    return arrow_map(docs, run, schema)
+
+
+def bin_of(count: str, whole: str) -> Column:
+    """The bin of a rate: linear within each power of two, and ascending."""
+    x = F.expr(f"({count} + 1) * {UNIT} DIV ({whole} + {SMOOTH})")
+    shift = F.greatest(F.length(F.bin(x)) - (BIN_BITS + 1), F.lit(0))
+    return shift.cast("long") * F.lit(1 << BIN_BITS) + F.call_function("shiftright", x, shift)
+
+
+def bins() -> dict[str, Column]:
+    return {name: bin_of(*of) for name, of in RATES.items()}
+
+
+def sketches(counted: DataFrame) -> DataFrame:
+    """(lang, source, rate, bin, n): a sketch of each rate for each language and source."""
+    entries = F.explode(F.array(*[F.struct(F.lit(name).alias("rate"), b.alias("bin")) for name, b in bins().items()]))
+    long = counted.select("lang", "source", entries.alias("x")).select("lang", "source", "x.rate", "x.bin")
+    return long.groupBy("lang", "source", "rate", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches added up over all groups that agree in ``by``."""
+    return sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def rates() -> dict[str, F.Column]:
-    """The five rates, whole parts per thousand; 0 where there is nothing to count."""
-    per = lambda a, b: F.coalesce(F.try_divide(F.lit(1000) * F.col(a) - F.pmod(F.lit(1000) * F.col(a), F.nullif(F.col(b), F.lit(0))), F.col(b)), F.lit(0)).cast("long")
-    found = {
-        "symbol_rate": per("n_symbols", "n_words"),
-        "line_rate": per("n_dup_lines", "n_lines"),
-        "repeat_rate": per("n_repeat_words", "n_words"),
-        "capital_rate": per("n_capitals", "n_letters"),
-        "long_rate": per("word_chars", "n_words"),
-    }
-    return found
+def fences(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """(by, rate, <prefix>_rows, <prefix>_low, <prefix>_high), in bins. A sketch's bins are few, so a list holds them."""
+    entries = F.sort_array(F.collect_list(F.struct("bin", "n")))
+    held = sketch.groupBy(*by, "rate").agg(F.sum("n").alias("rows"), entries.alias("bins"))
+
+    def quartile(percent: int) -> Column:
+        # The first bin at which the running count reaches the share.
+        need = F.ceil(F.col("rows") * F.lit(percent) / F.lit(100))
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("bin"))
+        step = lambda a, x: F.when(a["seen"] >= need, a).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), x["bin"].alias("bin")))
+        return F.aggregate("bins", start, step)["bin"]
+
+    found = held.select(*by, "rate", "rows", quartile(25).alias("q1"), quartile(75).alias("q3"))
+    return found.select(*by, "rate", F.col("rows").alias(f"{prefix}_rows"), (F.col("q1") - SPREAD * (F.col("q3") - F.col("q1"))).alias(f"{prefix}_low"), (F.col("q3") + SPREAD * (F.col("q3") - F.col("q1"))).alias(f"{prefix}_high"))
 
 
 def limits(counted: DataFrame) -> DataFrame:
-    """Sketches of every rate per language and source, merged upwards, and the limits read from them.
+    """(lang, source, low_<rate>..., high_<rate>...): one row per language and source, few against the documents.
 
-    Returns (lang, source, limit_<rate>...): one row per language and source, few against the documents.
     Null languages and sources are groups of their own.
     """
-    names = list(SLACK)
-    long = counted.select("lang", "source", *[v.alias(k) for k, v in rates().items()])
-    # One row per group, rate and bin; partial aggregation leaves each task at most its distinct bins.
-    bins = long.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), F.col(n).alias("bin")) for n in names])).alias("x"))
-    sketch = materialise(bins.groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n")), "sketch")
-
-    def quantiles(merged: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        # A group's sketch has a bin for each distinct rate. There are many only where texts have no spaces, as symbols
-        # and characters are counted per word; nothing bounds them then but the distinct lengths of the texts.
-        entries = F.sort_array(F.collect_list(F.struct("bin", "n")))
-        held = merged.groupBy(*keys, "rate").agg(F.sum("n").alias("rows"), entries.alias("bins"))
-
-        def at(percent: int):
-            # The first bin at which the running count reaches the share.
-            need = F.ceil(F.col("rows") * F.lit(percent) / F.lit(100))
-            start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("bin"))
-            step = lambda a, x: F.when(a["seen"] >= need, a).otherwise(F.struct((a["seen"] + x["n"]).alias("seen"), x["bin"].alias("bin")))
-            return F.aggregate("bins", start, step)["bin"]
-
-        low, mid = at(LOWER), at(MIDDLE)
-        limit = mid + F.lit(SPREAD) * (mid - low) + F.element_at(F.create_map(*chain(*((F.lit(k), F.lit(v)) for k, v in SLACK.items()))), F.col("rate"))
-        return held.select(*keys, "rate", F.col("rows").alias(f"{prefix}_rows"), limit.alias(f"{prefix}_limit"))
-
-    def merge(by: list[str]) -> DataFrame:
-        return sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
-
-    own = quantiles(sketch, ["lang", "source"], "own")
-    lang = quantiles(merge(["lang"]), ["lang"], "lang")
-    every = quantiles(merge([]), [], "every")
-    joined = own.alias("o").join(lang.alias("l"), F.col("o.rate").eqNullSafe(F.col("l.rate")) & F.col("o.lang").eqNullSafe(F.col("l.lang"))).join(every.alias("e"), F.col("o.rate") == F.col("e.rate"))
-    chosen = F.when(F.col("own_rows") >= MIN_ROWS, F.col("own_limit")).when(F.col("lang_rows") >= MIN_ROWS, F.col("lang_limit")).otherwise(F.col("every_limit"))
-    return joined.groupBy("o.lang", "o.source").agg(*[F.max(F.when(F.col("o.rate") == n, chosen)).alias(f"limit_{n}") for n in names])
-
-
-def judge(counted: DataFrame, limit: DataFrame) -> DataFrame:
+    sketch = materialise(sketches(counted), "sketch")
+    own = fences(sketch, ["lang", "source"], "own").alias("o")
+    lang = fences(merged(sketch, ["lang"]), ["lang"], "lang").alias("l")
+    every = fences(merged(sketch, []), [], "every").alias("e")
+    joined = own.join(lang, F.col("o.rate").eqNullSafe(F.col("l.rate")) & F.col("o.lang").eqNullSafe(F.col("l.lang"))).join(every, F.col("o.rate") == F.col("e.rate"))
+
+    def drawn(side: str) -> Column:
+        prior = F.lit(float(PRIOR))
+        wider = (F.col("lang_rows") * F.col(f"lang_{side}") + prior * F.col(f"every_{side}")) / (F.col("lang_rows") + prior)
+        return (F.col("own_rows") * F.col(f"own_{side}") + prior * wider) / (F.col("own_rows") + prior)
+
+    both = joined.select("o.lang", "o.source", "o.rate", drawn("low").alias("low"), drawn("high").alias("high"))
+    return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == name, F.col(side))).alias(f"{side}_{name}") for name in RATES for side in ("low", "high")])
+
+
+def judge(counted: DataFrame, limit: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``counted`` with base_failed and kept. ``limit`` is a materialised table, so the planner knows its size:
     it is broadcast below Spark's threshold and sort-merge joined beyond, where AQE splits a hot source."""
     base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    low = limit.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"limit_{n}") for n in SLACK])
-    joined = counted.join(low, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    fence = limit.withColumnsRenamed({"lang": "limit_lang", "source": "limit_source"})
+    joined = counted.join(fence, F.col(lang).eqNullSafe(F.col("limit_lang")) & F.col(source).eqNullSafe(F.col("limit_source")), "left")
     beyond = F.lit(False)
-    for name, rate in rates().items():
-        beyond = beyond | F.coalesce(rate > F.col(f"limit_{name}"), F.lit(False))
-    out = joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~beyond)
-    return out.drop("_lang", "_source", *[f"limit_{n}" for n in SLACK])
+    for name, b in bins().items():
+        beyond = beyond | (b > F.col(f"high_{name}"))
+        if name in LOWER:
+            beyond = beyond | (b < F.col(f"low_{name}"))
+    out = joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
+    return out.drop(*fence.columns)
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Counts and verdict per document: doc_id, the counts, base_failed, kept.
+    """Counts and verdict per document: doc_id, lang, source, the counts, base_failed, kept.
 
     A null or empty text has no words and fails. Null doc_ids, languages and sources are ordinary values;
-    repeated rows each get a row. An empty table gives an empty result. Texts are read once.
+    repeated rows each get a row and count each time. An empty table gives an empty result. Other columns are
+    not read. Texts are read once.
     """
     counted = materialise(with_counts(docs.select("doc_id", "lang", "source", text), text), "counts")
     return judge(counted, materialise(limits(counted), "limits"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its own columns (those named like a count are set aside).
+    """The rows of ``docs`` that are kept, with its own columns, whatever their names; a null text goes.
 
     The counts are made twice, for the limits and for the verdict, rather than stored beside whole texts.
     """
-    columns = docs.columns
-    keep = docs.withColumnsRenamed({c: f"_own_{c}" for c in columns if c in [*NAMES, "base_failed", "kept"]})
     limit = materialise(limits(with_counts(docs.select("doc_id", "lang", "source", "text"))), "limits")
-    kept = judge(with_counts(keep, drop_text=False), limit).where("kept")
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in keep.columns else F.col(c) for c in columns])
+    return rows_again(judge(with_counts(whole_rows(docs)), limit, "row.lang", "row.source").where("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,18 +180,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _quantile(alias: str, by: str, percent: int) -> str:
-    return f"min(bin) FILTER (WHERE seen >= ceil(total * {percent} / 100.0))"
-
-
-def _sketch_sql(name: str, keys: str) -> str:
-    """Quantiles of merged sketches, by running counts over the bins."""
+def _fences_sql(name: str, keys: str) -> str:
+    """Fences of merged sketches, by running counts over the bins."""
     part = f"{keys}, rate" if keys else "rate"
-    limit = f"q{MIDDLE} + {SPREAD} * (q{MIDDLE} - q{LOWER}) + CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items()) + " END"
+    quartile = lambda q: f"min(bin) FILTER (WHERE seen >= ceil(total * {q} / 100.0))"
     return f"""{name}_m AS (SELECT {part}, bin, sum(n) AS n FROM sketch GROUP BY {part}, bin),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {part} ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {part}) AS total FROM {name}_m),
-{name}_q AS (SELECT {part}, max(total) AS total_rows, {_quantile(name, part, LOWER)} AS q{LOWER}, {_quantile(name, part, MIDDLE)} AS q{MIDDLE} FROM {name}_c GROUP BY {part}),
-{name} AS (SELECT {part}, total_rows, {limit} AS lim FROM {name}_q)"""
+{name}_q AS (SELECT {part}, max(total)::BIGINT AS total_rows, {quartile(25)} AS q1, {quartile(75)} AS q3 FROM {name}_c GROUP BY {part}),
+{name} AS (SELECT {part}, total_rows, q1 - 3 * (q3 - q1) AS low, q3 + 3 * (q3 - q1) AS high FROM {name}_q)"""
 
 
 def counts_sql(source: str = "documents") -> str:
@@ -201,18 +209,19 @@ counted AS (SELECT d.*, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)
 
 def verdict_sql(source: str = "documents") -> str:
     """CTEs ending in ``judged``: the counts with base_failed and kept, by row."""
-    pairs = {"symbol_rate": ("n_symbols", "n_words"), "line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "capital_rate": ("n_capitals", "n_letters"), "long_rate": ("word_chars", "n_words")}
-    rate = {k: f"least(coalesce(1000 * {a} // nullif({b}, 0), 0), {LAST_BIN})" for k, (a, b) in pairs.items()}
-    bins = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS rate, {v} AS bin FROM counted" for k, v in rate.items())
+    pairs = {"symbol_rate": ("n_symbols", "n_words"), "line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "capital_rate": ("n_capitals", "n_letters"), "word_length": ("word_chars", "n_words")}
+    values = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS rate, ({a} + 1) * 1000000 // ({b} + 8) AS x FROM counted" for k, (a, b) in pairs.items())
+    drawn = lambda side: f"(o.total_rows * o.{side} + 100.0::DOUBLE * ((l.total_rows * l.{side} + 100.0::DOUBLE * e.{side}) / (l.total_rows + 100.0::DOUBLE))) / (o.total_rows + 100.0::DOUBLE) AS {side}"
     return f"""{counts_sql(source)},
-bins AS ({bins}),
+vals AS ({values}),
+bins AS (SELECT rid, lang, source, rate, greatest(length(bin(x)) - 8, 0) * 128 + (x >> greatest(length(bin(x)) - 8, 0)) AS bin FROM vals),
 sketch AS (SELECT lang, source, rate, bin, count(*) AS n FROM bins GROUP BY ALL),
-{_sketch_sql("own", "lang, source")},
-{_sketch_sql("bylang", "lang")},
-{_sketch_sql("allrows", "")},
-lims AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.total_rows >= {MIN_ROWS} THEN o.lim WHEN l.total_rows >= {MIN_ROWS} THEN l.lim ELSE e.lim END AS lim
+{_fences_sql("own", "lang, source")},
+{_fences_sql("bylang", "lang")},
+{_fences_sql("allrows", "")},
+lims AS (SELECT o.lang, o.source, o.rate, {drawn("low")}, {drawn("high")}
   FROM own o JOIN bylang l ON o.rate = l.rate AND o.lang IS NOT DISTINCT FROM l.lang JOIN allrows e ON o.rate = e.rate),
-beyond AS (SELECT rid, bool_or(bin > lim) AS b FROM bins JOIN lims ON bins.rate = lims.rate AND bins.lang IS NOT DISTINCT FROM lims.lang AND bins.source IS NOT DISTINCT FROM lims.source GROUP BY rid),
+beyond AS (SELECT rid, bool_or(bin > high OR bin < low AND bins.rate IN ('capital_rate', 'word_length')) AS b FROM bins JOIN lims ON bins.rate = lims.rate AND bins.lang IS NOT DISTINCT FROM lims.lang AND bins.source IS NOT DISTINCT FROM lims.source GROUP BY rid),
 judged AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT b AS kept FROM counted c JOIN beyond USING (rid))"""
 
 

@@ -149,7 +149,7 @@ def test_rules_keep_clean_and_drop_noise(spark):
 
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    clean = [(i, " ".join(word() for _ in range(120)), "en", "s", 1) for i in range(150)]
+    clean = [(i, " ".join(word() for _ in range(rng.randrange(60, 200))), "en", "s", 1) for i in range(150)]
     noise = [(1000 + i, " ".join(word() + "###" for _ in range(120)), "en", "s", 1) for i in range(30)]
     docs = spark.createDataFrame([*clean, *noise], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in rules.filter_documents(docs).collect()}
@@ -191,11 +191,70 @@ def test_interleaving_stays_aligned(spark):
     assert got == [(1, 1, "d1", "c1", None), (1, 3, "d2", "cap 2", "payload 2"), (3, 0, "d2", None, "payload 2")]
 
 
-def test_rules_fire_beyond_the_last_bin(spark):
+def test_rules_take_huge_words_by_their_group(spark):
     """Where words have 25 characters, a text of huge unbroken strings goes; where all have 3,000, they stay."""
-    from lodestone.llm import rules
-
     row = lambda i, source, size: (i, "en", source, " ".join(f"{j:05d}".ljust(size, "x") for j in range(60)))
-    rows = [row(i, "a", 25) for i in range(120)] + [row(1000, "a", 5000)] + [row(2000 + i, "b", 3000) for i in range(120)]
+    rows = [row(i, "a", 23 + i % 5) for i in range(400)] + [row(1000, "a", 5000)] + [row(2000 + i, "b", 2900 + i) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
     assert {r.doc_id for r in rules.quality_rules(docs).where("NOT kept").collect()} == {1000}
+
+
+def styled(rng, i, source, words, lines, symbols, repeats, capitals, length, copies):
+    """A text with about the given rates."""
+    out = []
+    for _ in range(words):
+        w = "".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, round(rng.gauss(length, 1)))))
+        w = w.capitalize() if rng.random() < capitals else w
+        out.append(w + "#" * (rng.random() < symbols))
+    for _ in range(round(repeats * words / 6)):
+        at = rng.randrange(words - 8)
+        out[at + 4 : at + 7] = out[at : at + 3]
+    size = max(1, words // lines)
+    rows = [" ".join(out[k : k + size]) for k in range(0, words, size)]
+    return (i, "\n".join(rows + [rng.choice(rows[:2]) for _ in range(rng.randrange(copies, copies + 3))]), "en", source, 1)
+
+
+def test_limits_differ_where_groups_differ(spark):
+    """Two sources of different rates have different fences for all rates, each in the midst of its own rates."""
+    import random
+
+    rng = random.Random(7)
+    rows = [styled(rng, i, "plain", 200, 8, 0.02, 0.02, 0.02, 5, 0) for i in range(500)] + [styled(rng, 1000 + i, "dense", 400, 20, 0.3, 0.1, 0.2, 8, 3) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by = {r.source: r for r in rules.limits(rules.with_counts(docs.select("doc_id", "lang", "source", "text"))).collect()}
+    for name in rules.RATES:
+        for side in ("low", "high"):
+            assert abs(by["plain"][f"{side}_{name}"] - by["dense"][f"{side}_{name}"]) > 5, (name, side)
+    assert rules.quality_rules(docs).where("kept").count() >= 990
+    # The same text is usual in one source and an outlier in the other.
+    odd = styled(rng, 5000, "plain", 400, 20, 0.3, 0.1, 0.2, 8, 3)
+    more = docs.unionByName(spark.createDataFrame([odd, (5001, *odd[1:3], "dense", 1)], docs.schema))
+    assert {r.doc_id: r.kept for r in rules.quality_rules(more).where("doc_id >= 5000").collect()} == {5000: False, 5001: True}
+
+
+def test_no_limit_is_a_constant():
+    """On the test tables every fence differs between groups."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    rows = con.execute(f"WITH {rules.verdict_sql()} SELECT rate, count(*), count(DISTINCT low), count(DISTINCT high) FROM lims GROUP BY rate").fetchall()
+    assert len(rows) == 5 and all(low > 10 and high > 10 for _, _, low, high in rows)
+
+
+def test_sketch_quantiles_and_merging(spark):
+    """Bins ascend with the rate and are a hundredth wide; merged sketches are the sketch of all rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    counts = [(rng.choice("ab"), "s", int(10 ** rng.uniform(0, 9)), int(10 ** rng.uniform(0, 6))) for _ in range(500)]
+    df = spark.createDataFrame(counts, "lang string, source string, c long, w long").select("*", rules.bin_of("c", "w").alias("bin"))
+    pairs = sorted((((r.c + 1) * rules.UNIT) // (r.w + rules.SMOOTH), r.bin) for r in df.collect())
+    assert all(x[1] <= y[1] for x, y in zip(pairs, pairs[1:]))
+    assert all(y[1] > x[1] for x, y in zip(pairs, pairs[1:]) if y[0] > 1.01 * x[0] + 1)
+    sketch = df.groupBy("lang", "source", F.lit("r").alias("rate"), "bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = {(r.rate, r.bin): r.n for r in rules.merged(sketch, []).collect()}
+    direct = {("r", r.bin): r["count"] for r in df.groupBy("bin").count().collect()}
+    assert whole == direct
