@@ -171,13 +171,93 @@ def test_media_round_trip(spark):
         payload = media.payload_of(data)
         assert len(payload) % 64 == 0 and payload and payload.startswith(data)
         assert media.load(media.store(payload)).tobytes() == payload
+
+
+def by_hand(text):
+    """(n_bytes, payload bytes, sha256, crc32 of the last 64, media bytes, media sha256) of a text."""
+    data = (text or "").encode()
+    payload = data + bytes(-len(data) % 64) if data else bytes(64)
+    medium = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+    return (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(medium), hashlib.sha256(medium).hexdigest())
+
+
+def feature_by_hand(text):
+    data = (text or "").encode()
+    payload = data + bytes(-len(data) % 64) if data else bytes(64)
+    rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+    n = len(payload)
+    mean = sum(payload) / n
+    dev = (sum(x * x for x in payload) / n - mean * mean) ** 0.5 if len(set(payload)) > 1 else 0.0
+    across = sum(abs(r[i + 1] - r[i]) for r in rows for i in range(63)) / n
+    down = sum(abs(b[i] - a[i]) for a, b in zip(rows, rows[1:]) for i in range(64)) / n
+    return [mean, dev, across, down, *(sum(x >> 5 == k for x in payload) / n for k in range(8))]
+
+
+def test_media_query_against_brute_force(spark):
+    got = media.op5_media(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert tuple(r)[1:7] == by_hand(texts[r.doc_id])
+        # The medium stands after the first paragraph, if that has any text.
+        lines = [" ".join(x.split()) for x in texts[r.doc_id].split("\n")]
+        assert r.position == int(bool(lines[0])) and r.n_segments == sum(map(bool, lines)) + 1
+    for r in got[:20]:
+        found = [float(x) for x in r.feature.replace("bands=", "x=").replace(",", ";x=").split(";") for x in x.split("=")[1:]]
+        assert found == pytest.approx(feature_by_hand(texts[r.doc_id]), abs=1e-4)
+
+
+def test_media_of_awkward_rows(spark):
     docs = documents(spark)
-    kept = media.stored_texts(docs, keep_payload=True).collect()
-    assert len(kept) == len(TEXTS) + 1
-    for r in kept:
-        back = media.load(bytes(r.media)).tobytes()
-        assert hashlib.sha256(back).hexdigest() == r.payload_sha256 and zlib.crc32(back[-64:]) == r.tail_crc32
-    assert media.stored_texts(empty(spark)).count() == 0
+    rows = media.media_of(docs).collect()
+    want = sorted((str(None if i == 4 else i), *by_hand(t)) for i, t in [*enumerate(TEXTS), (5, TEXTS[5])])
+    assert sorted((str(r[0]), *tuple(r)[1:7]) for r in rows) == want
+    assert media.media_of(empty(spark)).count() == 0
+    kept = media.stored(docs).collect()
+    assert {hashlib.sha256(bytes(r.medium)).hexdigest() for r in kept} == {by_hand(t)[5] for t in TEXTS}
+
+
+def test_interleaved_segments_hold_their_bytes(spark):
+    """Real text and media in one sequence: the bytes that each reference resolves to are the text's own."""
+    rows = [(1, "one & <two>\nthree"), (2, "alone"), (3, "\n\nlate"), (4, "alone")]
+    docs = spark.createDataFrame(rows, "page_id long, text string")
+    store = media.stored(docs).dropDuplicates(["digest"])
+    got = {r.page_id: r.segments for r in media.interleaved(media.pages_of(docs, "page_id"), store).collect()}
+    assert [(s.kind, s.text) for s in got[1]] == [("text", "one & <two>"), ("media", None), ("text", "three")]
+    assert [s.kind for s in got[2]] == ["text", "media"] and [s.kind for s in got[3]] == ["media", "text"]
+    for key, text in rows:
+        found = [s for s in got[key] if s.kind == "media"]
+        assert len(found) == 1 and media.load(bytes(found[0].medium)).tobytes().rstrip(b"\0") == text.encode()
+        assert found[0].caption == f"{len(text.encode())} bytes"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<figure><img src=a><figcaption>cap<p>rest</p><p>more</p>", [("media", "a", "cap"), ("text", "rest", None), ("text", "more", None)]),
+        ("<figure><img src=a><figcaption>cap <p>all</p></figure>after", [("media", "a", "cap all"), ("text", "after", None)]),
+        ("<figcaption>no figure</figcaption><img src=a alt=b>", [("text", "no figure", None), ("media", "a", "b")]),
+        ("<figure><img src=a><figure><img src=b><figcaption>two</figcaption></figure>", [("media", "a", None), ("media", "b", "two")]),
+        ("x <![foo[ y <p>z", None),
+        ("<img src=''><img><p", [("text", "<p", None)]),
+        ("a<b<c>&amp;&#x41;&bogus;", [("text", "a&A&bogus;", None)]),
+        ("<script>never closed <img src=a>", []),
+    ],
+)
+def test_malformed_pages(html, want):
+    found = media.parse(html)
+    assert [x["position"] for x in found] == [*range(len(found))]
+    if want is not None:
+        assert [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in found] == want
+
+
+def test_very_long_and_random_pages():
+    assert media.parse("<p>word " * 100_000)[-1]["position"] == 99_999
+    assert len(media.parse("x" * 5_000_000)) == 1
+    rng = np.random.default_rng(4)
+    bits = ["<p>", "<", ">", "</figure>", "<figure>", "<figcaption>", "<img src=q>", "&", "<!", "--", "<![", "[", "]]>", "<?", "text ", "</", "\x00", "'", '"']
+    for _ in range(500):
+        media.parse("".join(rng.choice(bits, 30)))
 
 
 def test_interleaving_stays_aligned(spark):
