@@ -11,9 +11,12 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Only a session in one process may go without: it gets a temporary one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,18 +30,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these frames. All that was computed from them must be written by now."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            _written.get(df.sparkSession.sparkContext.applicationId, []).remove(path)
+            _delete(df.sparkSession, path)
 
 
 def sweep(spark: SparkSession, keep: DataFrame | None = None) -> int:
     """Delete what this application's ``materialise`` wrote, once no result needs it. Returns how many tables went."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     held = " ".join(keep.inputFiles()) if keep is not None else ""
-    hadoop, gone = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
+    gone = 0
     for path in paths:
         if path.rsplit("/", 1)[-1] in held:
             _written.setdefault(spark.sparkContext.applicationId, []).append(path)
         else:
-            at = hadoop.Path(path)
-            gone += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+            gone += _delete(spark, path)
     return gone
