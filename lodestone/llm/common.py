@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.readers import table  # noqa: F401
-from ..storage import materialise, shared_folder  # noqa: F401
+from ..storage import discard, materialise, shared_folder  # noqa: F401
 
 #: Rows and bytes that Arrow hands to Python at once. Texts may be long, so a batch is kept small.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20

@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, encoded, materialise, signed
+from .common import arrow_map, discard, encoded, materialise, signed
 from .windows import U, Prefix, mix, runs
 
 SLICE_BITS = 16
@@ -34,16 +34,26 @@ MIN_BITS, MAX_BITS = 18, 29
 ROOM = 4
 #: Bytes of text that are worked on at once, so that arrays stay in cache.
 BLOCK_BYTES = 100_000
-FLUSH = 1 << 22
-#: Contexts of one anchor from which on they are compared by window rather than by the resolver.
-HOT = 256
+#: Hashed values that a task holds before it sends its sketch on.
+FLUSH = 1 << 20
+#: Contexts of one anchor from which on they are compared by window rather than by the resolver: some megabytes.
+HOT = 1 << 14
 OCCURRENCE = "a long, h long, doc long, p long"
-NULL_ID = -(1 << 63)
+#: Null keys come first of all, in the order of 40 bits of their text's hash.
+NULL_BITS = 40
+SEED, FOLD_BITS = 42, 24
 
 
 def fold(text: bytes) -> int:
-    """16 bits of a text, to tell apart rows that share a doc_id."""
-    return xxhash.xxh64_intdigest(text) & 0xFFFF
+    """24 bits of a text, to tell apart rows that share a key."""
+    return xxhash.xxh64_intdigest(text, SEED) >> (64 - FOLD_BITS)
+
+
+def identity(key: Column, text: Column) -> tuple[Column, Column]:
+    """(doc, fold): a row's place in the order of documents, and its text's fold."""
+    h = F.xxhash64(F.coalesce(text, F.lit("")))
+    null = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.shiftleft(h, FOLD_BITS), 64 - NULL_BITS)
+    return F.coalesce(key.cast("long"), null), F.shiftrightunsigned(h, 64 - FOLD_BITS)
 
 
 def blocks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -146,8 +156,13 @@ def first_key(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def places(starts: np.ndarray, counts: np.ndarray, folds: np.ndarray) -> np.ndarray:
-    """Place of a stretch of windows in its document: first window, text's fold, windows less one."""
-    return (starts << 24) | (folds << 8) | (counts - 1)
+    """Place of a stretch of windows in its document: first window (31 bits), text's fold, windows less one."""
+    return (starts << (FOLD_BITS + 8)) | (folds << 8) | (counts - 1)
+
+
+def placed(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, fold, windows) again."""
+    return p >> (FOLD_BITS + 8), p >> 8 & (1 << FOLD_BITS) - 1, (p & 0xFF) + 1
 
 
 def stretches(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,15 +179,19 @@ def stretches(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[at], start[at], np.diff(np.append(at, len(doc)))
 
 
-def own_repeats(doc: np.ndarray, a: np.ndarray, first: np.ndarray, last: np.ndarray, tied: np.ndarray, prefix: Prefix, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, window) of windows that also start earlier in the same document."""
+def repeated_runs(doc: np.ndarray, a: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Runs that may repeat windows of their own document: their anchor has another run in it, or is tied."""
     order = np.lexsort((a, doc))
     d, v = doc[order], a[order]
     same = np.concatenate(([False], (d[1:] == d[:-1]) & (v[1:] == v[:-1])))
     same[:-1] |= same[1:]
-    row = order[same | tied[order]]
-    sizes = last[row] - first[row] + 1
-    of = np.repeat(row, sizes)
+    return np.sort(order[same | tied[order]])
+
+
+def own_windows(doc: np.ndarray, first: np.ndarray, last: np.ndarray, prefix: Prefix, raw, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, window) of windows of the given runs that also start earlier in the same document, by their hashes."""
+    sizes = last - first + 1
+    of = np.repeat(np.arange(len(doc)), sizes)
     start = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of]
     w = prefix.stretch(start, start + length)
     by = np.lexsort((start, w, doc[of]))
@@ -185,11 +204,12 @@ def arrow(columns: list[np.ndarray], names: list[str], nulls: int = 0) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
 
-def repeated_spans(docs: DataFrame, codec, resolver: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """(doc, spans): of every document with repeats, the stretches of windows that also start earlier.
+def repeated_spans(docs: DataFrame, codec, own: Callable, resolver: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """(doc, fold, spans), written: of every document with repeats, the stretches of windows that also start earlier.
 
-    ``docs`` has doc (never null) and text. ``resolver`` turns (a, doc, p, content) rows, grouped by anchor,
-    into (doc, p) rows; without one, all contexts are compared window by window.
+    ``docs`` has doc (never null) and text. ``own`` finds windows that repeat within a document, as
+    ``own_windows`` does. ``resolver`` turns (a, doc, p, content) rows, grouped by anchor, into (doc, p) rows;
+    without one, all contexts are compared window by window.
     """
     length, gram, context = codec.length, codec.gram, docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -220,9 +240,10 @@ def repeated_spans(docs: DataFrame, codec, resolver: Callable[[DataFrame], DataF
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = lambda n: pa.nulls(n, pa.int64())
         for batch in batches:
-            for ids, folds, starts, prefix, _, doc, a, h, first, last, tied in found(batch):
+            for ids, folds, starts, prefix, raw, doc, a, h, first, last, tied in found(batch):
                 yield arrow([signed(a), signed(h), ids[doc], places(first - starts[doc], last - first + 1, folds[doc])], ["a", "h", "doc", "p"])
-                d, s, n = stretches(*own_repeats(doc, a, first, last, tied, prefix, length))
+                row = repeated_runs(doc, a, tied)
+                d, s, n = stretches(*own(doc[row], first[row], last[row], prefix, raw, length))
                 if len(d):
                     yield pa.RecordBatch.from_arrays([none(len(d)), none(len(d)), pa.array(ids[d]), pa.array(places(s - starts[d], n, folds[d]))], ["a", "h", "doc", "p"])
 
@@ -277,27 +298,28 @@ def repeated_spans(docs: DataFrame, codec, resolver: Callable[[DataFrame], DataF
     every = spans[0]
     for x in spans[1:]:
         every = every.unionByName(x)
-    return every.groupBy("doc").agg(F.collect_list("p").alias("spans"))
+    # Rows that share key and text have the same spans; a set holds them once.
+    folded = every.select("doc", F.shiftright("p", 8).bitwiseAND(F.lit((1 << FOLD_BITS) - 1)).alias("fold"), "p")
+    spans = materialise(folded.groupBy("doc", "fold").agg(F.collect_set("p").alias("spans")), "spans")
+    discard(seen, contexts, several, parts, twice)
+    return spans
 
 
-def removed(spans: list[int] | None, text: bytes, length: int) -> list[tuple[int, int]]:
+def removed(spans: list[int] | None, length: int) -> list[tuple[int, int]]:
     """Maximal stretches (start, stop) of symbols that a text loses."""
     if spans is None or not len(spans):
         return []
-    p = np.asarray(spans, np.int64)
-    p = p[(p >> 8 & 0xFFFF) == fold(text)]
-    if not len(p):
-        return []
-    start = p >> 24
-    stop = start + (p & 0xFF) + length
+    start, _, count = placed(np.asarray(spans, np.int64))
+    stop = start + count - 1 + length
     order = np.argsort(start, kind="stable")
     start, stop = start[order], np.maximum.accumulate(stop[order])
     new = np.flatnonzero(np.concatenate(([True], start[1:] > stop[:-1])))
     return [*zip(start[new].tolist(), stop[np.append(new[1:], len(stop)) - 1].tolist())]
 
 
-def with_spans(docs: DataFrame, key: str, text: str, codec, resolver=None) -> DataFrame:
-    """``docs`` with a column ``_spans``, null where nothing repeats. Texts cross one shuffle."""
-    order = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))
-    spans = repeated_spans(docs.select(order.alias("doc"), F.col(text).alias("text")), codec, resolver)
-    return docs.withColumn("_doc", order).join(spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans")), "_doc", "left").drop("_doc")
+def with_spans(docs: DataFrame, key: str, text: str, codec, own: Callable = own_windows, resolver=None) -> DataFrame:
+    """``docs``, of the columns key and text or of one struct ``row``, with doc, fold, and ``spans``, null where
+    nothing repeats. Texts cross one shuffle."""
+    doc, folded = identity(F.col(key), F.col(text))
+    spans = repeated_spans(docs.select(doc.alias("doc"), F.col(text).alias("text")), codec, own, resolver)
+    return docs.withColumns({"doc": doc, "fold": folded}).join(spans, ["doc", "fold"], "left")

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_map, encoded, table
 from .repeats import removed, with_spans
@@ -24,28 +25,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     """(key, n_words, n_removed, kept_sha256[, kept]): words covered by a window that also starts earlier go.
 
     Earlier is a smaller key, or an earlier start in the same row; rows that share a key are not earlier than
-    each other. A null key comes before all others and stays null; a null text has no words. Documents of
-    fewer than ``window`` words keep all. Other columns are not read.
+    each other. Null keys come before all others, in the order of a hash of their texts, and stay null; a null
+    text has no words. Documents of fewer than ``window`` words keep all. An empty table gives none. Other
+    columns are not read.
     """
     kind = dict(docs.dtypes)[key]
-    found = with_spans(docs.select(key, text), key, text, Words(window))
+    found = with_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", Words(window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, spans in zip(encoded(batch, text), batch.column("_spans").to_pylist()):
+            for data, spans in zip(encoded(batch), batch.column("spans").to_pylist()):
                 words = data.split()
                 kept, at, gone = [], 0, 0
-                for start, stop in removed(spans, data, window):
+                for start, stop in removed(spans, window):
                     kept += words[at:start]
                     gone += stop - start
                     at = stop
                 kept = b" ".join(kept + words[at:] if at else words)
                 rows.append((len(words), gone, hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="ignore")] if keep_text else [])))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(x, t) for x, t in zip([*zip(*rows)] or [[]] * 4, kinds[: 3 + keep_text]))], [key, "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x, t) for x, t in zip([*zip(*rows)] or [[]] * 4, kinds[: 3 + keep_text]))], ["key", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text])
 
-    return arrow_map(found, run, f"{key} {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    return arrow_map(found, run, f"key {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text).withColumnRenamed("key", key)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
