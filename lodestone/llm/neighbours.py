@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, encoded, remainder, table
+from .common import arrow_map, encoded, remainder, rows_again, table, whole_rows
 
 #: Labelled texts that the space is fitted on and that vote, at most, of each label; bytes they may have.
 SAMPLE = 1500
@@ -115,47 +116,47 @@ def fit(docs: DataFrame, labels: DataFrame) -> Space:
     SAMPLE rows a label, and by leaving out texts of over SAMPLE_BYTES, whatever the size of the corpus.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != 0))
-    known = known.select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("quality").cast("int")).alias("other")).where("quality = other")
     parts = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     chosen = {r.doc_id: r.quality for part in parts for r in part.collect()}
     spark = docs.sparkSession
     # At most 2 * SAMPLE keys.
     small = F.broadcast(spark.createDataFrame([*chosen.items()], "doc_id long, quality int"))
-    rows = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(small, "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * SAMPLE).collect()
-    return Space([(r.text or "").encode() for r in rows], [int(r.quality > 0) for r in rows])
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = short.join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).collect()
+    rows = sorted((r.doc_id, r.text, r.quality) for r in rows)
+    return Space([text.encode() for _, text, _ in rows], [int(q > 0) for _, _, q in rows])
 
 
-def scored(docs: DataFrame, space: Space, drop_text: bool = True) -> DataFrame:
-    """``docs`` with a column ``_score``. One narrow stage."""
+def scored(docs: DataFrame, space: Space) -> DataFrame:
+    """``docs``, of a key and text or of one struct ``row``, with a column ``score`` and without ``text``. One narrow stage."""
     shipped = docs.sparkSession.sparkContext.broadcast(space)
-    kept = [c for c in docs.columns if not (drop_text and c == "text")]
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array(shipped.value.score(encoded(batch)) if batch.num_rows else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "score"])
 
-    from pyspark.sql import types as T
-
-    fields = [f for f in docs.schema.fields if f.name in kept]
-    return arrow_map(docs, run, T.StructType([*fields, T.StructField("_score", T.DoubleType())]))
+    return arrow_map(docs, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every text.
 
-    Null and empty texts are scored by their shape; a null doc_id is held out. Repeated rows each give a
-    row. Without labels every score is one half.
+    Null and empty texts are scored by their shape; a null doc_id is held out. Repeated rows each give a row,
+    and of rows that share a doc_id one teaches, the one with the smallest text. A doc_id with different labels
+    teaches nothing. Without labels every score is one half. An empty table gives none; other columns are not
+    read.
     """
     out = scored(docs.select("doc_id", "text"), fit(docs, labels))
-    return out.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def filter_documents(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good; the space is fitted on ``training``."""
-    own = docs.withColumnRenamed("_score", "_own_score") if "_score" in docs.columns else docs
-    kept = scored(own, fit(training, labels), drop_text=False).where(F.col("_score") >= THRESHOLD).drop("_score")
-    return kept.withColumnRenamed("_own_score", "_score")
+    """The rows of ``docs`` that are predicted good, with all columns, whatever their names; the space is fitted
+    on ``training``. Nulls, empty texts and repeated rows are scored as in ``quality``."""
+    return rows_again(scored(whole_rows(docs), fit(training, labels)).where(F.col("score") >= THRESHOLD))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

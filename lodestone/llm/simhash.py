@@ -11,23 +11,27 @@ Fingerprints are made distinct first. A key that more than ``CROWD`` of them sha
 without pairs: two fingerprints differ in at most 2 bits exactly if flipping at most one bit of each gives
 one value, and a value has no more than 65 such fingerprints.
 
-For documents that share most of their word shingles without such close fingerprints, the ring's segments
-are minima of hashed shingles instead of bits (``copies``), and candidates are checked by exact Jaccard
-similarity.
+Documents that share most of their word shingles need not have such close fingerprints: at a similarity of 0.8
+about nine of 64 sign bits differ. ``copies`` therefore fills the ring with 20 minima of hashed shingles, of
+which two documents of similarity s agree in each with probability s. It is searched in the same way: with 9
+differing segments of 20 a chain allows 0, 0, 1, 1, 2, 2, 3, 3, 4, 4, ... differences, so documents are dealt by
+each two neighbouring minima, and pairs must pass the rest of the chain before their whole shingle sets are
+compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, encoded, materialise, table
+from .common import arrow_map, discard, encoded, materialise, table
 from .windows import U, mix
 
 SEED = 42
@@ -37,6 +41,8 @@ SEGMENTS = (13, 13, 13, 13, 12)
 CROWD = 128
 #: Near copies: words in a shingle, least similarity, segments of the ring, and how many may differ.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_SEGMENTS, COPY_DIFFERENCES = 5, 0.8, 20, 9
+#: Bits of a minimum that stand in the ring of marks; equal minima have equal marks.
+MARK = 3
 #: Up to so many documents under a key, all pairs are candidates.
 SMALL = 48
 #: Documents, and bytes of their shingle sets, in a block of a larger key.
@@ -81,10 +87,10 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, key: str = "doc_id", text
     return arrow_map(docs.select(key, text), run, f"{key} {kind}, fp long")
 
 
-def ring() -> list[list[int]]:
-    """For each start, the masks of the first 1, 2, ... segments from there."""
+def ring(widths: tuple[int, ...] = SEGMENTS) -> list[list[int]]:
+    """For each start, the masks of the first 1, 2, ... segments of these widths from there."""
     spans, at = [], 0
-    for width in SEGMENTS:
+    for width in widths:
         spans.append(((1 << width) - 1) << at)
         at += width
     out = []
@@ -101,6 +107,18 @@ def masked(column, masks: list[int], which):
     return F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), which + 1).bitwiseAND(column)
 
 
+def in_budget(differences, start, masks: list[list[int]], most: int, first: int) -> Column:
+    """Whether the chain from ``start`` keeps in budget from its ``first`` segments on.
+
+    ``differences`` has set bits where segments differ; with ``most`` differences in all segments, the first l
+    may have l / segments of them.
+    """
+    keep = F.lit(True)
+    for length in range(first, len(masks) + 1):
+        keep = keep & (F.bit_count(masked(differences, [m[length - 1] for m in masks], start)) <= length * most // len(masks))
+    return keep
+
+
 def close_pairs(distinct: DataFrame) -> DataFrame:
     """(u, v), u < v: links between distinct fingerprints ``fp`` that keep every group connected.
 
@@ -114,9 +132,7 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
     few = dealt.where(F.col("n") <= CROWD)
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     keep = (F.col("a.fp") < F.col("b.fp")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v"))
-    for length in range(3, len(SEGMENTS) + 1):
-        budget = length * DISTANCE // len(SEGMENTS)
-        keep = keep & (F.bit_count(masked(x, [m[length - 1] for m in masks], F.col("a.k"))) <= budget)
+    keep = keep & in_budget(x, F.col("a.k"), masks, DISTANCE, 3)
     pairs = few.alias("a").join(few.alias("b"), keep).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     # Crowded keys: each fingerprint with up to one bit outside the key flipped. At most 65 of them give one value.
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b).cast("long") for b in range(64)])
@@ -162,23 +178,26 @@ def groups(docs: DataFrame, size: int = SHINGLE, key: str = "doc_id", text: str
 
 
 def signatures(docs: DataFrame, size: int, segments: int, key: str, text: str) -> DataFrame:
-    """(key, ring, shingles): minima of hashed shingles and the sorted 32-bit shingle set, where there are words."""
+    """(key, ring, marks, shingles): minima of hashed shingles, MARK bits of each side by side, and the sorted
+    32-bit shingle set, where there are words."""
     kind = dict(docs.dtypes)[key]
     seeds = mix(np.arange(1, segments + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings, sets, there = [], [], []
+            rings, marks, sets, there = [], [], [], []
             for data in encoded(batch, text):
                 h = np.unique(shingle_hashes(data.lower(), size))
                 there.append(bool(len(h)))
                 if len(h):
-                    rings.append(mix(h[None, :] ^ seeds).min(axis=1).view(np.int64))
+                    least = mix(h[None, :] ^ seeds).min(axis=1)
+                    rings.append(least.view(np.int64))
+                    marks.append(sum((int(x) & (1 << MARK) - 1) << MARK * i for i, x in enumerate(least)))
                     sets.append(np.unique((h >> U(32)).astype("<u4")).tobytes())
             held = batch.column(key).filter(pa.array(there, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([held, pa.array(rings, pa.list_(pa.int64())), pa.array(sets, pa.binary())], [key, "ring", "shingles"])
+            yield pa.RecordBatch.from_arrays([held, pa.array(rings, pa.list_(pa.int64())), pa.array(marks, pa.int64()), pa.array(sets, pa.binary())], [key, "ring", "marks", "shingles"])
 
-    return arrow_map(docs.select(key, text), run, f"{key} {kind}, ring array<long>, shingles binary")
+    return arrow_map(docs.select(key, text), run, f"{key} {kind}, ring array<long>, marks long, shingles binary")
 
 
 def crowding(signed: DataFrame) -> DataFrame:
@@ -262,24 +281,31 @@ def across(many: DataFrame, labels: DataFrame, sets: DataFrame, least: float) ->
 def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILARITY, segments: int = COPY_SEGMENTS, differences: int = COPY_DIFFERENCES) -> DataFrame:
     """(node, label): near copies by doc_id, with the smallest doc_id of their group.
 
-    The ring has ``segments`` minima; two documents of similarity s agree in each with probability s. Chains
-    let ``differences`` of them differ in all, so their first segments are equal, and documents are dealt by
-    those. Under a key of up to SMALL documents all pairs are candidates. Under a larger one, each document
+    The ring has ``segments`` minima, of which ``differences`` may differ; two documents of similarity s agree in
+    each with probability s. Chains begin with equal segments, and documents are dealt by those. Under a key of
+    up to SMALL documents all pairs whose chain keeps in budget are candidates. Under a larger one, each document
     first meets four others: the smallest, and the three whose shingles are the most common in the crowd,
     which are nearest to the text that the copies come from. That links most groups without pairs in the
     square of their size. Pairs of a crowd that it leaves in different groups are then all compared
     (``across``), so a crowd is connected as all its pairs would connect it. Candidates are checked on their
     whole shingle sets.
+
+    Null doc_ids, null texts and texts without words are in no group. Rows that share a doc_id are one document
+    with several texts, and equal texts of fewer words than a shingle are copies. An empty table gives none.
     """
     equal = next(n for n in range(segments, 0, -1) if n * differences < segments)  # segments of a chain that must be equal
     signed = materialise(signatures(docs.where("doc_id IS NOT NULL"), size, segments, "doc_id", "text"), "rings")
     starts = [F.struct(F.lit(i).alias("k"), F.xxhash64(*[F.col("ring")[(i + j) % segments] for j in range(equal)]).alias("v")) for i in range(segments)]
-    keyed = signed.select("doc_id", F.length("shingles").cast("long").alias("bytes"), F.explode(F.array(*starts)).alias("x")).select("doc_id", "bytes", "x.k", "x.v")
+    keyed = signed.select("doc_id", "marks", F.length("shingles").cast("long").alias("bytes"), F.explode(F.array(*starts)).alias("x")).select("doc_id", "marks", "bytes", "x.k", "x.v")
     sizes = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     dealt = materialise(keyed.join(sizes, ["k", "v"]), "dealt")
     few = dealt.where(F.col("n") <= SMALL)
-    pairs = few.alias("a").join(few.alias("b"), ["k", "v"]).where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"))
-    many = dealt.where(F.col("n") > SMALL)
+    x = F.col("a.marks").bitwiseXOR(F.col("b.marks"))
+    parts = [F.shiftrightunsigned(x, i) for i in range(MARK)]
+    differ = reduce(lambda p, q: p.bitwiseOR(q), parts).bitwiseAND(F.lit(sum(1 << MARK * i for i in range(segments))))
+    met = few.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    pairs = met.where(in_budget(differ, F.col("a.k"), ring((MARK,) * segments), differences, equal + 1)).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v"))
+    many = dealt.where(F.col("n") > SMALL).drop("marks")
     central = crowding(signed.join(many.select("doc_id").distinct(), "doc_id", "left_semi"))
     known = materialise(many.join(central, "doc_id"), "many")
     pivots = known.groupBy("k", "v").agg(F.min("doc_id").alias("first"), F.max(F.struct("crowd", (-F.col("doc_id")).alias("d"))).alias("m1"))
@@ -305,7 +331,8 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Documents without words or with a null doc_id stay. Rows that share a doc_id stay or go together.
+    Documents without words or with a null doc_id stay. Rows that share a doc_id stay or go together. Columns are
+    as they were; an empty table stays empty.
     """
     labels = copies(docs)
     gone = materialise(labels.where("node <> label").select(F.col("node").alias("doc_id")), "gone")

@@ -12,7 +12,7 @@ def documents(spark, texts=TEXTS, extra=True):
     if extra:
         from pyspark.sql import functions as F
 
-        names = ["kept", "n_words", "_score", "ids", "segments", "fp", "label", "u", "a", "h", "p", "doc", "_row", "word", "c", "score", "_spans", "node"]
+        names = ["kept", "n_words", "row", "key", "spans", "fold", "marks", "ring", "shingles", "rate", "limit_lang", "low_line_rate", "base_failed", "_lang", "_own_kept", "_own_score", "_doc", "_score", "ids", "segments", "fp", "label", "u", "a", "h", "p", "doc", "_row", "word", "c", "score", "_spans", "node"]
         df = df.withColumns({n: F.lit("clash") for n in names})
     return df
 
