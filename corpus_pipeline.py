@@ -1,4 +1,11 @@
-"""A training corpus in five stages, each an operator of ``lodestone.llm`` over all its predecessor kept."""
+"""A training corpus in five stages, each an operator of ``lodestone.llm`` over all its predecessor kept.
+
+Every stage but the last returns rows of its input with the input's columns, whatever further columns those
+have; an empty table stays empty, and repeated rows are judged alike. A null or empty text is dropped by the
+quality rules. Where a stage is reached by one all the same, the classifier scores it by its shape, near dedup
+keeps it, passage dedup drops it as it has no word, and packing makes the end id of it. Null doc_ids stay: near
+dedup compares none of them, and passage dedup takes them as the first documents.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,7 @@ from lodestone.llm.common import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents beyond the adaptive limits of their language and source go."""
+    """Documents beyond the fences of their language and source go."""
     return rules.filter_documents(docs)
 
 
@@ -40,7 +47,8 @@ STAGES = [
     ("passage dedup", passage_dedup),
     ("packing", pack),
 ]
-#: The classifier, the near copies and the suffix order have no SQL; tests hold run() against brute force.
+#: The classifier, the near copies and the suffix order have no SQL; tests/llm/test_pipeline.py holds each stage and
+#: run() against brute force.
 ORACLE_SQL = None
 
 
