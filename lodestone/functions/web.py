@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\r\n\f]+"
 BLOCKS = "p|h[1-6]|li|div|article|section|ul|ol|nav|header|footer|aside|table|body|html"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-#: Administrative pages of the encyclopedia, and its other languages.
-WIKI_NAMESPACES = ["Special", "Talk", "User", "User_talk", "Help", "Category", "Template", "File", "Portal", "Wikipedia"]
 
 
 def without(html: Column, tags: list[str]) -> Column:
@@ -111,9 +109,12 @@ def keyword_density(text: Column, words: list[str]) -> Column:
     return F.coalesce(F.try_divide(total.cast("double"), n), F.lit(0.0))
 
 
+#: Patterns of encyclopedia pages that are no articles, found anywhere in a URL.
+NOISE_PATTERNS = ["/w/index.php", "/wiki/Talk:", "/wiki/Special:", "action=edit", "action=history", "action=info", "oldid=", "&action=", "/wiki/File:", "/wiki/Help:"]
+#: Encyclopedias of other languages, and the data site.
+OTHER_ENCYCLOPEDIAS = [r"https://(?!en\.).*\.wikipedia\.org", r"https://www\.wikidata\.org"]
+
+
 def encyclopedia_noise(url: Column) -> Column:
-    """Administrative or non-English encyclopedia pages, and the data site. The English main site is no noise."""
-    names = "|".join(WIKI_NAMESPACES)
-    wiki = url.rlike(r"(?i)^https?://([a-z0-9-]+\.)*wikipedia\.org")
-    english = url.rlike(r"(?i)^https?://(en|www|en\.m)\.wikipedia\.org") | url.rlike(r"(?i)^https?://wikipedia\.org")
-    return (wiki & ~english) | (wiki & url.rlike(rf"(?i)/wiki/({names}):")) | (wiki & url.rlike(r"[?&]action=")) | url.rlike(r"(?i)^https?://([a-z0-9-]+\.)*wikidata\.org")
+    """Administrative or non-English encyclopedia pages, and the data site. Case counts."""
+    return reduce(lambda a, b: a | b, [url.rlike(p) for p in [*NOISE_PATTERNS, *OTHER_ENCYCLOPEDIAS]])

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scoring import geodesic_km, haversine, simhash_bits, simhash_fold
 from ..functions.text import STOP_WORDS, lemma, pipeline_tokens, word_tokens
 from ..functions.web import encyclopedia_noise, main_text, title
+from ..storage import materialise
 
-SOFT_BITS, SOFT_SIMILARITY, SOFT_DISTANCE = 60, 0.95, 2
+SOFT_SIMILARITY, SOFT_DISTANCE = 0.95, 2
+#: Blocks of a 64-bit SimHash, one of which is equal in two that differ in SOFT_DISTANCE bits.
+SOFT_BLOCKS = (22, 21, 21)
+#: Hashes under one block from which on their pairs are not made.
+SOFT_CROWD = 256
 
 
 def exact_dedup(docs: DataFrame, content: str = "text", key: str = "doc_id") -> DataFrame:
@@ -23,25 +32,43 @@ def exact_dedup(docs: DataFrame, content: str = "text", key: str = "doc_id") ->
 
 
 def simhashes(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(doc_id, simhash) of ``SOFT_BITS`` bits, weighted by counts."""
+    """(doc_id, simhash) of 64 bits, weighted by counts."""
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
     terms = docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return terms.groupBy("doc_id").agg(*simhash_bits(F.col("term"), F.col("tf"), SOFT_BITS)).select("doc_id", simhash_fold(SOFT_BITS).alias("simhash"))
+    return terms.groupBy("doc_id").agg(*simhash_bits(F.col("term"), F.col("tf"))).select("doc_id", simhash_fold().alias("simhash"))
 
 
-def simhash_pairs(hashes: DataFrame, distance: int = SOFT_DISTANCE) -> DataFrame:
-    """(early, late) pairs within ``distance``: of distance + 1 blocks of bits, one must be equal.
+def simhash_links(hashes: DataFrame) -> DataFrame:
+    """(u, v), u < v: pairs of distinct hashes within SOFT_DISTANCE bits. One of three blocks must be equal.
 
-    Equal hashes are linked to their first document only, which decides the same: whether an earlier
-    document is near.
+    Hashes that share a block with over SOFT_CROWD others meet in another way, without pairs of the block: two
+    differ in at most 2 bits exactly if flipping at most one bit of each gives one value, which no more than
+    65 hashes give.
     """
-    blocks = distance + 1
-    width = SOFT_BITS // blocks
-    parts = [F.struct(F.lit(i).alias("k"), F.shiftright("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(blocks)]
-    keyed = hashes.select("doc_id", "simhash", F.explode(F.array(*parts)).alias("x")).select("doc_id", "simhash", "x.k", "x.v")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= distance
-    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.doc_id") < F.col("b.doc_id")) & near).select(F.col("a.doc_id").alias("early"), F.col("b.doc_id").alias("late")).distinct()
+    parts, at = [], 0
+    for i, width in enumerate(SOFT_BLOCKS):
+        parts.append(F.struct(F.lit(i).alias("k"), F.shiftrightunsigned("simhash", at).bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
+        at += width
+    distinct = hashes.select("simhash").distinct()
+    keyed = distinct.select("simhash", F.explode(F.array(*parts)).alias("x")).select("simhash", "x.k", "x.v")
+    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = materialise(keyed.join(sizes, ["k", "v"]), "blocks")
+    a, b = dealt.where(F.col("n") <= SOFT_CROWD).alias("a"), dealt.where(F.col("n") <= SOFT_CROWD).alias("b")
+    near = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= SOFT_DISTANCE
+    few = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.simhash") < F.col("b.simhash")) & near).select(F.col("a.simhash").alias("u"), F.col("b.simhash").alias("v"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - ((1 << 64) if i == 63 else 0)).cast("long") for i in range(64)])
+    crowd = dealt.where(F.col("n") > SOFT_CROWD).select("simhash").distinct()
+    met = crowd.select("simhash", F.explode(flips).alias("f")).groupBy(F.col("simhash").bitwiseXOR(F.col("f")).alias("value")).agg(F.collect_set("simhash").alias("s")).where(F.size("s") > 1)
+    many = met.select(F.explode("s").alias("u"), "s").select("u", F.explode("s").alias("v")).where("u < v")
+    return few.unionByName(many).distinct()
+
+
+def simhash_pairs(hashes: DataFrame) -> DataFrame:
+    """(early, late): pairs of documents within SOFT_DISTANCE bits."""
+    equal = hashes.alias("a").join(hashes.alias("b"), (F.col("a.simhash") == F.col("b.simhash")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("early"), F.col("b.doc_id").alias("late"))
+    one, two = hashes.select(F.col("doc_id").alias("p"), F.col("simhash").alias("u")), hashes.select(F.col("doc_id").alias("q"), F.col("simhash").alias("v"))
+    near = simhash_links(hashes).join(one, "u").join(two, "v").select(F.least("p", "q").alias("early"), F.greatest("p", "q").alias("late"))
+    return equal.unionByName(near.where("early < late"))
 
 
 def tfidf(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -53,16 +80,33 @@ def tfidf(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
 
 
-def soft_duplicates(docs: DataFrame, tokens: Column | None = None, similarity: float = SOFT_SIMILARITY, distance: int = SOFT_DISTANCE) -> DataFrame:
-    """doc_id of the documents that some earlier one, dropped or not, is close to by SimHash and by cosine."""
-    pairs = simhash_pairs(simhashes(docs, tokens), distance)
-    w = tfidf(docs, tokens)
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def soft_duplicates(docs: DataFrame, tokens: Column | None = None, similarity: float = SOFT_SIMILARITY) -> DataFrame:
+    """doc_id of the documents that some earlier one, dropped or not, is close to by SimHash and by cosine.
+
+    Documents of equal tokens stand for each other: only the first of each such class is hashed and paired, and
+    the others are close to it, unless their vector is zero. Vectors are made for paired documents only; all
+    documents count for the frequencies of terms.
+    """
+    tokens = word_tokens(F.col("text")) if tokens is None else tokens
+    tf = materialise(docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    hashes = materialise(tf.groupBy("doc_id").agg(*simhash_bits(F.col("term"), F.col("tf")), F.sum(F.xxhash64("term", "tf").cast("decimal(38,0)")).alias("bag")).select("doc_id", simhash_fold().alias("simhash"), "bag"), "simhashes")
+    classes = hashes.groupBy("simhash", "bag").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
+    firsts = materialise(classes.select(F.col("first").alias("doc_id"), "simhash", "bag", "members"), "firsts")
+    pairs = materialise(simhash_pairs(firsts.select("doc_id", "simhash")), "pairs")
+    wanted = pairs.select(F.col("early").alias("doc_id")).unionByName(pairs.select(F.col("late").alias("doc_id"))).unionByName(firsts.where("members > 1").select("doc_id")).distinct()
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    w = materialise(tf.join(wanted, "doc_id", "left_semi").join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w")), "weights")
+    norms = materialise(w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
     a, b = w.select(F.col("doc_id").alias("early"), "term", F.col("w").alias("wa")), w.select(F.col("doc_id").alias("late"), "term", F.col("w").alias("wb"))
     dots = pairs.join(a, "early").join(b, ["late", "term"]).groupBy("early", "late").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     na, nb = norms.select(F.col("doc_id").alias("early"), F.col("norm").alias("na")), norms.select(F.col("doc_id").alias("late"), F.col("norm").alias("nb"))
     close = dots.join(na, "early").join(nb, "late").where(F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("na") * F.col("nb")), F.lit(0.0)), 6) >= similarity)
-    return close.select(F.col("late").alias("doc_id")).distinct()
+    found = materialise(close.select(F.col("late").alias("doc_id")).distinct(), "close")
+    # A class's later members are close to its first; the first itself if it is close to an earlier document.
+    crowded = firsts.where("members > 1").join(norms.where("norm > 0").select("doc_id"), "doc_id", "left_semi").select("simhash", "bag", F.col("doc_id").alias("first"))
+    later = hashes.join(crowded, ["simhash", "bag"]).where("doc_id > first").select("doc_id")
+    return found.unionByName(later).distinct()
 
 
 def soft_dedup(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
@@ -95,11 +139,27 @@ def rake(docs: DataFrame, k: int | None = None) -> DataFrame:
     # Stop words and marks become one mark; the phrases are what stands between.
     joined = F.array_join(F.transform(words, lambda w: F.when(w.isin([*STOP_WORDS, "."]), "\x01").otherwise(w)), " ")
     phrases = F.filter(F.transform(F.split(joined, "\x01"), lambda p: F.trim(p)), lambda p: p != "")
-    each = docs.select("doc_id", F.explode(phrases).alias("phrase"))
-    sized = each.withColumn("words", F.split("phrase", " "))
-    scores = sized.select("doc_id", F.explode("words").alias("word"), F.size("words").alias("degree")).groupBy("doc_id", "word").agg((F.sum("degree") / F.count(F.lit(1))).alias("score"))
-    distinct = sized.select("doc_id", "phrase", "words").distinct()
-    scored = distinct.select("doc_id", "phrase", F.explode("words").alias("word")).join(scores, ["doc_id", "word"]).groupBy("doc_id", "phrase").agg(F.round(F.sum("score"), 6).alias("score"))
+    fields = StructType([docs.schema["doc_id"], *StructType.fromDDL("phrase string, score double").fields])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, scores = [], [], []
+            for doc, own in zip(batch.column("doc_id").to_pylist(), batch.column("phrases").to_pylist()):
+                split = [p.split(" ") for p in own or []]
+                degree: dict[str, int] = {}
+                held: dict[str, int] = {}
+                for words in split:
+                    for w in words:
+                        degree[w] = degree.get(w, 0) + len(words)
+                        held[w] = held.get(w, 0) + 1
+                for p, words in {p: w for p, w in zip(own or [], split)}.items():
+                    ids.append(doc)
+                    found.append(p)
+                    scores.append(sum(degree[w] / held[w] for w in words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "phrase", "score"])
+
+    # All of it lies within a document: one narrow stage, and a shuffle for the rank alone.
+    scored = docs.select("doc_id", phrases.alias("phrases")).mapInArrow(score, fields).withColumn("score", F.round("score", 9))
     if k is None:
         return scored
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "phrase")
@@ -147,12 +207,17 @@ def place_substrings(docs: DataFrame, names: list[tuple[str, float, float]]) ->
 def mean_distance(docs: DataFrame, matches: DataFrame, exact: bool = False) -> DataFrame:
     """(doc_id, avg_km), null for documents without a place. ``exact`` takes the ellipsoid, else the sphere."""
 
-    @F.pandas_udf("double")
-    def ellipsoid(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return pd.Series([geodesic_km(a, o) for a, o in zip(lat, lon)], dtype="float64")
-
-    km = ellipsoid("latitude", "longitude") if exact else haversine(F.col("latitude"), F.col("longitude"))
-    means = matches.withColumn("km", km).groupBy("doc_id").agg(F.round(F.avg("km"), 3).alias("avg_km"))
+    if exact:
+        # Places are few against their mentions: each is measured once.
+        @F.pandas_udf("double")
+        def ellipsoid(lat: pd.Series, lon: pd.Series) -> pd.Series:
+            return pd.Series([geodesic_km(a, o) for a, o in zip(lat, lon)], dtype="float64")
+
+        places = materialise(matches.select("latitude", "longitude").distinct().withColumn("km", ellipsoid("latitude", "longitude")), "places")
+        measured = matches.join(places, ["latitude", "longitude"])
+    else:
+        measured = matches.withColumn("km", haversine(F.col("latitude"), F.col("longitude")))
+    means = measured.groupBy("doc_id").agg(F.round(F.avg("km"), 3).alias("avg_km"))
     return docs.select("doc_id").join(means, "doc_id", "left")
 
 

@@ -21,28 +21,36 @@ def known_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return kept.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, normalise: bool = False, every: int = 5) -> DataFrame:
+def member_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between known nodes by membership: a target counts once however often a page links to it, with the
+    weight of one of its links, that is one over all links of the page."""
+    return known_edges(edges.dropDuplicates(["src", "dst"]), nodes)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, normalise: bool = False, members: bool = False, each: bool = False, every: int = 5) -> DataFrame:
     """(node, rank) by power iteration, without redistribution of what leaves the graph.
 
     Each round joins edges with ranks on the source and sums by target; partial sums take hot targets. Every
     ``every`` rounds the ranks are written to shared storage, which bounds the plan. With a tolerance the
-    rounds end once the ranks' total change is below it, and the ranks before that round are returned.
+    rounds end once the ranks' total change (with ``each``, every node's change) is below it, and the ranks
+    before that round are returned. With ``members`` repeated links count once.
     """
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    held = materialise(known_edges(edges, nodes), "edges")
+    held = materialise((member_edges if members else known_edges)(edges, nodes), "edges")
     ranks = materialise(nodes.select("node", F.lit(1.0 / n).alias("rank")), "ranks")
     base = (1 - damping) / n
     for i in range(rounds):
         flow = held.join(ranks, held["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("in"))
         new = ranks.select("node", F.col("rank").alias("was")).join(flow, F.col("node") == F.col("dst"), "left").select("node", "was", (F.lit(base) + F.lit(damping) * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if normalise:
+            new = materialise(new, "flow")  # read twice
             total = new.agg(F.sum("rank").alias("total"))
             new = new.crossJoin(F.broadcast(total)).select("node", "was", (F.col("rank") / F.col("total")).alias("rank"))
         if tolerance is not None or (i + 1) % every == 0:
             new = materialise(new, "ranks")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
+        if tolerance is not None and new.agg((F.max if each else F.sum)(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
             break
         ranks = new.select("node", "rank")
     return ranks

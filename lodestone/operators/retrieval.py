@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import SHIFTED, absent, idf, saturation
 from ..functions.text import word_tokens
+from ..storage import materialise
 
 
 def postings(docs: DataFrame, tokens: Column | None = None, key: str = "doc_id") -> DataFrame:
@@ -41,23 +42,23 @@ def top_k(scored: DataFrame, k: int | None, by: str = "query_id", score: str = "
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).withColumn("rank", F.col("rank").cast("long"))
 
 
-def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene", idf_method: str | None = None, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, pad: bool = False, tokens: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene", idf_method: str | None = None, k: int | None = 10, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, pad: bool = False, tokens: Column | None = None, query_tokens: Column | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of each query, or all if k is None, all queries in one job.
 
     ``queries`` is a batch from the caller, so of bounded size; its terms become a literal filter on the
-    token arrays, and only their postings leave the scan. Document frequencies come from those postings and
-    lengths from one aggregate row. With ``pad``, and under the shifted methods, documents without a query
+    token arrays. Texts are tokenised once: what leaves the scan, each document's length and its hits, is written,
+    and statistics, document frequencies and scores are read from that. With ``pad``, and under the shifted methods, documents without a query
     term fill up to k by smallest doc_id, with the score that the lack of all terms has.
     """
     spark = docs.sparkSession
     idf_method = idf_method or method
-    asked = query_terms(spark.createDataFrame(queries, "query_id int, text string")).collect()
+    asked = query_terms(spark.createDataFrame(queries, "query_id int, text string"), query_tokens).collect()
     terms = sorted({r.term for r in asked})
     wanted = F.broadcast(spark.createDataFrame([(r.query_id, r.term, float(r.qtf)) for r in asked], "query_id int, term string, qtf double"))
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
     split = docs.select("doc_id", tokens.alias("tokens"))
-    stats = split.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    hits = split.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
+    hits = materialise(split.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits")), "hits")
+    stats = hits.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     tf = hits.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     # One row per query term, and one row of statistics: bounded by the batch.
@@ -70,7 +71,7 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene"
     if pad or method in SHIFTED:
         # Among the first k documents, at least as many lack all terms as places can be open.
         asked_ids = spark.createDataFrame([(q,) for q, _ in queries], "query_id int")
-        first = docs.select("doc_id") if k is None else docs.select("doc_id").orderBy("doc_id").limit(k)
+        first = hits.select("doc_id") if k is None else hits.select("doc_id").orderBy("doc_id").limit(k)
         rest = first.crossJoin(F.broadcast(asked_ids)).join(matched, ["query_id", "doc_id"], "left_anti").join(F.broadcast(shift), "query_id", "left")
         scored = scored.unionByName(rest.select("query_id", "doc_id", F.round(F.coalesce("shift", F.lit(0.0)), 6).alias("score")))
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
@@ -125,7 +126,10 @@ class Bm25Index:
 
 
 class VectorSpace:
-    """Cosine of tf-idf vectors: tf over length, log10(N / df)."""
+    """Cosine of tf-idf vectors: tf over length, log10(N / df).
+
+    Fitted once: frequencies and norms are written, so that a query reads its own terms' postings and the norms.
+    """
 
     def __init__(self, weights: DataFrame, norms: DataFrame, idfs: DataFrame):
         self.weights, self.norms, self.idfs = weights, norms, idfs
@@ -134,11 +138,11 @@ class VectorSpace:
     def fit(cls, docs: DataFrame, tokens: Column | None = None) -> VectorSpace:
         tokens = word_tokens(F.col("text")) if tokens is None else tokens
         split = docs.select("doc_id", tokens.alias("tokens"))
-        tf = split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        tf = materialise(split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
         n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-        idfs = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", F.log10(F.col("n") / F.col("df")).alias("idf"))
+        idfs = materialise(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", F.log10(F.col("n") / F.col("df")).alias("idf")), "idfs")
         weights = tf.join(idfs, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
-        norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        norms = materialise(weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
         return cls(weights, norms, idfs)
 
     def query(self, text: str, tokens: Column | None = None) -> DataFrame:
@@ -151,7 +155,7 @@ class VectorSpace:
         q = F.broadcast(spark.createDataFrame([*counts.items()] or [("", 0.0)], "term string, qtf double"))
         qw = F.broadcast(self.idfs.join(q, "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw")))
         qn = qw.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-        dots = self.weights.join(qw, "term").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+        dots = self.weights.where(F.col("term").isin(list(counts))).join(qw, "term").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
         scored = dots.join(self.norms, "doc_id").crossJoin(F.broadcast(qn))
         return scored.select("doc_id", F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)), 6).alias("score"))
 
@@ -187,7 +191,16 @@ def domain_cap(results: DataFrame, pool: DataFrame, threshold: float = 0.7) -> D
     lowest = results.withColumn("_low", F.row_number().over(order)).join(F.broadcast(top), ["query_id", "host"]).where(F.col("_low") <= F.floor(F.col("n") / 2))
     kept = results.join(lowest.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     open_places = top.select("query_id", "host", F.floor(F.col("n") / 2).alias("open"))
-    # Only the first documents of other hosts can fill the places, at most results + places of them.
-    others = pool.crossJoin(F.broadcast(open_places.withColumnRenamed("host", "_top"))).where("host <> _top").join(results.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    filled = others.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("_n") <= F.col("open"))
-    return kept.select("query_id", "doc_id", "host", "score").unionByName(filled.select("query_id", "doc_id", "host", F.lit(0.0).alias("score")))
+    # A query's places are filled from the first documents of other hosts, of which its results take some: so many
+    # documents of the pool's start serve all queries with the same host. Queries and so hosts are a batch.
+    most = results.groupBy("query_id").agg((F.count(F.lit(1)) * 2).alias("m")).agg(F.max("m")).first()[0] or 0
+    others = None
+    for row in top.select("host").distinct().collect():
+        first = pool.where(F.col("host") != row.host).orderBy("doc_id").limit(int(most)).withColumn("_top", F.lit(row.host))
+        others = first if others is None else others.unionByName(first)
+    kept = kept.select("query_id", "doc_id", "host", "score")
+    if others is None:
+        return kept
+    met = others.join(F.broadcast(open_places.withColumnRenamed("host", "_top")), "_top").join(results.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    filled = met.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("_n") <= F.col("open"))
+    return kept.unionByName(filled.select("query_id", "doc_id", "host", F.lit(0.0).alias("score")))

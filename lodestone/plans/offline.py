@@ -38,9 +38,9 @@ def dedup_first_seen(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
 
 
-BITS = ", ".join(f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN tf ELSE -tf END) AS b{i}" for i in range(C.SOFT_BITS))
-FOLD = " + ".join(f"CASE WHEN b{i} > 0 THEN {1 << i}::BIGINT ELSE 0 END" for i in range(C.SOFT_BITS))
-SIMHASH = f"{POSTINGS}, hashed AS (SELECT doc_id, tf, ('0x' || left(md5(term), {C.SOFT_BITS // 4}))::BIGINT AS h FROM post), bits AS (SELECT doc_id, {BITS} FROM hashed GROUP BY doc_id), sim AS (SELECT doc_id, {FOLD} AS simhash FROM bits)"
+BITS = ", ".join(f"sum(CASE WHEN (h{i // 32} >> {i % 32}) & 1 = 1 THEN tf ELSE -tf END) AS b{i}" for i in range(64))
+FOLD = " | ".join(f"CASE WHEN b{i} > 0 THEN {'(-9223372036854775807 - 1)' if i == 63 else 1 << i}::BIGINT ELSE 0 END" for i in range(64))
+SIMHASH = f"{POSTINGS}, hashed AS (SELECT doc_id, tf, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(term), 9, 8))::BIGINT AS h0 FROM post), bits AS (SELECT doc_id, {BITS} FROM hashed GROUP BY doc_id), sim AS (SELECT doc_id, {FOLD} AS simhash FROM bits)"
 
 
 @query("dedup_simhashes", f"WITH {SIMHASH} SELECT doc_id, simhash FROM sim")
@@ -108,6 +108,22 @@ def graph_pagerank_normalized(spark, sf):
     return _ranks(spark, sf, normalise=True).select("node", F.round("rank", 9).alias("rank"))
 
 
+MEMBERS = "raw AS (SELECT DISTINCT src, w, dst FROM (SELECT src, 1.0::DOUBLE / len(l) AS w, unnest(l) AS dst FROM outs))"
+MEMBER_EDGES = EDGES.replace("raw AS (SELECT src, 1.0::DOUBLE / len(l) AS w, unnest(l) AS dst FROM outs)", MEMBERS)
+
+
+@query("graph_edges_members", f"WITH {MEMBER_EDGES} SELECT src, dst, round(w, 9) AS w FROM edges")
+def graph_edges_members(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return G.member_edges(edges, nodes).select("src", "dst", F.round("w", 9).alias("w"))
+
+
+@query("graph_pagerank_members", f"{pagerank_sql(10, True).replace(EDGES, MEMBER_EDGES)} SELECT node, round(rank, 9) AS rank FROM r10")
+def graph_pagerank_members(spark, sf):
+    """The older ranking: distinct links, ranks scaled to one in each round."""
+    return _ranks(spark, sf, normalise=True, members=True).select("node", F.round("rank", 9).alias("rank"))
+
+
 @query("graph_pagerank_stats", f"{pagerank_sql(10)} SELECT round(sum(rank), 9) AS total, round(min(rank), 9) AS least, round(max(rank), 9) AS greatest, round(avg(rank), 9) AS mean, round(median(rank), 9) AS median FROM r10")
 def graph_pagerank_stats(spark, sf):
     return G.rank_statistics(_ranks(spark, sf))
@@ -382,7 +398,7 @@ jn AS (SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN list
 ph AS (SELECT doc_id, trim(unnest(string_split(j, chr(1)))) AS phrase FROM jn), each AS (SELECT doc_id, phrase, string_split(phrase, ' ') AS words FROM ph WHERE phrase <> ''),
 wsc AS (SELECT doc_id, word, sum(deg) / count(*) AS s FROM (SELECT doc_id, len(words) AS deg, unnest(words) AS word FROM each) GROUP BY ALL),
 dist AS (SELECT DISTINCT doc_id, phrase, words FROM each), ex AS (SELECT doc_id, phrase, unnest(words) AS word FROM dist),
-rake AS (SELECT doc_id, phrase, round(sum(s), 6) AS score FROM ex JOIN wsc USING (doc_id, word) GROUP BY doc_id, phrase)"""
+rake AS (SELECT doc_id, phrase, round(sum(s), 9) AS score FROM ex JOIN wsc USING (doc_id, word) GROUP BY doc_id, phrase)"""
 
 
 @query("kw_rake", f"WITH {RAKE} SELECT doc_id, phrase, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, phrase) AS rank FROM rake QUALIFY rank <= 50")

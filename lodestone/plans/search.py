@@ -207,13 +207,13 @@ def fusion_combsum(spark, sf):
 
 
 #: A result list per language of the pages, so that hosts repeat.
-RESULTS = f"res AS (SELECT (page_id % 3)::INTEGER AS query_id, page_id AS doc_id, CASE WHEN page_id % 3 = 0 AND page_id % 5 > 0 THEN 'hot.example' ELSE {HOST} END AS host, round(1.0::DOUBLE / (1 + page_id % 17), 6) AS score FROM pages WHERE page_id % 2 = 0)"
+RESULTS = f"res AS (SELECT (page_id % 3)::INTEGER AS query_id, page_id AS doc_id, CASE WHEN page_id % 3 = 0 AND page_id % 5 > 0 THEN 'hot.example' ELSE {HOST} END AS host, round(1.0::DOUBLE / (1 + page_id % 17), 6) AS score FROM pages)"
 
 
 def _results(spark, sf):
     pages = table(spark, sf, "pages")
     host = F.when((F.col("page_id") % 3 == 0) & (F.col("page_id") % 5 > 0), "hot.example").otherwise(W.host(F.col("url")))
-    return pages.where("page_id % 2 = 0").select((F.col("page_id") % 3).cast("int").alias("query_id"), F.col("page_id").alias("doc_id"), host.alias("host"), F.round(1.0 / (1 + F.col("page_id") % 17), 6).alias("score"))
+    return pages.select((F.col("page_id") % 3).cast("int").alias("query_id"), F.col("page_id").alias("doc_id"), host.alias("host"), F.round(1.0 / (1 + F.col("page_id") % 17), 6).alias("score"))
 
 
 @query("fusion_domain_share", f"WITH {RESULTS} SELECT query_id, host, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY query_id), 6) AS share FROM res GROUP BY query_id, host")
@@ -233,13 +233,13 @@ def fusion_domain_cap(spark, sf):
 
 
 #: Candidates: pages dealt to three queries.
-CANDIDATES = f"cand AS (SELECT (page_id % 3)::INTEGER AS query_id, page_id AS doc_id, {MAIN_TEXT} AS body, {TITLE} AS title, url FROM pages WHERE page_id % 2 = 0)"
+CANDIDATES = f"cand AS (SELECT (page_id % 3)::INTEGER AS query_id, page_id AS doc_id, {MAIN_TEXT} AS body, {TITLE} AS title, url FROM pages)"
 FEATURE_QUERIES = [(0, "the rean erth"), (1, "onsh and the the"), (2, "de la zzzunknown")]
 SYNONYMS = [("rean", "onsh"), ("rean", "erth"), ("onsh", "the"), ("de", "en")]
 
 
 def _candidates(spark, sf):
-    pages = table(spark, sf, "pages").where("page_id % 2 = 0")
+    pages = table(spark, sf, "pages")
     return pages.select((F.col("page_id") % 3).cast("int").alias("query_id"), F.col("page_id").alias("doc_id"), W.main_text(F.col("html")).alias("body"), W.title(F.col("html")).alias("title"), "url")
 
 
