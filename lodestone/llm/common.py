@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +19,25 @@ from ..storage import discard, materialise, shared_folder  # noqa: F401
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(function: Callable) -> Callable:
+    """``function``, of an iterator, with ``release`` once it is through."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches, unless the session has smaller bounds. A row over the bound comes alone."""
     conf = df.sparkSession.conf
@@ -25,7 +45,7 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
         key = f"spark.sql.execution.arrow.{name}"
         if not 0 < int(re.sub("[^0-9-]", "", conf.get(key))) <= most:
             conf.set(key, most)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(releasing(function), schema)
 
 
 def quoted(name: str) -> str:

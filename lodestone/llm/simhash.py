@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, encoded, materialise, table
+from .common import arrow_map, discard, encoded, materialise, release, table
 from .windows import U, mix
 
 SEED = 42
@@ -273,7 +273,9 @@ def across(many: DataFrame, labels: DataFrame, sets: DataFrame, least: float) ->
                 hit = (both >= least * (len(mine) + sizes - both)) & (names != label)
                 found_u.append(np.minimum(ids[hit], doc))
                 found_v.append(np.maximum(ids[hit], doc))
-        return pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v)})
+        out = pa.table({"u": np.concatenate(found_u), "v": np.concatenate(found_v)})
+        release()
+        return out
 
     return rest.unionByName(whole).groupBy("k", "v", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
@@ -325,6 +327,7 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
     links = materialise(similar(both, least), "links")
     labels = components(links)
     more = materialise(across(many, labels, sets, least), "more")
+    discard(signed, sizes, dealt, candidates)
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
