@@ -54,6 +54,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, size(a) * size(b)), F.lit(0.0))
 
 
+#: Buckets of the stand-in embedding, one for each hexadecimal digit.
+EMBEDDING = 16
+
+
+def hashed_embedding(tokens: Column) -> Column:
+    """A stand-in for a sentence embedding that needs no model: counts of tokens by the first digit of their md5."""
+    digits = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 1), 16, 10).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING - 1)), lambda i: F.size(F.filter(digits, lambda d: d == i)).cast("double"))
+
+
 def haversine(lat: Column, lon: Column, centre: tuple[float, float] = CENTRE) -> Column:
     """Kilometres to a centre on a sphere."""
     a, o = F.radians(lat), F.radians(lon)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
@@ -9,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import grade_weight, graded_label, min_max
+from ..functions.scoring import cosine, grade_weight, graded_label, hashed_embedding, min_max
 from ..functions.text import simple_tokens
 from ..functions.web import count_of, url_terms
 
@@ -18,34 +19,42 @@ PARTS = ("body", "title", "url")
 
 def part_terms(candidates: DataFrame) -> DataFrame:
     """(query_id, doc_id, part, term, tf, stream_length) of candidates (query_id, doc_id, body, title, url)."""
-    tokens = {"body": simple_tokens(F.col("body")), "title": simple_tokens(F.col("title")), "url": url_terms(F.col("url"))}
-    long = candidates.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), t.alias("tokens")) for p, t in tokens.items()])).alias("x"))
+    long = candidates.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), t.alias("tokens")) for p, t in part_texts().items()])).alias("x"))
     flat = long.select("query_id", "doc_id", "x.part", F.size("x.tokens").alias("stream_length"), F.explode("x.tokens").alias("term"))
     return flat.groupBy("query_id", "doc_id", "part", "stream_length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
-    """Per candidate and part: sum_tf, sum_tfidf, stream_length, cosine and synonym_count; slashes and length of the URL.
+FEATURES = [f"{p}_{f}" for p in PARTS for f in ("sum_tf", "sum_tfidf", "stream_length", "cosine", "synonym_count", "embedding")] + ["url_slashes", "url_chars"]
 
-    The corpus of the inverse document frequencies, ln(N / df), is the query's candidate set.
+
+def part_texts() -> dict[str, Column]:
+    return {"body": simple_tokens(F.col("body")), "title": simple_tokens(F.col("title")), "url": url_terms(F.col("url"))}
+
+
+def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFrame | None = None, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+    """Per candidate and part: sum_tf, sum_tfidf, stream_length, cosine, synonym_count and the cosine of embeddings;
+    slashes and length of the URL: 20 features.
+
+    The corpus of the inverse document frequencies, ln(N / df), is the query's candidate set. ``embed`` makes a
+    vector of an array of tokens; a model may stand behind it.
     """
     terms = part_terms(candidates)
     n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     df = terms.groupBy("query_id", "part", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(n), "query_id").select("query_id", "part", "term", F.log(F.col("n") / F.col("df")).alias("idf"))
+    idf = df.join(n, "query_id").select("query_id", "part", "term", F.log(F.col("n") / F.col("df")).alias("idf"))
     asked = queries.select("query_id", F.explode(simple_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighted = terms.join(idf, ["query_id", "part", "term"])
     norms = weighted.groupBy("query_id", "doc_id", "part", "stream_length").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
     parts = F.explode(F.array(*map(F.lit, PARTS))).alias("part")
     # A query's term that no candidate has weighs ln N.
-    query_weights = asked.join(F.broadcast(n), "query_id").select("query_id", "term", "qtf", "n", parts).join(idf, ["query_id", "part", "term"], "left").withColumn("qw", F.col("qtf") * F.coalesce("idf", F.log("n")))
+    query_weights = asked.join(n, "query_id").select("query_id", "term", "qtf", "n", parts).join(idf, ["query_id", "part", "term"], "left").withColumn("qw", F.col("qtf") * F.coalesce("idf", F.log("n")))
     qnorm = query_weights.groupBy("query_id", "part").agg(F.sqrt(F.sum(F.pow("qw", 2))).alias("qnorm"))
-    hits = weighted.join(F.broadcast(query_weights.select("query_id", "part", "term", "qw")), ["query_id", "part", "term"])
+    hits = weighted.join(query_weights.select("query_id", "part", "term", "qw"), ["query_id", "part", "term"])
     sums = hits.groupBy("query_id", "doc_id", "part").agg(F.sum("tf").alias("sum_tf"), F.sum(F.col("tf") * F.col("idf")).alias("sum_tfidf"), F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
-    long = norms.join(sums, ["query_id", "doc_id", "part"], "left").join(F.broadcast(qnorm), ["query_id", "part"], "left")
+    long = norms.join(sums, ["query_id", "doc_id", "part"], "left").join(qnorm, ["query_id", "part"], "left")
     if synonyms is not None:
         also = asked.join(synonyms, "term").select("query_id", F.col("synonym").alias("term")).distinct()
-        counted = terms.join(F.broadcast(also), ["query_id", "term"]).groupBy("query_id", "doc_id", "part").agg(F.sum("tf").alias("synonyms"))
+        counted = terms.join(also, ["query_id", "term"]).groupBy("query_id", "doc_id", "part").agg(F.sum("tf").alias("synonyms"))
         long = long.join(counted, ["query_id", "doc_id", "part"], "left")
     else:
         long = long.withColumn("synonyms", F.lit(0))
@@ -58,8 +67,11 @@ def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFr
         "synonym_count": lambda: zero(F.col("synonyms")).cast("double"),
     }
     wide = long.groupBy("query_id", "doc_id").agg(*[F.coalesce(F.max(F.when(F.col("part") == p, make())), F.lit(0.0)).alias(f"{p}_{name}") for p in PARTS for name, make in of.items()])
-    url = candidates.select("query_id", "doc_id", count_of(F.col("url"), "/").cast("double").alias("url_slashes"), F.length("url").cast("double").alias("url_chars"))
-    return wide.join(url, ["query_id", "doc_id"])
+    # Rows alone: the URL's counts, and the parts' embeddings against the query's.
+    asked_vectors = queries.select("query_id", embed(simple_tokens(F.col("text"))).alias("asked"))
+    alike = {f"{p}_embedding": F.round(cosine(embed(t), F.col("asked")), 6) for p, t in part_texts().items()}
+    own = candidates.join(asked_vectors, "query_id").select("query_id", "doc_id", *[v.alias(k) for k, v in alike.items()], count_of(F.col("url"), "/").cast("double").alias("url_slashes"), F.length("url").cast("double").alias("url_chars"))
+    return wide.join(own, ["query_id", "doc_id"]).select("query_id", "doc_id", *FEATURES)
 
 
 def normalized(features: DataFrame, columns: list[str], by: str = "query_id") -> DataFrame:
@@ -88,11 +100,11 @@ def labels(judged: DataFrame) -> DataFrame:
 def split_by_query(rows: DataFrame, train: int, by: str = "query_id") -> DataFrame:
     """``rows`` with ``part``: train for the first ``train`` queries by id, else test.
 
-    Only the distinct query ids are ranked.
+    Only the first ids leave their tasks.
     """
     ids = rows.select(by).distinct()
-    ranked = ids.withColumn("part", F.when(F.dense_rank().over(Window.orderBy(by)) <= train, "train").otherwise("test"))
-    return rows.join(ranked, by)
+    first = ids.orderBy(by).limit(train).select(by, F.lit("train").alias("part"))
+    return rows.join(first, by, "left").withColumn("part", F.coalesce("part", F.lit("test")))
 
 
 class Ranker:

@@ -17,7 +17,7 @@ from ..operators import retrieval as R
 from ..sources.readers import judged_rows, table
 from ..storage import shared_folder
 from ..streaming import ingest
-from .common import HOST, MAIN_TEXT, NO_FRAGMENT, POSTINGS, TITLE, WORDS, query, sql_list, tok
+from .common import HOST, LINKS, MAIN_TEXT, NO_FRAGMENT, POSTINGS, TITLE, WORDS, query, sql_list, tok
 from .search import BATCH, bm25_sql
 
 # Deduplication
@@ -458,6 +458,31 @@ def stream_sync(spark, sf):
     return ingest.sync(ingest.documents_of(_stream(spark, sf)), f"{path}/store", f"{path}/checkpoint").select("url")
 
 
+SYNCED = f"SELECT url, max(page_id) AS page_id FROM (SELECT page_id, {NO_FRAGMENT} AS url FROM pages) GROUP BY url"
+
+
+@query("stream_upsert", SYNCED)
+def stream_upsert(spark, sf):
+    """The last page of each URL, whether it came in one batch or another."""
+    path = _scratch(spark)
+    return ingest.sync(ingest.documents_of(_stream(spark, sf)), f"{path}/store", f"{path}/checkpoint").select("url", "page_id")
+
+
+@query("stream_frontier", f"WITH {LINKS} SELECT url, bool_or(crawled) AS crawled FROM (SELECT {NO_FRAGMENT} AS url, true AS crawled FROM pages UNION ALL SELECT link, false FROM links) GROUP BY url")
+def stream_frontier(spark, sf):
+    """The frontier after a crawl of all pages: they are crawled, what they link to is not."""
+    path = _scratch(spark)
+    ingest.crawl(_stream(spark, sf), f"{path}/crawl", f"{path}/checkpoint")
+    return ingest.frontier(spark, f"{path}/crawl").select("url", "crawled")
+
+
+@query("stream_crawl_relevant", f"WITH d AS (SELECT page_id, {NO_FRAGMENT} AS url FROM pages WHERE contains(lower({MAIN_TEXT}), 'the')) SELECT url, min(page_id) AS page_id FROM d GROUP BY url")
+def stream_crawl_relevant(spark, sf):
+    path = _scratch(spark)
+    ingest.crawl(_stream(spark, sf), f"{path}/crawl", f"{path}/checkpoint", keywords=["the"])
+    return ingest.crawled_documents(spark, f"{path}/crawl").select("url", "page_id")
+
+
 @query("stream_dedup", f"SELECT DISTINCT {NO_FRAGMENT} AS url FROM pages")
 def stream_dedup(spark, sf):
     path = _scratch(spark)

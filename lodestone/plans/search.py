@@ -253,23 +253,38 @@ def _simple(x: str) -> str:
 
 
 URL_T = "string_split(trim(regexp_replace(translate(lower(url), '/.', '  '), ' +', ' ', 'g')), ' ')"
-FEATURES_SQL = f"""{CANDIDATES}, toks AS (SELECT query_id, doc_id, 'body' AS part, {_simple('body')} AS t FROM cand UNION ALL SELECT query_id, doc_id, 'title', {_simple('title')} FROM cand UNION ALL SELECT query_id, doc_id, 'url', {URL_T} FROM cand),
+def _embedding(tokens: str) -> str:
+    """Counts of tokens by the first hexadecimal digit of their md5."""
+    return f"list_transform(string_split('0 1 2 3 4 5 6 7 8 9 a b c d e f', ' '), lambda d: len(list_filter({tokens}, lambda x: left(md5(x), 1) = d))::DOUBLE)"
+
+
+def features_sql(candidates: str, queries: list[tuple[int, str]], synonyms: list[tuple[str, str]]) -> str:
+    """CTEs from ``cand`` (query_id, doc_id, body, title, url) to ``allf``, the 20 features."""
+    return f"""{candidates}, toks AS (SELECT query_id, doc_id, 'body' AS part, {_simple('body')} AS t FROM cand UNION ALL SELECT query_id, doc_id, 'title', {_simple('title')} FROM cand UNION ALL SELECT query_id, doc_id, 'url', {URL_T} FROM cand),
 terms AS (SELECT query_id, doc_id, part, len(t) AS sl, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM toks) GROUP BY query_id, doc_id, part, sl, term),
 n AS (SELECT query_id, count(*)::DOUBLE AS n FROM cand GROUP BY query_id),
 idf AS (SELECT query_id, part, term, ln(any_value(n) / count(*)) AS idf FROM terms JOIN n USING (query_id) GROUP BY query_id, part, term),
-asked(query_id, term, qtf) AS (VALUES {", ".join(f"({q}, '{t}', {text.split().count(t)}::DOUBLE)" for q, text in FEATURE_QUERIES for t in dict.fromkeys(text.split()))}),
+asked(query_id, term, qtf) AS (VALUES {", ".join(f"({q}, '{t}', {text.split().count(t)}::DOUBLE)" for q, text in queries for t in dict.fromkeys(text.split()))}),
 qw AS (SELECT a.query_id, p.part, a.term, qtf * coalesce(idf, ln(n)) AS qw FROM asked a JOIN n USING (query_id) CROSS JOIN (VALUES ('body'), ('title'), ('url')) p(part) LEFT JOIN idf i ON i.query_id = a.query_id AND i.part = p.part AND i.term = a.term),
 qn AS (SELECT query_id, part, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY ALL),
 dw AS (SELECT *, tf * idf AS w FROM terms JOIN idf USING (query_id, part, term)),
 nm AS (SELECT query_id, doc_id, part, sl, sqrt(sum(w * w)) AS norm FROM dw GROUP BY ALL),
 hit AS (SELECT query_id, doc_id, part, sum(tf) AS sum_tf, sum(w) AS sum_tfidf, sum(w * qw) AS dot FROM dw JOIN qw USING (query_id, part, term) GROUP BY ALL),
-syn(term, synonym) AS (VALUES {", ".join(str(x) for x in SYNONYMS)}),
+syn(term, synonym) AS (VALUES {", ".join(str(x) for x in synonyms)}),
 sy AS (SELECT query_id, doc_id, part, sum(tf) AS sc FROM terms JOIN (SELECT DISTINCT query_id, synonym AS term FROM asked JOIN syn USING (term)) USING (query_id, term) GROUP BY ALL),
 long AS (SELECT query_id, doc_id, part, coalesce(sum_tf, 0)::DOUBLE AS sum_tf, round(coalesce(sum_tfidf, 0), 6) AS sum_tfidf, sl::DOUBLE AS stream_length, round(coalesce(dot / nullif(norm * qnorm, 0), 0), 6) AS cosine, coalesce(sc, 0)::DOUBLE AS synonym_count
   FROM nm LEFT JOIN hit USING (query_id, doc_id, part) LEFT JOIN qn USING (query_id, part) LEFT JOIN sy USING (query_id, doc_id, part)),
 feat AS (SELECT query_id, doc_id, {", ".join(f"max({f}) FILTER (WHERE part = '{p}') AS {p}_{f}" for p in K.PARTS for f in ("sum_tf", "sum_tfidf", "stream_length", "cosine", "synonym_count"))} FROM long GROUP BY ALL),
-allf AS (SELECT feat.*, (length(url) - length(replace(url, '/', '')))::DOUBLE AS url_slashes, length(url)::DOUBLE AS url_chars FROM feat JOIN cand USING (query_id, doc_id))"""
-COLUMNS = [f"{p}_{f}" for p in K.PARTS for f in ("sum_tf", "sum_tfidf", "stream_length", "cosine", "synonym_count")] + ["url_slashes", "url_chars"]
+asked_text(query_id, text) AS (VALUES {", ".join(f"({q}, '{text}')" for q, text in queries)}),
+embq AS (SELECT query_id, {_embedding(_simple('text'))} AS v FROM asked_text),
+embs AS (SELECT query_id, doc_id, part, round(coalesce(list_dot_product(v, w) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)), 0), 0), 6) AS c FROM (SELECT * FROM (SELECT query_id, doc_id, part, {_embedding('t')} AS v FROM toks) JOIN (SELECT query_id, v AS w FROM embq) USING (query_id))),
+embp AS (SELECT query_id, doc_id, {", ".join(f"max(c) FILTER (WHERE part = '{p}') AS {p}_embedding" for p in K.PARTS)} FROM embs GROUP BY ALL),
+allf AS (SELECT feat.*, {", ".join(f"{p}_embedding" for p in K.PARTS)}, (length(url) - length(replace(url, '/', '')))::DOUBLE AS url_slashes, length(url)::DOUBLE AS url_chars FROM feat JOIN cand USING (query_id, doc_id) JOIN embp USING (query_id, doc_id))"""
+
+
+FEATURES_SQL = features_sql(CANDIDATES, FEATURE_QUERIES, SYNONYMS)
+
+COLUMNS = K.FEATURES
 
 
 def _feature_query(name: str, wanted: list[str]):
@@ -280,9 +295,10 @@ def _feature_query(name: str, wanted: list[str]):
     return run
 
 
-_feature_query("feat_tf_tfidf", [c for c in COLUMNS if not c.endswith(("cosine", "synonym_count"))])
+_feature_query("feat_tf_tfidf", [c for c in COLUMNS if not c.endswith(("cosine", "synonym_count", "embedding"))])
 _feature_query("feat_synonyms", [c for c in COLUMNS if c.endswith("synonym_count")])
 _feature_query("feat_cosine_sparse", [c for c in COLUMNS if c.endswith("cosine")])
+_feature_query("feat_embedding", [c for c in COLUMNS if c.endswith("embedding")])
 
 
 @query("feat_normalized", f"WITH {FEATURES_SQL} SELECT query_id, doc_id, " + ", ".join(f"round(coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0), 6) AS {c}" for c in COLUMNS) + " FROM allf WINDOW w AS (PARTITION BY query_id)")

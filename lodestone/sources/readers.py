@@ -67,6 +67,13 @@ def ranked_results(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("index IS NOT NULL AND score IS NOT NULL").select("index", "title", "url", F.regexp_extract_all("content", F.lit(r"'([^']*)'"), F.lit(1)).alias("tokens"), "score")
 
 
+def ranking_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature columns of a ranking data set, as numbers, under the names in the file's header."""
+    path = f"{folder}/X.csv"
+    names = spark.read.option("header", True).csv(path).columns
+    return spark.read.option("header", True).schema(", ".join(f"`{n}` double" for n in names)).csv(path)
+
+
 def ranking_csv(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(labels, groups) of a ranking data set; CSV with headers."""
     y = spark.read.option("header", True).schema("target1 int, target2 double").csv(f"{folder}/y.csv")
@@ -82,6 +89,18 @@ def svm_rank(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
     return rows.select("label", "qid", *[F.try_element_at("m", F.lit(i)).alias(f"f{i}") for i in range(1, columns + 1)])
 
 
+def filled_columns(rows: DataFrame, prefix: str = "f") -> DataFrame:
+    """``rows`` without the feature columns that hold no number in any row."""
+    names = [c for c in rows.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
+    held = rows.agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in names]).first() if names else {}
+    return rows.drop(*[c for c in names if not held[c]])
+
+
+def query_groups(rows: DataFrame, by: str = "qid") -> DataFrame:
+    """(qid, n): rows of each query, in order."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(by)
+
+
 def gazetteer_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").schema("name string, latitude double, longitude double, country_code string, feature_class string").csv(path)
 
@@ -95,6 +114,15 @@ def merged_subcorpora(parts: dict[str, DataFrame], key: str = "_id") -> DataFram
     return out
 
 
+def merged_judgements(parts: dict[str, DataFrame], keys: tuple[str, ...] = ("query-id", "corpus-id")) -> DataFrame:
+    """The parts' judgements in one table, with their part's name in front of both the query's and the document's key."""
+    out = None
+    for name, df in parts.items():
+        named = df.withColumns({k: F.concat_ws("_", F.lit(name), F.col(f"`{k}`")) for k in keys})
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def judged_rows(scored: DataFrame, queries: DataFrame, judged: DataFrame, docs: DataFrame, top: int | None = None) -> DataFrame:
     """First-stage scores with their query, judgement and document, where all are known."""
     kept = scored.join(judged, ["query_id", "doc_id"]).join(queries, "query_id").join(docs, "doc_id")

@@ -12,8 +12,8 @@ def run_rows(results: DataFrame) -> DataFrame:
 
 
 def write_run(results: DataFrame, path: str) -> None:
-    """A run file: tab-separated, no header."""
-    run_rows(results).coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+    """A run: tab-separated, no header, in order across the files' names. A batch's run is of queries times k rows."""
+    run_rows(results).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
 def write_token_blocks(rows: DataFrame, path: str) -> None:
