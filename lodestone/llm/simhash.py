@@ -181,7 +181,7 @@ def signatures(docs: DataFrame, size: int, segments: int, key: str, text: str) -
     """(key, ring, marks, shingles): minima of hashed shingles, MARK bits of each side by side, and the sorted
     32-bit shingle set, where there are words."""
     kind = dict(docs.dtypes)[key]
-    seeds = mix(np.arange(1, segments + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))[:, None]
+    seeds = mix(np.arange(1, segments + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +190,7 @@ def signatures(docs: DataFrame, size: int, segments: int, key: str, text: str) -
                 h = np.unique(shingle_hashes(data.lower(), size))
                 there.append(bool(len(h)))
                 if len(h):
-                    least = mix(h[None, :] ^ seeds).min(axis=1)
+                    least = np.array([mix(h ^ seed).min() for seed in seeds], np.uint64)
                     rings.append(least.view(np.int64))
                     marks.append(sum((int(x) & (1 << MARK) - 1) << MARK * i for i, x in enumerate(least)))
                     sets.append(np.unique((h >> U(32)).astype("<u4")).tobytes())
