@@ -105,17 +105,6 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.try_divide((x - low).cast("double"), (high - low).cast("double")), F.lit(0.0))
 
 
-def simhash_bits(term: Column, weight: Column) -> list[Column]:
-    """64 aggregates whose signs are a SimHash's bits, from the first sixteen hexadecimal digits of the term's md5."""
-    halves = [F.conv(F.substring(F.md5(term), at, 8), 16, 10).cast("long") for at in (9, 1)]
-    return [F.sum(F.when(F.shiftright(halves[i // 32], i % 32).bitwiseAND(F.lit(1)) == 1, weight).otherwise(-weight)).alias(f"b{i}") for i in range(64)]
-
-
-def simhash_fold() -> Column:
-    """The 64 signs as a LONG."""
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"b{i}") > 0, F.lit((1 << i) - ((1 << 64) if i == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)])
-
-
 #: Class weights of relevance grades: the inverse of their shares, against the share of grade 0.
 GRADE_WEIGHTS = {0: 1.0, 1: 59.4 / 28.3, 2: 59.4 / 7.1, 3: 59.4 / 5.2}
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import LDA
@@ -11,9 +14,9 @@ from pyspark.ml.feature import IDF, CountVectorizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.scoring import geodesic_km, haversine, simhash_bits, simhash_fold
+from ..functions.scoring import geodesic_km, haversine
 from ..functions.text import STOP_WORDS, lemma, pipeline_tokens, word_tokens
 from ..functions.web import encyclopedia_noise, main_text, title
 from ..storage import materialise
@@ -32,10 +35,34 @@ def exact_dedup(docs: DataFrame, content: str = "text", key: str = "doc_id") ->
 
 
 def simhashes(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """(doc_id, simhash) of 64 bits, weighted by counts."""
+    """(doc_id, simhash, bag) of documents with tokens: 64 bits weighted by counts, and a hash of the counted tokens.
+
+    A term's bits are the first 64 of its md5. A document is hashed where it is read; nothing is shuffled.
+    """
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
-    terms = docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return terms.groupBy("doc_id").agg(*simhash_bits(F.col("term"), F.col("tf"))).select("doc_id", simhash_fold().alias("simhash"))
+    fields = StructType([docs.schema["doc_id"], StructField("simhash", LongType()), StructField("bag", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            ids, hashes, bags = [], [], []
+            for doc, words in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()):
+                if not words:
+                    continue
+                counts = Counter(words)
+                if len(known) > 200_000:
+                    known.clear()
+                for w in counts:
+                    if w not in known:
+                        known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+                bits = np.unpackbits(np.array([known[w] for w in counts], ">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+                n = np.array([*counts.values()])
+                ids.append(doc)
+                hashes.append(int.from_bytes(np.packbits(2 * (n @ bits) > n.sum()).tobytes(), "big", signed=True))
+                bags.append(int.from_bytes(hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=8).digest(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(hashes, pa.int64()), pa.array(bags, pa.int64())], ["doc_id", "simhash", "bag"])
+
+    return docs.select("doc_id", tokens.alias("tokens")).mapInArrow(run, fields)
 
 
 def simhash_links(hashes: DataFrame) -> DataFrame:
@@ -88,15 +115,17 @@ def soft_duplicates(docs: DataFrame, tokens: Column | None = None, similarity: f
     documents count for the frequencies of terms.
     """
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
-    tf = materialise(docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    hashes = materialise(tf.groupBy("doc_id").agg(*simhash_bits(F.col("term"), F.col("tf")), F.sum(F.xxhash64("term", "tf").cast("decimal(38,0)")).alias("bag")).select("doc_id", simhash_fold().alias("simhash"), "bag"), "simhashes")
+    hashes = materialise(simhashes(docs, tokens), "simhashes")
     classes = hashes.groupBy("simhash", "bag").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
     firsts = materialise(classes.select(F.col("first").alias("doc_id"), "simhash", "bag", "members"), "firsts")
     pairs = materialise(simhash_pairs(firsts.select("doc_id", "simhash")), "pairs")
     wanted = pairs.select(F.col("early").alias("doc_id")).unionByName(pairs.select(F.col("late").alias("doc_id"))).unionByName(firsts.where("members > 1").select("doc_id")).distinct()
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = materialise(tf.join(wanted, "doc_id", "left_semi").join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w")), "weights")
+    # Tokens of paired documents, and how many of all documents hold each of their terms.
+    tf = materialise(docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    held = docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = held.join(tf.select("term").distinct(), "term", "left_semi")
+    w = materialise(tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w")), "weights")
     norms = materialise(w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
     a, b = w.select(F.col("doc_id").alias("early"), "term", F.col("w").alias("wa")), w.select(F.col("doc_id").alias("late"), "term", F.col("w").alias("wb"))
     dots = pairs.join(a, "early").join(b, ["late", "term"]).groupBy("early", "late").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.scoring import cosine, grade_weight, graded_label, hashed_embedding, min_max
 from ..functions.text import simple_tokens
 from ..functions.web import count_of, url_terms
+from ..storage import materialise
 
 PARTS = ("body", "title", "url")
 
 
 def part_terms(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc_id, part, term, tf, stream_length) of candidates (query_id, doc_id, body, title, url)."""
-    long = candidates.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), t.alias("tokens")) for p, t in part_texts().items()])).alias("x"))
+    """(query_id, doc_id, part, term, tf, stream_length) of split candidates (query_id, doc_id, t_body, t_title, t_url)."""
+    long = candidates.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"t_{p}").alias("tokens")) for p in PARTS])).alias("x"))
     flat = long.select("query_id", "doc_id", "x.part", F.size("x.tokens").alias("stream_length"), F.explode("x.tokens").alias("term"))
     return flat.groupBy("query_id", "doc_id", "part", "stream_length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -38,7 +39,9 @@ def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFr
     The corpus of the inverse document frequencies, ln(N / df), is the query's candidate set. ``embed`` makes a
     vector of an array of tokens; a model may stand behind it.
     """
-    terms = part_terms(candidates)
+    # Pages are split into tokens once; all that follows reads those, and their counts.
+    candidates = materialise(candidates.select("query_id", "doc_id", "url", *[t.alias(f"t_{p}") for p, t in part_texts().items()]), "parts")
+    terms = materialise(part_terms(candidates), "terms")
     n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     df = terms.groupBy("query_id", "part", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(n, "query_id").select("query_id", "part", "term", F.log(F.col("n") / F.col("df")).alias("idf"))
@@ -69,7 +72,7 @@ def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFr
     wide = long.groupBy("query_id", "doc_id").agg(*[F.coalesce(F.max(F.when(F.col("part") == p, make())), F.lit(0.0)).alias(f"{p}_{name}") for p in PARTS for name, make in of.items()])
     # Rows alone: the URL's counts, and the parts' embeddings against the query's.
     asked_vectors = queries.select("query_id", embed(simple_tokens(F.col("text"))).alias("asked"))
-    alike = {f"{p}_embedding": F.round(cosine(embed(t), F.col("asked")), 6) for p, t in part_texts().items()}
+    alike = {f"{p}_embedding": F.round(cosine(embed(F.col(f"t_{p}")), F.col("asked")), 6) for p in PARTS}
     own = candidates.join(asked_vectors, "query_id").select("query_id", "doc_id", *[v.alias(k) for k, v in alike.items()], count_of(F.col("url"), "/").cast("double").alias("url_slashes"), F.length("url").cast("double").alias("url_chars"))
     return wide.join(own, ["query_id", "doc_id"]).select("query_id", "doc_id", *FEATURES)
 

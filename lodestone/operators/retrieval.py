@@ -79,9 +79,12 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene"
 
 def impacts(docs: DataFrame, method: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, places: int | None = 6) -> DataFrame:
     """(term, doc_id, impact): every posting's score, less what the lack of the term scores; rounded to ``places``."""
-    posting, lengths = postings(docs), doc_stats(docs)
-    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    joined = posting.join(term_stats(posting).select("term", "df"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
+    # Texts are split once; a posting carries its document's length.
+    split = docs.select("doc_id", word_tokens(F.col("text")).alias("tokens"))
+    posting = materialise(split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    stats = posting.agg(F.sum("tf").alias("all")).crossJoin(n).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
+    joined = posting.join(term_stats(posting).select("term", "df"), "term").crossJoin(F.broadcast(stats))
     d = lambda c: F.col(c).cast("double")
     part = saturation(method, d("tf"), d("dl"), F.col("avgdl"), k1, b, delta) - absent(method, k1, delta)
     impact = idf(method, F.col("n"), d("df")) * part
@@ -188,7 +191,7 @@ def domain_cap(results: DataFrame, pool: DataFrame, threshold: float = 0.7) -> D
     shares = domain_share(results)
     top = shares.where(F.col("share") >= threshold).select("query_id", "host", "n")
     order = Window.partitionBy("query_id", "host").orderBy("score", F.desc("doc_id"))
-    lowest = results.withColumn("_low", F.row_number().over(order)).join(F.broadcast(top), ["query_id", "host"]).where(F.col("_low") <= F.floor(F.col("n") / 2))
+    lowest = results.withColumn("_low", F.row_number().over(order)).join(top, ["query_id", "host"]).where(F.col("_low") <= F.floor(F.col("n") / 2))
     kept = results.join(lowest.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     open_places = top.select("query_id", "host", F.floor(F.col("n") / 2).alias("open"))
     # A query's places are filled from the first documents of other hosts, of which its results take some: so many
@@ -201,6 +204,6 @@ def domain_cap(results: DataFrame, pool: DataFrame, threshold: float = 0.7) -> D
     kept = kept.select("query_id", "doc_id", "host", "score")
     if others is None:
         return kept
-    met = others.join(F.broadcast(open_places.withColumnRenamed("host", "_top")), "_top").join(results.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    met = others.join(open_places.withColumnRenamed("host", "_top"), "_top").join(results.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     filled = met.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("_n") <= F.col("open"))
     return kept.unionByName(filled.select("query_id", "doc_id", "host", F.lit(0.0).alias("score")))

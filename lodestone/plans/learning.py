@@ -9,6 +9,7 @@ from ..operators import legacy as N
 from ..operators import learning as L
 from ..operators import ranking as K
 from ..sources.readers import table
+from ..storage import materialise
 from .common import MAIN_TEXT, RESOLVED, SPACE, TITLE, query
 from .offline import _ranks, pagerank_sql
 from .search import features_sql
@@ -99,7 +100,7 @@ def _judged(rows):
 
 def _training(spark, sf):
     candidates = _learn_candidates(spark, sf)
-    features = K.lexical_features(candidates, spark.createDataFrame(LEARN_QUERIES, "query_id int, text string"))
+    features = materialise(K.lexical_features(candidates, spark.createDataFrame(LEARN_QUERIES, "query_id int, text string")), "features")
     scored = features.select("query_id", "doc_id", F.col("title_sum_tfidf").alias("score"))
     return L.training_rows(scored, K.normalized(features, K.FEATURES), _judged(features))
 
@@ -113,7 +114,7 @@ def ltr_training_set(spark, sf):
 @query("ltr_lambda_rerank")
 def ltr_lambda_rerank(spark, sf):
     """Trees on lambda gradients, taught by the first nine queries, rerank the others' candidates."""
-    rows = K.split_by_query(_training(spark, sf), 9)
+    rows = K.split_by_query(materialise(_training(spark, sf), "training"), 9)
     ranker = L.LambdaRanker(K.FEATURES, rounds=8, depth=3, at=10).fit(rows.where("part = 'train'"))
     return ranker.rerank(rows.where("part = 'test'"), 100)
 

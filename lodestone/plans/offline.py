@@ -15,7 +15,7 @@ from ..operators import graph as G
 from ..operators import ranking as K
 from ..operators import retrieval as R
 from ..sources.readers import judged_rows, table
-from ..storage import shared_folder
+from ..storage import materialise, shared_folder
 from ..streaming import ingest
 from .common import HOST, LINKS, MAIN_TEXT, NO_FRAGMENT, POSTINGS, TITLE, WORDS, query, sql_list, tok
 from .search import BATCH, bm25_sql
@@ -45,12 +45,12 @@ SIMHASH = f"{POSTINGS}, hashed AS (SELECT doc_id, tf, ('0x' || substr(md5(term),
 
 @query("dedup_simhashes", f"WITH {SIMHASH} SELECT doc_id, simhash FROM sim")
 def dedup_simhashes(spark, sf):
-    return C.simhashes(table(spark, sf, "documents"))
+    return C.simhashes(table(spark, sf, "documents")).select("doc_id", "simhash")
 
 
 @query("dedup_simhash_pairs", f"WITH {SIMHASH} SELECT a.doc_id AS early, b.doc_id AS late FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 2")
 def dedup_simhash_pairs(spark, sf):
-    return C.simhash_pairs(C.simhashes(table(spark, sf, "documents")))
+    return C.simhash_pairs(materialise(C.simhashes(table(spark, sf, "documents")).select("doc_id", "simhash"), "simhashes"))
 
 
 @query("dedup_soft", f"""WITH {SIMHASH}, dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), w AS (SELECT doc_id, term, tf * ln((SELECT count(*) FROM documents)::DOUBLE / df) AS w FROM post JOIN dfs USING (term)),
@@ -386,7 +386,7 @@ def topic_best_union(spark, sf):
 def topic_lda_rerank(spark, sf):
     """Topics fitted once on all queries' candidates, then diversity and the combined order."""
     docs = table(spark, sf, "documents")
-    found = F.broadcast(R.bm25(docs, BATCH, method="own", k1=1.2, k=100))
+    found = R.bm25(docs, BATCH, method="own", k1=1.2, k=100)
     candidates = docs.join(found, "doc_id").select("query_id", "doc_id", "score", "text")
     topics = C.Topics(k=5, rounds=5).fit(candidates)
     shares = topics.transform(candidates)

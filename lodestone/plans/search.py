@@ -91,8 +91,7 @@ def bm25_batch_run(spark, sf):
 @query("bm25plus_top10_titles", f"SELECT r.query_id, r.rank, r.doc_id, d.lang, left(coalesce(d.text, ''), 40) AS title FROM ({bm25_sql('bm25+')}) r JOIN documents d USING (doc_id)")
 def bm25plus_top10_titles(spark, sf):
     docs = table(spark, sf, "documents")
-    # At most queries times k rows.
-    found = F.broadcast(R.bm25(docs, BATCH, method="bm25+"))
+    found = R.bm25(docs, BATCH, method="bm25+")
     return docs.join(found, "doc_id").select("query_id", "rank", "doc_id", "lang", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("title"))
 
 
@@ -337,7 +336,7 @@ def feat_topk_then_features(spark, sf):
     from ..functions.text import word_tokens
 
     docs = table(spark, sf, "documents")
-    found = F.broadcast(R.bm25(docs, BATCH, method="own", k1=1.2, k=20))
+    found = R.bm25(docs, BATCH, method="own", k1=1.2, k=20)
     return docs.join(found, "doc_id").select("query_id", "rank", "doc_id", "score", F.size(word_tokens(F.col("text"))).cast("long").alias("stream_length"), "n_chars")
 
 
@@ -349,4 +348,4 @@ def search_flagship(spark, sf):
     """Rewriting, first stage, fusion, normalisation and materialisation of candidates, for all queries at once."""
     docs = table(spark, sf, "documents")
     fused = K.normalized(fusion_combsum(spark, sf).withColumn("relevance", F.col("score")), ["relevance"])
-    return docs.select("doc_id", "source", "lang").join(F.broadcast(fused), "doc_id").select("query_id", "rank", "doc_id", "score", "relevance", "source", "lang")
+    return docs.select("doc_id", "source", "lang").join(fused, "doc_id").select("query_id", "rank", "doc_id", "score", "relevance", "source", "lang")
