@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import neighbours, packing, rules, simhash, suffixes
-from lodestone.llm.common import materialise, table
+from lodestone.sources.readers import table
+from lodestone.storage import discard, drop_since, materialise, position
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to shared storage and read again as the next one's input."""
+    """All stages over ``documents``, each written to shared storage and read again as the next one's input.
+
+    A stage's intermediate tables, and its input, are deleted once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        begin, before = position(spark), docs
+        docs = materialise(stage(spark, before, sf_dir), name.replace(" ", "-"))
+        drop_since(spark, begin, docs)
+        discard(before)
     return docs

@@ -49,6 +49,20 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def position(spark: SparkSession) -> int:
+    """How many tables this application has written and not deleted."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, begin: int, keep: DataFrame) -> None:
+    """Delete what was written since ``position`` was ``begin``, but for ``keep``, that all of it went into."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    held = getattr(keep, "_written_to", None)
+    for path in [x for x in paths[begin:] if x != held]:
+        paths.remove(path)
+        _delete(spark, path)
+
+
 def sweep(spark: SparkSession, keep: DataFrame | None = None) -> int:
     """Delete what this application's ``materialise`` wrote, once no result needs it. Returns how many tables went."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
