@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 #: The classic 33 English stop words of full-text engines.
 STOP_WORDS = sorted("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: The longer English list of natural-language toolkits, that the cleaning pipeline and the keywords use.
+LONG_STOP_WORDS = (
+    "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her hers herself "
+    "it it's its itself they them their theirs themselves what which who whom this that that'll these those am is are was were be been being have has "
+    "had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
+    "after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most "
+    "other some such no nor not only own same so than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn "
+    "couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't "
+    "shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
+).split()
 #: Words of page navigation that the index also leaves out.
 NAVIGATION_WORDS = ["back", "login", "next", "press", "skip"]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -30,7 +40,7 @@ def word_tokens(text: Column, stop: bool = True) -> Column:
 def pipeline_tokens(text: Column) -> Column:
     """Lower case without ASCII punctuation, split at white space, without stop and navigation words."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, "")
-    return F.filter(F.split(F.regexp_replace(plain, r"[ \t\r\n\f]+", " "), " "), lambda t: (t != "") & ~t.isin(STOP_WORDS + NAVIGATION_WORDS))
+    return F.filter(F.split(F.regexp_replace(plain, r"[ \t\r\n\f]+", " "), " "), lambda t: (t != "") & ~t.isin(LONG_STOP_WORDS + NAVIGATION_WORDS))
 
 
 def space_tokens(text: Column) -> Column:
@@ -42,7 +52,7 @@ def alpha_tokens(text: Column) -> Column:
     """Lower case without tags, tokens of letters only, without stop words."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "<[^>]*>", " ")
     parts = F.split(F.regexp_replace(plain, r"[ \t\r\n\f]+|[!-,./:-@\[-`{-~]+", " "), " ")
-    return F.filter(parts, lambda t: t.rlike(r"^\p{L}+$") & ~t.isin(STOP_WORDS))
+    return F.filter(parts, lambda t: t.rlike(r"^\p{L}+$") & ~t.isin(LONG_STOP_WORDS))
 
 
 def lemma(term: Column) -> Column:

@@ -37,6 +37,17 @@ def main_text(html: Column) -> Column:
     return plain(without(html, ["script", "style", "header", "footer", "nav", "aside"]))
 
 
+def content_text(html: Column) -> Column:
+    """The page's own text: of its article or main element, if it has one with text, else of its paragraphs that are
+    no lists of links (less than half of their letters in links), else ``main_text``."""
+    framed = without(html, ["script", "style", "header", "footer", "nav", "aside"])
+    marked = plain(F.array_join(F.regexp_extract_all(framed, F.lit(r"(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)>"), F.lit(1)), " "))
+    paragraphs = F.regexp_extract_all(framed, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
+    linked = lambda p: F.length(plain(F.array_join(F.regexp_extract_all(p, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), " ")))
+    own = F.array_join(F.filter(F.transform(F.filter(paragraphs, lambda p: 2 * linked(p) < F.length(plain(p))), plain), lambda p: p != ""), " ")
+    return F.when(marked != "", marked).when(own != "", own).otherwise(plain(framed))
+
+
 def block_text(html: Column) -> Column:
     """Text of paragraphs, headings and list items; each ends where the next block tag stands."""
     marked = F.regexp_replace(without(html, ["script", "style"]), rf"(?i)<(/?)({BLOCKS})\b", "\x01<$1$2")

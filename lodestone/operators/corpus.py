@@ -144,14 +144,33 @@ def soft_dedup(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
     return docs.join(gone, "doc_id", "left_anti"), docs.join(gone, "doc_id", "left_semi")
 
 
+def base_forms(terms: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(term, base) of the terms whose base form differs and is a word: one of ``vocabulary``, or of the terms."""
+    distinct = terms.select("term").distinct()
+    changed = distinct.select("term", lemma(F.col("term")).alias("base")).where("base <> term")
+    known = (distinct if vocabulary is None else vocabulary.select("term").distinct()).withColumnRenamed("term", "base")
+    return changed.join(known, "base", "left_semi").select("term", "base")
+
+
+def lemmatised(docs: DataFrame, key: str, tokens: str = "tokens", vocabulary: DataFrame | None = None) -> DataFrame:
+    """``docs`` with tokens replaced by their base forms, in order."""
+    flat = docs.select(key, F.posexplode(tokens).alias("at", "term"))
+    found = flat.join(base_forms(flat, vocabulary), "term", "left").select(key, "at", F.coalesce("base", "term").alias("term"))
+    again = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("_base"))
+    return docs.join(again, key, "left").withColumn(tokens, F.coalesce("_base", F.array().cast("array<string>"))).drop("_base").select(*docs.columns)
+
+
 def clean_pages(pages: DataFrame, lemmas: bool = False, soft: bool = False) -> DataFrame:
-    """(page_id, url, title, tokens): exact dedup, then the URL filter, then text, tokens and stop words.
+    """(page_id, url, title, tokens): exact dedup, then the URL filter, then text, tokens and stop words; with
+    ``lemmas`` base forms, which must themselves be words of the pages; with ``soft`` no near copies.
 
     The filter comes after deduplication, as a copy's first page may be one that the filter drops.
     """
     first = exact_dedup(pages, "html", "page_id").where(~encyclopedia_noise(F.coalesce("url", F.lit(""))))
     tokens = pipeline_tokens(main_text(F.col("html")))
-    out = first.select("page_id", "url", title(F.col("html")).alias("title"), (F.transform(tokens, lemma) if lemmas else tokens).alias("tokens"))
+    out = first.select("page_id", "url", title(F.col("html")).alias("title"), tokens.alias("tokens"))
+    if lemmas:
+        out = lemmatised(materialise(out, "clean"), "page_id")
     if soft:
         keyed = out.withColumnRenamed("page_id", "doc_id")
         out = soft_dedup(keyed, tokens=F.col("tokens"))[0].withColumnRenamed("doc_id", "page_id")

@@ -77,10 +77,11 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene"
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
 
 
-def impacts(docs: DataFrame, method: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, places: int | None = 6) -> DataFrame:
+def impacts(docs: DataFrame, method: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, places: int | None = 6, tokens: Column | None = None) -> DataFrame:
     """(term, doc_id, impact): every posting's score, less what the lack of the term scores; rounded to ``places``."""
     # Texts are split once; a posting carries its document's length.
-    split = docs.select("doc_id", word_tokens(F.col("text")).alias("tokens"))
+    tokens = word_tokens(F.col("text")) if tokens is None else tokens
+    split = docs.select("doc_id", tokens.alias("tokens"))
     posting = materialise(split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
     stats = posting.agg(F.sum("tf").alias("all")).crossJoin(n).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
@@ -96,25 +97,54 @@ class Bm25Index:
 
     def __init__(self, postings_: DataFrame, terms: DataFrame, params: dict):
         self.postings, self.terms, self.params = postings_, terms, params
+        self.corpus: DataFrame | None = None
 
     @classmethod
-    def build(cls, docs: DataFrame, method: str = "lucene", k1: float = 1.5, b: float = 0.75, delta: float = 0.5) -> Bm25Index:
-        posting = postings(docs)
+    def build(cls, docs: DataFrame, method: str = "lucene", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens: Column | None = None) -> Bm25Index:
+        """``tokens`` may be a column of words, or of numbers, whose digits are then the terms; by default texts are split."""
+        if tokens is not None:
+            tokens = tokens.cast("array<string>")
+        posting = postings(docs, tokens)
         n = docs.count()
         shift = idf(method, F.lit(float(n)), F.col("df").cast("double")) * absent(method, k1, delta)
-        return cls(impacts(docs, method, k1, b, delta, places=None), term_stats(posting).withColumn("shift", shift), {"method": method, "k1": k1, "b": b, "delta": delta, "n": n})
+        return cls(impacts(docs, method, k1, b, delta, places=None, tokens=tokens), term_stats(posting).withColumn("shift", shift), {"method": method, "k1": k1, "b": b, "delta": delta, "n": n})
 
-    def save(self, path: str) -> None:
-        """Parquet per component; postings are laid out by term, so that a scan for few terms skips row groups."""
+    @classmethod
+    def from_numbers(cls, docs: DataFrame, vocabulary: DataFrame, ids: str = "ids", **settings) -> Bm25Index:
+        """Of documents as arrays of word numbers, with the vocabulary (number, term) that they are numbers of."""
+        flat = docs.select("doc_id", F.explode(ids).alias("number")).join(vocabulary, "number").groupBy("doc_id").agg(F.collect_list("term").alias("_words"))
+        named = docs.select("doc_id").join(flat, "doc_id", "left").select("doc_id", F.coalesce("_words", F.array().cast("array<string>")).alias("words"))
+        return cls.build(materialise(named, "words"), tokens=F.col("words"), **settings)
+
+    def vocabulary(self) -> DataFrame:
+        """(number, term): terms numbered in order, without gaps within a task's range."""
+        return self.terms.select("term").orderBy("term").select(F.monotonically_increasing_id().alias("number"), "term")
+
+    def save(self, path: str, corpus: DataFrame | None = None) -> None:
+        """Parquet per component; postings are laid out by term, so that a scan for few terms skips row groups.
+
+        With ``corpus`` its rows are kept beside the index, for ``load(..., corpus=True)``.
+        """
+        if corpus is not None:
+            corpus.write.mode("overwrite").parquet(f"{path}/corpus")
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         spark = self.postings.sparkSession
         spark.createDataFrame([(json.dumps(self.params),)], "params string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Bm25Index:
+    def load(cls, spark: SparkSession, path: str, corpus: bool = False) -> Bm25Index:
+        """The saved index. What a document scores for terms that it lacks is part of ``terms``; without it, this fails."""
         params = json.loads(spark.read.text(f"{path}/params").first()[0])
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), params)
+        out = cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), params)
+        if "shift" not in out.terms.columns:
+            raise ValueError("the index lacks the scores of absent terms")
+        out.corpus = spark.read.parquet(f"{path}/corpus") if corpus else None
+        return out
+
+    def documents(self, queries: list[tuple[int, str]], k: int = 10) -> DataFrame:
+        """The best k of each query with the rows of the corpus that was loaded with the index."""
+        return self.topk(queries, k).join(self.corpus, "doc_id")
 
     def topk(self, queries: list[tuple[int, str]], k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score)."""

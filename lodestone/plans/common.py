@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..functions.text import NAVIGATION_WORDS, STOP_WORDS
+from ..functions.text import LONG_STOP_WORDS, NAVIGATION_WORDS, STOP_WORDS
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -27,12 +27,13 @@ def sql_list(words) -> str:
 
 
 STOP = sql_list(STOP_WORDS)
+LONG_STOP = sql_list(LONG_STOP_WORDS)
 SPACE = r"[ \t\r\n\f]+"
 TEXT = "coalesce(text, '')"
 WORDS = rf"regexp_extract_all(lower({TEXT}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 TOKENS = f"list_filter({WORDS}, lambda x: NOT list_contains({STOP}, x))"
 PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
-PIPELINE_TOKENS = f"list_filter(string_split(regexp_replace(translate(lower({TEXT}), '{PUNCT}', ''), '{SPACE}', ' ', 'g'), ' '), lambda x: x <> '' AND NOT list_contains({sql_list(STOP_WORDS + NAVIGATION_WORDS)}, x))"
+PIPELINE_TOKENS = f"list_filter(string_split(regexp_replace(translate(lower({TEXT}), '{PUNCT}', ''), '{SPACE}', ' ', 'g'), ' '), lambda x: x <> '' AND NOT list_contains({sql_list(LONG_STOP_WORDS + NAVIGATION_WORDS)}, x))"
 
 
 def tok(table: str = "documents", key: str = "doc_id", tokens: str = TOKENS) -> str:

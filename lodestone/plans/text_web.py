@@ -9,7 +9,7 @@ from ..functions import web as W
 from ..operators import graph
 from ..sources import readers, writers
 from ..sources.readers import table
-from .common import AUTHORITY, HOST, LINKS, MAIN_TEXT, NO_FRAGMENT, PIPELINE_TOKENS, SPACE, STOP, TEXT, TITLE, TOKENS, VISIBLE_TEXT, WORDS, plain_sql, query, sql_list, without_sql
+from .common import AUTHORITY, HOST, LINKS, MAIN_TEXT, NO_FRAGMENT, LONG_STOP, PIPELINE_TOKENS, SPACE, STOP, TEXT, TITLE, TOKENS, VISIBLE_TEXT, WORDS, plain_sql, query, sql_list, without_sql
 
 KEYWORDS = ["rean", "onsh", "ingti", "erth", "ndor", "anst"]
 EXCLUDED = ["%example.org%", "%.html%", "%page=%"]
@@ -206,7 +206,7 @@ def _token_query(name, tokens, sql):
     return run
 
 
-ALPHA = rf"list_filter(string_split(regexp_replace(regexp_replace({LOW}, '<[^>]*>', ' ', 'g'), '{SPACE}|[!-,./:-@\[-`{{-~]+', ' ', 'g'), ' '), lambda x: regexp_full_match(x, '\p{{L}}+') AND NOT list_contains({STOP}, x))"
+ALPHA = rf"list_filter(string_split(regexp_replace(regexp_replace({LOW}, '<[^>]*>', ' ', 'g'), '{SPACE}|[!-,./:-@\[-`{{-~]+', ' ', 'g'), ' '), lambda x: regexp_full_match(x, '\p{{L}}+') AND NOT list_contains({LONG_STOP}, x))"
 SPACED = f"list_filter(regexp_split_to_array({LOW}, '{SPACE}'), lambda x: x <> '')"
 _token_query("tok_simple", T.simple_tokens, SIMPLE)
 _token_query("tok_pipeline", T.pipeline_tokens, PIPELINE_TOKENS)
@@ -281,3 +281,43 @@ def pipeline_clean_index(spark, sf):
     from ..operators.corpus import clean_pages
 
     return clean_pages(table(spark, sf, "pages")).select("page_id", "url", "title", F.array_join("tokens", " ").alias("tokens"))
+
+
+FIRST_PAGES = f"""first AS (SELECT min(page_id) AS page_id FROM pages GROUP BY sha256(coalesce(html, ''))), kept AS (SELECT page_id, url AS u, html FROM pages SEMI JOIN first USING (page_id)),
+clean AS (SELECT page_id, u AS url, {TITLE} AS title, {MAIN_TEXT} AS text FROM kept WHERE NOT ({WIKI_NOISE})), ctok AS (SELECT page_id, url, title, {PIPELINE_TOKENS} AS toks FROM clean)"""
+BASES = f"cterms AS (SELECT DISTINCT unnest(toks) AS term FROM ctok), cbase AS (SELECT term, base FROM (SELECT term, {_lemma_sql('term')} AS base FROM cterms) WHERE base <> term AND base IN (SELECT term FROM cterms))"
+
+
+@query("pipeline_clean_lemma", f"""WITH {FIRST_PAGES}, {BASES}, fl AS (SELECT page_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS i FROM ctok)
+SELECT c.page_id, c.url, c.title, coalesce(t.tokens, '') AS tokens FROM ctok c LEFT JOIN (SELECT page_id, string_agg(coalesce(base, term), ' ' ORDER BY i) AS tokens FROM fl LEFT JOIN cbase USING (term) GROUP BY page_id) t USING (page_id)""")
+def pipeline_clean_lemma(spark, sf):
+    from ..operators.corpus import clean_pages
+
+    return clean_pages(table(spark, sf, "pages"), lemmas=True).select("page_id", "url", "title", F.array_join("tokens", " ").alias("tokens"))
+
+
+_BITS = ", ".join(f"sum(CASE WHEN (h{i // 32} >> {i % 32}) & 1 = 1 THEN tf ELSE -tf END) AS b{i}" for i in range(64))
+_SIM = " | ".join(f"CASE WHEN b{i} > 0 THEN {'(-9223372036854775807 - 1)' if i == 63 else 1 << i}::BIGINT ELSE 0 END" for i in range(64))
+
+
+@query("pipeline_clean_soft", f"""WITH {FIRST_PAGES}, post AS (SELECT page_id, term, count(*) AS tf FROM (SELECT page_id, unnest(toks) AS term FROM ctok) GROUP BY ALL),
+hashed AS (SELECT page_id, tf, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h1, ('0x' || substr(md5(term), 9, 8))::BIGINT AS h0 FROM post), bits AS (SELECT page_id, {_BITS} FROM hashed GROUP BY page_id), sim AS (SELECT page_id, {_SIM} AS simhash FROM bits),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), w AS (SELECT page_id, term, tf * ln((SELECT count(*) FROM ctok)::DOUBLE / df) AS w FROM post JOIN dfs USING (term)), nm AS (SELECT page_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY page_id),
+pairs AS (SELECT a.page_id AS early, b.page_id AS late FROM sim a JOIN sim b ON a.page_id < b.page_id AND bit_count(xor(a.simhash, b.simhash)) <= 2), dots AS (SELECT early, late, sum(x.w * y.w) AS dot FROM pairs JOIN w x ON x.page_id = early JOIN w y ON y.page_id = late AND y.term = x.term GROUP BY ALL),
+dup AS (SELECT DISTINCT late AS page_id FROM dots JOIN nm a ON a.page_id = early JOIN nm b ON b.page_id = late WHERE round(coalesce(dot / nullif(a.norm * b.norm, 0), 0), 6) >= 0.95)
+SELECT page_id, url, title FROM ctok ANTI JOIN dup USING (page_id)""")
+def pipeline_clean_soft(spark, sf):
+    """The whole cleaning chain with its last step, the removal of near copies."""
+    from ..operators.corpus import clean_pages
+
+    return clean_pages(table(spark, sf, "pages"), soft=True).select("page_id", "url", "title")
+
+
+_FRAMED = without_sql("html", ["script", "style", "header", "footer", "nav", "aside"])
+
+
+@query("web_content_text", rf"""WITH f AS (SELECT page_id, {_FRAMED} AS h FROM pages), x AS (SELECT page_id, h, array_to_string(regexp_extract_all(h, '(?is)<(?:article|main)\b[^>]*>(.*?)</(?:article|main)>', 1), ' ') AS m, regexp_extract_all(h, '(?is)<p\b[^>]*>(.*?)</p>', 1) AS ps FROM f),
+y AS (SELECT page_id, {plain_sql('m')} AS marked, {plain_sql('h')} AS whole, array_to_string(list_filter(list_transform(list_filter(ps, lambda p: 2 * length({plain_sql("array_to_string(regexp_extract_all(p, '(?is)<a[^>]*>(.*?)</a>', 1), ' ')")}) < length({plain_sql('p')})), lambda p: {plain_sql('p')}), lambda p: p <> ''), ' ') AS own FROM x)
+SELECT page_id, CASE WHEN marked <> '' THEN marked WHEN own <> '' THEN own ELSE whole END AS content FROM y""")
+def web_content_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", W.content_text(F.col("html")).alias("content"))
