@@ -38,7 +38,7 @@ END = 1
 #: Penalties, in tokens of padding: a cut at a sentence's end, one within a sentence, a window below WIDTH.
 CUT_SENTENCE, CUT_INSIDE, CUT_SHORT = 1, 64, 4
 #: Windows of these lengths take no padding either. Shorter ones are left to the stream's end.
-SHORT = (1024, 512, 256)
+SHORT = (1024, 512, 256, 128, 64)
 #: A sentence that is longer than a window may be cut every so many tokens.
 GRID = 128
 #: Tokens that a task gathers before it packs.

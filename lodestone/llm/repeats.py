@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, codec, own: Callable, resolver: Callable[[Da
 
     seen = materialise(arrow_map(docs, occurrences, OCCURRENCE), "occurrences")
     contexts = materialise(seen.where("a IS NOT NULL").groupBy("a", "h").agg(F.min("doc").alias("first"), F.max("doc").alias("final")), "contexts")
-    several = materialise(contexts.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    several = materialise(contexts.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several", narrow=True)
     total, hot_total = several.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > HOT, 1))).first()
     of = lambda name: lambda batch: iter([batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64)])
     shared = context.broadcast(sketched(several.select("a"), of("a"), bits_for(4 * total), 1))
@@ -287,7 +287,7 @@ def repeated_spans(docs: DataFrame, codec, own: Callable, resolver: Callable[[Da
 
     parts = materialise(arrow_map(docs, contents, "a long, h long, doc long, p long, content binary"), "contents")
     windows = parts.where("content IS NULL").drop("content")
-    twice = materialise(windows.groupBy("a", "h").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").drop("final"), "twice")
+    twice = windows.groupBy("a", "h").agg(F.min("doc").alias("first"), F.max("doc").alias("final")).where("first < final").drop("final")
     spans = [
         seen.where("a IS NULL").select("doc", "p"),
         seen.where("a IS NOT NULL").join(contexts.where("first < final").drop("final"), ["a", "h"]).where("doc > first").select("doc", "p"),
@@ -301,7 +301,7 @@ def repeated_spans(docs: DataFrame, codec, own: Callable, resolver: Callable[[Da
     # Rows that share key and text have the same spans; a set holds them once.
     folded = every.select("doc", F.shiftright("p", 8).bitwiseAND(F.lit((1 << FOLD_BITS) - 1)).alias("fold"), "p")
     spans = materialise(folded.groupBy("doc", "fold").agg(F.collect_set("p").alias("spans")), "spans")
-    discard(seen, contexts, several, parts, twice)
+    discard(seen, contexts, several, parts)
     return spans
 
 

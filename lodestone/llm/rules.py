@@ -125,7 +125,7 @@ def limits(counted: DataFrame) -> DataFrame:
 
     Null languages and sources are groups of their own.
     """
-    sketch = materialise(sketches(counted), "sketch")
+    sketch = materialise(sketches(counted), "sketch", narrow=True)
     own = fences(sketch, ["lang", "source"], "own").alias("o")
     lang = fences(merged(sketch, ["lang"]), ["lang"], "lang").alias("l")
     every = fences(merged(sketch, []), [], "every").alias("e")
@@ -163,7 +163,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     not read. Texts are read once.
     """
     counted = materialise(with_counts(docs.select("doc_id", "lang", "source", text), text), "counts")
-    return judge(counted, materialise(limits(counted), "limits"))
+    return judge(counted, materialise(limits(counted), "limits", narrow=True))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
     The counts are made twice, for the limits and for the verdict, rather than stored beside whole texts.
     """
-    limit = materialise(limits(with_counts(docs.select("doc_id", "lang", "source", "text"))), "limits")
+    limit = materialise(limits(with_counts(docs.select("doc_id", "lang", "source", "text"))), "limits", narrow=True)
     return rows_again(judge(with_counts(whole_rows(docs)), limit, "row.lang", "row.source").where("kept"))
 
 

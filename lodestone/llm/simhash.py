@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, encoded, materialise, release, table
@@ -127,7 +127,7 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
     """
     masks = ring()
     keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m[1]).cast("long")).alias("v")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.k", "x.v")
-    sizes = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = materialise(keyed.join(sizes, ["k", "v"]), "dealt")
     few = dealt.where(F.col("n") <= CROWD)
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
@@ -145,21 +145,23 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``links`` (u, v) reaches.
 
-    Each round takes the least label among a node's neighbours and then the label's own label, so that long
+    Each round takes the least label among a node's neighbours and then that node's label, so that long
     chains shorten by powers. Rounds are written to shared storage; joins are between plain scans, so AQE
     splits a node with many links. Only the count of changes comes to the driver.
     """
-    edges = materialise(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    edges = materialise(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", narrow=True)
+    labels = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", narrow=True)
     while True:
         near = edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        hooked = materialise(labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "hooked")
-        up = hooked.select(F.col("node").alias("_n"), F.col("label").alias("up"))
-        jumped = materialise(hooked.join(up, hooked["label"] == up["_n"], "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "jumped")
+        up = labels.select(F.col("node").alias("_n"), F.col("label").alias("up"))
+        hooked = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jumped = materialise(hooked.join(up, hooked["label"] == up["_n"], "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels", narrow=True)
         changed = jumped.where("label <> was").limit(1).count()
-        labels = jumped.select("node", "label")
+        discard(labels)
+        labels = jumped
         if not changed:
-            return labels
+            discard(edges)
+            return labels.drop("was")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +213,7 @@ def crowding(signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in sets])), pa.array(np.concatenate(sets))], ["doc_id", "s"])
 
     held = materialise(arrow_map(signed.select("doc_id", "shingles"), run, "doc_id long, s long"), "sketches")
-    counts = materialise(held.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = held.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     return held.join(counts, "s").groupBy("doc_id").agg(F.avg("n").alias("crowd"))
 
 
@@ -299,7 +301,7 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
     signed = materialise(signatures(docs.where("doc_id IS NOT NULL"), size, segments, "doc_id", "text"), "rings")
     starts = [F.struct(F.lit(i).alias("k"), F.xxhash64(*[F.col("ring")[(i + j) % segments] for j in range(equal)]).alias("v")) for i in range(segments)]
     keyed = signed.select("doc_id", "marks", F.length("shingles").cast("long").alias("bytes"), F.explode(F.array(*starts)).alias("x")).select("doc_id", "marks", "bytes", "x.k", "x.v")
-    sizes = materialise(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = materialise(keyed.join(sizes, ["k", "v"]), "dealt")
     few = dealt.where(F.col("n") <= SMALL)
     x = F.col("a.marks").bitwiseXOR(F.col("b.marks"))
@@ -310,15 +312,12 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
     many = dealt.where(F.col("n") > SMALL).drop("marks")
     central = crowding(signed.join(many.select("doc_id").distinct(), "doc_id", "left_semi"))
     known = materialise(many.join(central, "doc_id"), "many")
-    pivots = known.groupBy("k", "v").agg(F.min("doc_id").alias("first"), F.max(F.struct("crowd", (-F.col("doc_id")).alias("d"))).alias("m1"))
-    for i in (2, 3):
-        # The next below the one before: a second and third maximum by plain aggregation.
-        before = materialise(pivots, "pivots")
-        rank = F.struct("crowd", (-F.col("doc_id")).alias("d"))
-        next_ = known.join(before.select("k", "v", f"m{i - 1}"), ["k", "v"]).where(rank < F.col(f"m{i - 1}")).groupBy("k", "v").agg(F.max(rank).alias(f"m{i}"))
-        pivots = before.join(next_, ["k", "v"], "left")
-    met = materialise(pivots.select("k", "v", F.array_compact(F.array("first", *[-F.col(f"m{i}.d") for i in (1, 2, 3)])).alias("w")), "pivots")
-    stars = known.select("k", "v", "doc_id").join(met, ["k", "v"]).select("doc_id", F.explode(F.array_distinct("w")).alias("w"))
+    # Catalyst limits each task's groups to three rows before the shuffle.
+    order = Window.partitionBy("k", "v").orderBy(F.desc("crowd"), "doc_id")
+    middle = known.withColumn("i", F.row_number().over(order)).where("i <= 3").select("k", "v", F.col("doc_id").alias("w"))
+    first = known.groupBy("k", "v").agg(F.min("doc_id").alias("w"))
+    met = middle.unionByName(first).groupBy("k", "v").agg(F.collect_set("w").alias("w"))
+    stars = known.select("k", "v", "doc_id").join(met, ["k", "v"]).select("doc_id", F.explode("w").alias("w"))
     stars = stars.where("w <> doc_id").select(F.least("w", "doc_id").alias("u"), F.greatest("w", "doc_id").alias("v"))
     candidates = materialise(pairs.unionByName(stars).distinct(), "candidates")
     sets = signed.select("doc_id", "shingles")
@@ -327,7 +326,7 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
     links = materialise(similar(both, least), "links")
     labels = components(links)
     more = materialise(across(many, labels, sets, least), "more")
-    discard(signed, sizes, dealt, candidates)
+    discard(signed, dealt, known, candidates)
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
@@ -338,7 +337,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     as they were; an empty table stays empty.
     """
     labels = copies(docs)
-    gone = materialise(labels.where("node <> label").select(F.col("node").alias("doc_id")), "gone")
+    gone = materialise(labels.where("node <> label").select(F.col("node").alias("doc_id")), "gone", narrow=True)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
