@@ -22,11 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
-    Lineage ends there, so lost executors cost no rework, and the planner knows the table's size.
+    Lineage ends there, so lost executors cost no rework, and the planner knows the table's size. A ``narrow``
+    table, of few bytes a row and small against its input, is written by an eighth of the shuffle's partitions,
+    so that storage does not fill with tiny files.
     """
+    if narrow:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
