@@ -48,6 +48,8 @@ CHUNK, SEGMENT = 2_000_000, 500_000
 #: Entries of a part of the hash space, about.
 PART_ENTRIES = 1_500_000
 KEY_BITS = 60
+#: Numbers from which on they are compressed by planes.
+FEW = 128
 #: Stand before a text's first word. No word has this hash but by chance of 1 in 2**64.
 START = U(0x5851F42D4C957F2D)
 
@@ -61,12 +63,14 @@ class Numbers(dict):
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**64 as compressed byte planes, lowest first."""
+    """Whole numbers below 2**64: the bytes that they need, for many of them as compressed planes, lowest first."""
     size = len(values)
-    raw = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
-    out = [size.to_bytes(8, "little")]
-    top = int(values.max()).bit_length() if size else 0
-    for plane in raw[: (top + 7) // 8]:
+    width = (int(values.max()).bit_length() + 7) // 8 if size else 0
+    raw = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width])
+    if size < FEW:
+        return bytes([size, width]) + raw.tobytes()
+    out = [bytes([FEW, width]), size.to_bytes(8, "little")]
+    for plane in np.ascontiguousarray(raw.T):
         packed = pa.compress(plane.tobytes(), codec="zstd", asbytes=True)
         out += [len(packed).to_bytes(8, "little"), packed]
     return b"".join(out)
@@ -74,16 +78,19 @@ def planes(values: np.ndarray) -> bytes:
 
 def unplaned(data: bytes) -> np.ndarray:
     """The numbers again, as 32 bits each if they fit."""
-    size, at, found = int.from_bytes(data[:8], "little"), 8, []
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        found.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    width = 4 if len(found) <= 4 else 8
-    out = np.zeros((size, width), np.uint8)
-    for i, packed in enumerate(found):
-        out[:, i] = np.frombuffer(pa.decompress(packed, size, codec="zstd"), np.uint8)
-    return out.reshape(-1).view(f"<u{width}")
+    size, width = data[0], data[1]
+    whole = 4 if width <= 4 else 8
+    if size < FEW:
+        out = np.zeros((size, whole), np.uint8)
+        out[:, :width] = np.frombuffer(data, np.uint8, offset=2).reshape(size, width)
+    else:
+        size, at = int.from_bytes(data[2:10], "little"), 10
+        out = np.zeros((size, whole), np.uint8)
+        for i in range(width):
+            n = int.from_bytes(data[at : at + 8], "little")
+            out[:, i] = np.frombuffer(pa.decompress(data[at + 8 : at + 8 + n], size, codec="zstd"), np.uint8)
+            at += 8 + n
+    return out.reshape(-1).view(f"<u{whole}")
 
 
 def sorted_planes(values: np.ndarray) -> bytes:
@@ -146,8 +153,8 @@ class Walk:
         valid = (self.place > 0) & ~self.led
         return keys(u, v, w)[valid], np.flatnonzero(valid)
 
-    def local_counts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys ascending, their counts in training)."""
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys ascending, their counts in training) of an order."""
         if order == 1:
             found, _ = self.grams(1)
             counts = np.bincount(self.ids[self.counted], minlength=len(found))
@@ -161,25 +168,36 @@ class Walk:
         ones = np.concatenate(([0], np.cumsum((found & U(1)).astype(np.int64))))
         return key[heads], np.diff(ones[np.append(heads, len(key))])
 
-    def spread(self, order: int, sums: np.ndarray) -> np.ndarray:
-        """The sums of the distinct keys, given for each n-gram's token (or for each word of the dictionary)."""
+    def local_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys ascending, their counts in training, whether they are words) of all orders."""
+        each = [self.distinct(order) for order in (1, 2, 3)]
+        key = np.concatenate([k for k, _ in each])
+        counts = np.concatenate([c for _, c in each])
+        word = np.arange(len(key)) < len(each[0][0])
+        by = np.argsort(key)
+        return key[by], counts[by], word[by]
+
+    def spread(self, order: int, keys_: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The sums of the chunk's keys, given for each n-gram's token (or for each word of the dictionary)."""
         found, which = self.grams(order)
         by = np.argsort(found)
         found = found[by]
-        group = np.zeros(len(by), np.uint32)
-        np.cumsum(found[1:] != found[:-1], out=group[1:], dtype=np.uint32)
         out = np.zeros(len(self.dictionary) if order == 1 else len(self.ids), sums.dtype)
-        out[which[by]] = sums[group]
+        if len(by):
+            new = np.concatenate(([True], found[1:] != found[:-1]))
+            own = sums[np.searchsorted(keys_, found[new])]
+            out[which[by]] = own[np.cumsum(new, dtype=np.uint32) - np.uint32(1)]
         return out
 
 
-def steps(walk: Walk, sums: list[np.ndarray], tokens: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def steps(walk: Walk, sums: np.ndarray, tokens: int, distinct: int, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log10 probability, unigram count, unigram log10 probability) of each step along the automaton."""
-    one = walk.spread(1, sums[0])[walk.ids]
+    keys_ = walk.local_counts()[0]
+    one = walk.spread(1, keys_, sums)[walk.ids]
     # The root's arc, or the unknown word's.
     base = (one + 1.0) / (tokens + distinct + 1)
     p = base * PAIR_PRIOR
-    pair = walk.spread(2, sums[1])
+    pair = walk.spread(2, keys_, sums)
     p += pair
     context = np.roll(one, 1).astype(np.float64)
     context[walk.first] = texts
@@ -190,7 +208,7 @@ def steps(walk: Walk, sums: list[np.ndarray], tokens: int, distinct: int, texts:
     before[walk.first] = 0
     del pair
     p *= TRIPLE_PRIOR
-    triple = walk.spread(3, sums[2])
+    triple = walk.spread(3, keys_, sums)
     p += triple
     del triple
     p /= before + TRIPLE_PRIOR
@@ -200,7 +218,7 @@ def steps(walk: Walk, sums: list[np.ndarray], tokens: int, distinct: int, texts:
 WALK = "sizes array<int>, lead array<int>, train array<boolean>, ids binary, dictionary binary"
 
 
-def walks(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame:
+def walks(docs: DataFrame, training: Column, key: str, text: str, most: int) -> DataFrame:
     """One row a chunk: (chunk, rows, keys, sizes, lead, train, ids, dictionary, tokens, texts), the last two of training."""
     marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     from pyspark.sql.pandas.types import to_arrow_type
@@ -235,7 +253,7 @@ def walks(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame:
                     held.append(np.fromiter(map(numbers.__getitem__, part), np.uint32, len(part)))
                     segments.append((row, name, lead, train))
                     size += len(part)
-                    if size >= CHUNK:
+                    if size >= most:
                         yield out()
                         chunk += 1
                         numbers, held, segments, size = Numbers(), [], [], 0
@@ -248,49 +266,48 @@ def walks(docs: DataFrame, training: Column, key: str, text: str) -> DataFrame:
 
 
 def arcs(walked: DataFrame, parts: int) -> DataFrame:
-    """(chunk, part, known, s1, s2, s3): for each chunk and part, training counts of the n-grams it has there.
+    """(chunk, part, known, sums): for each chunk and part, training counts of the n-grams it has there.
 
-    ``known`` is, in one row of a part and 0 in the others, how many of its words occur in training.
+    ``known`` is, in one row of a part and 0 in the others, how many of its words occur in training. A chunk
+    sends nothing to a part in which it has no n-gram.
     """
     shift = U(KEY_BITS - (parts - 1).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                walk = Walk(row)
-                found = []
-                for order in (1, 2, 3):
-                    key, counts = walk.local_counts(order)
-                    borders = np.searchsorted(key, np.arange(1, parts, dtype=np.uint64) << shift) if parts > 1 else np.zeros(0, np.int64)
-                    found.append((key, counts, [0, *borders.tolist(), len(key)]))
-                for part in range(parts):
-                    blobs = []
-                    for key, counts, borders in found:
-                        a, b = borders[part], borders[part + 1]
-                        blobs += [sorted_planes(key[a:b]), planes(counts[a:b].astype(np.uint64))]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "part", "k1", "c1", "k2", "c2", "k3", "c3"])
+                key, counts, word = Walk(row).local_counts()
+                counts = counts.astype(np.uint64) << U(1) | word.astype(np.uint64)
+                cuts = np.searchsorted(key, np.arange(1, parts, dtype=np.uint64) << shift) if parts > 1 else np.zeros(0, np.int64)
+                borders = [0, *cuts.tolist(), len(key)]
+                held: list[tuple] = []
+                size = 0
+                for part, (a, b) in enumerate(zip(borders, borders[1:])):
+                    if a < b:
+                        held.append((row["chunk"], part, sorted_planes(key[a:b]), planes(counts[a:b])))
+                        size += b - a
+                    if held and (size > 200_000 or part == parts - 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "part", "keys", "counts"])
+                        held, size = [], 0
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
-            sums: list[list[bytes]] = []
-            known = 0
-            for order in "123":
-                each = [unplaned_sorted(x["k" + order]) for x in held]
-                borders = np.cumsum([0, *map(len, each)])
-                key = np.concatenate(each)
-                del each
-                counts = np.concatenate([unplaned(x["c" + order]) for x in held]).astype(np.int64)
-                by = np.argsort(key)
-                key = key[by]
-                new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-                totals = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(key) else counts
-                known += int((totals > 0).sum()) if order == "1" else 0
-                whole = np.empty(len(key), np.uint64)
-                whole[by] = totals[np.cumsum(new) - 1]
-                sums.append([planes(whole[a:b]) for a, b in zip(borders, borders[1:])])
+            each = [unplaned_sorted(x["keys"]) for x in held]
+            borders = np.cumsum([0, *map(len, each)])
+            key = np.concatenate(each)
+            del each
+            counts = np.concatenate([unplaned(x["counts"]) for x in held]).astype(np.int64)
+            by = np.argsort(key)
+            key = key[by]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            heads = np.flatnonzero(new)
+            totals = np.add.reduceat(counts[by] >> 1, heads)
+            known = int((totals[(counts[by[heads]] & 1) == 1] > 0).sum())
+            whole = np.empty(len(key), np.uint64)
+            whole[by] = totals[np.cumsum(new) - 1]
             for i, x in enumerate(held):
-                columns = [pa.array([v], t) for v, t in ((x["chunk"], pa.int64()), (part, pa.int32()), (0 if i else known, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([s[i]], pa.binary()) for s in sums)], ["chunk", "part", "known", "s1", "s2", "s3"])
+                columns = [pa.array([v], t) for v, t in ((x["chunk"], pa.int64()), (part, pa.int32()), (0 if i else known, pa.int64()), (planes(whole[borders[i] : borders[i + 1]]), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "part", "known", "sums"])
 
         now, held = None, []
         for batch in batches:
@@ -303,35 +320,40 @@ def arcs(walked: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from out(now, held)
 
-    sent = arrow_map(walked.select("chunk", *[x.split()[0] for x in WALK.split(", ")]), send, "chunk long, part int, k1 binary, c1 binary, k2 binary, c2 binary, k3 binary, c3 binary")
-    return arrow_map(sent.repartition("part").sortWithinPartitions("part"), add, "chunk long, part int, known long, s1 binary, s2 binary, s3 binary")
+    sent = arrow_map(walked.select("chunk", *[x.split()[0] for x in WALK.split(", ")]), send, "chunk long, part int, keys binary, counts binary")
+    return arrow_map(sent.repartition("part").sortWithinPartitions("part"), add, "chunk long, part int, known long, sums binary")
 
 
-def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", chunk: int | None = None, entries: int | None = None) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every text of ``docs``.
 
     The model learns from the rows for which ``training`` is true (null: not). A null or empty text is its end
     alone. Null keys and repeated rows each give a row, and a repeated row counts each time. Without training
     tokens every probability is 1, the unknown word's. Texts of any length go in parts of SEGMENT tokens.
     Only the named columns are read.
+
+    A task holds a chunk of ``chunk`` tokens (CHUNK), or ``entries`` of a part (PART_ENTRIES), at about 150 bytes
+    for each. Chunks and parts both grow with the corpus, and a chunk sends each part a row: on a large corpus
+    both should be as large as memory allows, so that a row has many entries.
     """
-    walked = materialise(walks(docs, training, key, text), "walks")
+    chunk, entries = chunk or CHUNK, entries or PART_ENTRIES
+    walked = materialise(walks(docs, training, key, text, chunk), "walks")
     size = walked.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     tokens, texts, whole = map(int, size)
-    parts = 1 << max(0, math.ceil(math.log2(max(1.0, 1.5 * whole / PART_ENTRIES))))
+    parts = 1 << max(0, math.ceil(math.log2(max(1.0, 1.5 * whole / entries))))
     summed = materialise(arcs(walked, parts), "arcs")
     distinct = int(summed.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0])
     fields = [x.split()[0] for x in WALK.split(", ")]
     empty = lambda names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
-    mine = walked.select("chunk", F.lit(-1).alias("part"), "rows", "keys", *fields, *empty((f"s{i}", "binary") for i in "123"))
-    sums = summed.select("chunk", "part", *empty((n, dict(walked.dtypes)[n]) for n in ("rows", "keys", *fields)), "s1", "s2", "s3")
+    mine = walked.select("chunk", F.lit(-1).alias("part"), "rows", "keys", *fields, *empty([("sums", "binary")]))
+    sums = summed.select("chunk", "part", *empty((n, dict(walked.dtypes)[n]) for n in ("rows", "keys", *fields)), "sums")
     kind = docs.schema[key].dataType
     names = ["_row", key, "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(walk_row: dict, keys_: pa.Array, held: list[dict]) -> pa.RecordBatch:
             walk = Walk(walk_row)
-            found, one, base = steps(walk, [np.concatenate([unplaned(x[f"s{i}"]) for x in held]) for i in "123"], tokens, distinct, texts)
+            found, one, base = steps(walk, np.concatenate([unplaned(x["sums"]) for x in held]), tokens, distinct, texts)
             per = lambda x: np.add.reduceat(np.where(walk.own, x, 0), walk.first)
             arrays = [pa.array(walk_row["rows"], pa.int64()), keys_, *(pa.array(x) for x in (walk.sizes - walk.lead, per((one > 0).astype(np.int64)), per(base), per(found)))]
             return pa.RecordBatch.from_arrays(arrays, names)

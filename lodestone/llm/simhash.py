@@ -316,7 +316,7 @@ def copies(docs: DataFrame, size: int = COPY_SHINGLE, least: float = COPY_SIMILA
     order = Window.partitionBy("k", "v").orderBy(F.desc("crowd"), "doc_id")
     middle = known.withColumn("i", F.row_number().over(order)).where("i <= 3").select("k", "v", F.col("doc_id").alias("w"))
     first = known.groupBy("k", "v").agg(F.min("doc_id").alias("w"))
-    met = middle.unionByName(first).groupBy("k", "v").agg(F.collect_set("w").alias("w"))
+    met = materialise(middle.unionByName(first).groupBy("k", "v").agg(F.collect_set("w").alias("w")), "pivots", narrow=True)
     stars = known.select("k", "v", "doc_id").join(met, ["k", "v"]).select("doc_id", F.explode("w").alias("w"))
     stars = stars.where("w <> doc_id").select(F.least("w", "doc_id").alias("u"), F.greatest("w", "doc_id").alias("v"))
     candidates = materialise(pairs.unionByName(stars).distinct(), "candidates")
