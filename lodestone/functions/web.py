@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t\r\n\f]+"
+#: The target of an anchor, in either kind of quotes or none.
+ANCHOR = r"""(?i)<a[ \t\r\n\f][^>]*?href[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
 BLOCKS = "p|h[1-6]|li|div|article|section|ul|ol|nav|header|footer|aside|table|body|html"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
@@ -79,6 +81,7 @@ def resolved(link: Column, base: Column) -> Column:
     folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "[^/]*$", "")
     full = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("#"), base)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(origin, link))
         .otherwise(F.concat(folder, link))
@@ -88,7 +91,8 @@ def resolved(link: Column, base: Column) -> Column:
 
 def links(html: Column, base: Column) -> Column:
     """Absolute targets of the anchors, in order, repeats kept; only web addresses."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit('(?i)<a[^>]*href="([^"]*)"'), F.lit(1))
+    raw = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(ANCHOR), F.lit(1))
+    found = F.transform(raw, lambda x: F.trim(F.regexp_replace(x, "^[\"']|[\"']$", "")))
     return F.filter(F.transform(F.filter(found, lambda x: x != ""), lambda x: resolved(x, base)), lambda x: x.rlike("^https?://"))
 
 

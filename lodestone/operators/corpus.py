@@ -317,6 +317,28 @@ def topic_arrays(weighted: DataFrame, topics: list[str], n: int = 5, by: str = "
     return out
 
 
+#: The colours in which a client shows the five topics.
+TOPIC_COLOURS = ["#f8d7da", "#d4edda", "#d1ecf1", "#fff3cd", "#e8b3f5"]
+
+
+def completed_by_topics(combined: DataFrame, topics: int, k: int, by: str = "query_id") -> DataFrame:
+    """(query_id, rank, doc_id, topic): the best k by combined_score, with topic -1, and after them one more for
+    each topic in turn, the best of the rest by combined_score. Topics find nothing where k takes all."""
+    order = Window.partitionBy(by).orderBy(F.desc("combined_score"), "doc_id")
+    ranked = combined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + topics)
+    return ranked.select(by, F.col("rank").cast("long").alias("rank"), "doc_id", F.when(F.col("rank") > k, F.col("rank") - k - 1).otherwise(-1).cast("int").alias("topic"))
+
+
+def topic_links(arrays: DataFrame, by: str = "query_id") -> DataFrame:
+    """(query_id, payload): topics with their pages and colours as JSON, of rows (query_id, topic, rank, title, url)."""
+    pages = F.transform(F.sort_array(F.collect_list(F.struct("rank", "title", "url"))), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url")))
+    each = arrays.groupBy(by, "topic").agg(pages.alias("urls"))
+    colour = F.element_at(F.array(*map(F.lit, TOPIC_COLOURS)), F.col("topic") % len(TOPIC_COLOURS) + 1)
+    named = each.select(by, "topic", F.struct(F.concat(F.lit("Topic "), (F.col("topic") + 1).cast("string")).alias("name"), "urls", colour.alias("color")).alias("t"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("topic", "t"))), lambda x: x["t"])
+    return named.groupBy(by).agg(F.to_json(ordered).alias("payload"))
+
+
 def word_neighbours(docs: DataFrame, words: list[str], n: int = 5, size: int = 32) -> DataFrame:
     """(word, neighbour, similarity) by word vectors trained on the corpus."""
     model = Word2Vec(vectorSize=size, minCount=5, seed=42, inputCol="tokens", outputCol="v").fit(docs.select(word_tokens(F.col("text")).alias("tokens")))

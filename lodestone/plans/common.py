@@ -65,9 +65,10 @@ AUTHORITY = "regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?
 HOST = f"lower(regexp_replace(regexp_replace({AUTHORITY}, '^.*@', ''), ':[0-9]*$', ''))"
 NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
 RESOLVED = rf"""regexp_replace(CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l
-  WHEN starts_with(l, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || l
+  WHEN starts_with(l, '#') THEN url WHEN starts_with(l, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || l
   WHEN starts_with(l, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || l
   ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || l END, '#.*$', '')"""
 #: Every link of every page, in absolute form.
-LINKS = rf"""raw AS (SELECT page_id, url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a[^>]*href="([^"]*)"', 1)) AS l FROM pages),
+HREFS = r"""list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: trim(regexp_replace(x, '^["'']|["'']$', '', 'g')))"""
+LINKS = rf"""raw AS (SELECT page_id, url, unnest({HREFS}) AS l FROM pages),
 links AS (SELECT page_id, url, link FROM (SELECT page_id, url, {RESOLVED} AS link FROM raw WHERE l <> '') WHERE regexp_matches(link, '^https?://'))"""

@@ -10,7 +10,7 @@ from ..operators import learning as L
 from ..operators import ranking as K
 from ..sources.readers import table
 from ..storage import materialise
-from .common import MAIN_TEXT, RESOLVED, SPACE, TITLE, query
+from .common import HREFS, MAIN_TEXT, RESOLVED, SPACE, TITLE, query
 from .offline import _ranks, pagerank_sql
 from .search import features_sql
 
@@ -32,7 +32,7 @@ def _words(x: str) -> str:
 def _legacy_sql() -> str:
     split = {q: t.lower().split() for q, t in LEGACY_QUERIES}
     asked = ", ".join(f"({q}, {i}, '{t}')" for q, words in split.items() for i, t in enumerate(words))
-    raw = rf"regexp_extract_all(coalesce(html, ''), '(?i)<a[^>]*href=\"([^\"]*)\"', 1)"
+    raw = HREFS
     links = f"list_filter(list_transform(list_filter({raw}, lambda l: l <> ''), lambda l: {RESOLVED}), lambda l: regexp_matches(l, '^https?://'))"
     out = [f"""{pagerank_sql(10)}, d AS (SELECT page_id AS doc_id, {MAIN_TEXT} AS content, {TITLE} AS title, url, array_to_string({links}, ',') AS ol FROM pages),
 p AS (SELECT doc_id, url, ol, {_words("concat_ws(' ', content, url, ol)")} AS idfw, {_words('content')} AS c0, {_words('title')} AS t_title, {_words("translate(url, '/.', '  ')")} AS t_url, {_words("translate(ol, '/.', '  ')")} AS t_ol FROM d),

@@ -373,13 +373,17 @@ def topic_payload_json(spark, sf):
     return topic_arrays(spark, sf).groupBy("query_id", "topic").agg(F.to_json(ids).alias("payload"))
 
 
-@query("topic_best_union", f"WITH {DIVERSE}, top AS (SELECT query_id, doc_id FROM cb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, doc_id) <= 20), best AS (SELECT query_id, doc_id FROM giv ANTI JOIN top USING (query_id, doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t0 DESC, doc_id) <= 5) SELECT * FROM top UNION ALL SELECT * FROM best")
+@query("topic_best_union", f"WITH {DIVERSE}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, doc_id) AS rank, doc_id FROM cb QUALIFY rank <= 25) SELECT query_id, rank, doc_id, CASE WHEN rank > 20 THEN rank - 21 ELSE -1 END::INTEGER AS topic FROM r")
 def topic_best_union(spark, sf):
-    """The best by combined score, and those of the rest that are best for one topic."""
-    given = _given(spark, sf)
-    top = topic_top_combined(spark, sf).select("query_id", "doc_id")
-    rest = given.join(top, ["query_id", "doc_id"], "left_anti")
-    return top.unionByName(R.top_k(rest, 5, score="t0").select("query_id", "doc_id"))
+    """The best 20 by combined score, and one more for each of five topics."""
+    return C.completed_by_topics(topic_diversity_formula(spark, sf), 5, 20)
+
+
+@query("topic_links_json", f"""WITH a AS ({_arrays_sql()}), u AS (SELECT query_id, topic, '{{"name":"Topic ' || (topic + 1) || '","urls":[' || string_agg('{{"title":"Page ' || doc_id || '","url":"https://page/' || doc_id || '"}}', ',' ORDER BY rank) || '],"color":"' || list_extract(['#f8d7da', '#d4edda', '#d1ecf1', '#fff3cd', '#e8b3f5'], topic + 1) || '"}}' AS t FROM a GROUP BY query_id, topic)
+SELECT query_id, '[' || string_agg(t, ',' ORDER BY topic) || ']' AS payload FROM u GROUP BY query_id""")
+def topic_links_json(spark, sf):
+    named = topic_arrays(spark, sf).select("query_id", "topic", "rank", F.concat(F.lit("Page "), "doc_id").alias("title"), F.concat(F.lit("https://page/"), "doc_id").alias("url"))
+    return C.topic_links(named)
 
 
 @query("topic_lda_rerank")
