@@ -269,4 +269,13 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_suffixes": op6_suffixes}
-SQL: dict[str, str] = {}
+#: Bytes are pairs of hexadecimal digits here.
+SQL = {
+    "op6_suffixes": f"""WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), p AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM t),
+g AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS b, CASE WHEN 2 * i + {2 * WINDOW - 2} <= length(h) THEN md5(substr(h, 2 * i - 1, {2 * WINDOW})) END AS win FROM p),
+f AS (SELECT doc_id, i, b, win IS NOT NULL AND row_number() OVER (PARTITION BY coalesce(win, concat(doc_id, '-', i)) ORDER BY doc_id, i) > 1 AS again FROM g),
+c AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+s AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents d LEFT JOIN s USING (doc_id)"""
+}
