@@ -134,9 +134,16 @@ def graph_pagerank_top10(spark, sf):
     return graph_pagerank_fixed(spark, sf).orderBy(F.desc("rank"), "node").limit(10)
 
 
-@query("graph_pagerank_converged")
+def _converged_sql(rounds: int = 60) -> str:
+    """All rounds, and of them the one before the first that changed less than the tolerance in all."""
+    every = " UNION ALL ".join(f"SELECT {i} AS i, node, rank FROM r{i}" for i in range(rounds + 1))
+    return f"""{pagerank_sql(rounds)}, al AS MATERIALIZED ({every}), d AS (SELECT a.i, sum(abs(b.rank - a.rank)) AS d FROM al a JOIN al b ON b.i = a.i + 1 AND b.node = a.node GROUP BY a.i),
+k AS (SELECT coalesce(min(i) FILTER (WHERE d < 1e-6), {rounds}) AS k FROM d) SELECT node, round(rank, 9) AS rank FROM al JOIN k ON i = k"""
+
+
+@query("graph_pagerank_converged", _converged_sql())
 def graph_pagerank_converged(spark, sf):
-    return G.pagerank(*_graph(spark, sf), rounds=60, tolerance=1e-6)
+    return G.pagerank(*_graph(spark, sf), rounds=60, tolerance=1e-6).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query("update_column_by_key", f"{pagerank_sql(10)} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN round(rank, 9) END AS pagerank FROM documents JOIN r10 ON node = doc_id")
@@ -170,7 +177,20 @@ def geo_avg_distance(spark, sf):
     return C.mean_distance(docs, C.place_matches(docs, C.gazetteer(spark)))
 
 
-@query("geo_avg_distance_ellipsoid")
+def _ellipsoid_sql() -> str:
+    """Kilometres from the gazetteer's places to the centre on WGS-84: 40 rounds of the inverse problem for each place."""
+    step = """SELECT *, sqrt(power(cos(u2) * sin(lam), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs"""
+    angles = f"SELECT *, atan2(ss, cs) AS sig, cos(u1) * cos(u2) * sin(lam) / ss AS sa FROM ({step} FROM @)"
+    middle = f"SELECT *, 1 - sa * sa AS c2, cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS cm FROM ({angles})"
+    whole = f"SELECT *, f / 16 * c2 * (4 + f * (4 - 3 * c2)) AS cc FROM ({middle})"
+    return f"""base AS (SELECT name, f, a, atan((1 - f) * tan(radians({CENTRE[0]}::DOUBLE))) AS u1, atan((1 - f) * tan(radians(latitude))) AS u2, radians(longitude - {CENTRE[1]}::DOUBLE) AS l FROM gaz, (SELECT 1 / 298.257223563::DOUBLE AS f, 6378.137::DOUBLE AS a)),
+v AS (SELECT *, 0 AS i, l AS lam FROM base UNION ALL SELECT name, f, a, u1, u2, l, i + 1, l + (1 - cc) * f * sa * (sig + cc * ss * (cm + cc * cs * (2 * cm * cm - 1))) FROM ({whole.replace("@", "(SELECT * FROM v WHERE i < 40)")})),
+e AS (SELECT *, c2 * (1 / ((1 - f) * (1 - f)) - 1) AS uu FROM ({whole.replace("@", "(SELECT * FROM v WHERE i = 40)")})),
+b AS (SELECT *, uu / 1024 * (256 + uu * (uu * (74 - 47 * uu) - 128)) AS bb, 1 + uu / 16384 * (4096 + uu * (uu * (320 - 175 * uu) - 768)) AS aa FROM e),
+km AS (SELECT name, a * (1 - f) * aa * (sig - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS km FROM b)"""
+
+
+@query("geo_avg_distance_ellipsoid", f"WITH RECURSIVE {MATCHES}, {_ellipsoid_sql()} SELECT doc_id, avg_km FROM documents LEFT JOIN (SELECT doc_id, round(avg(km), 3) AS avg_km FROM hits JOIN km USING (name) GROUP BY doc_id) USING (doc_id)")
 def geo_avg_distance_ellipsoid(spark, sf):
     docs = table(spark, sf, "documents")
     return C.mean_distance(docs, C.place_matches(docs, C.gazetteer(spark)), exact=True)
