@@ -135,5 +135,5 @@ def training_rows(candidates: DataFrame, features: DataFrame, judged: DataFrame)
 
 
 def group_sizes(rows: DataFrame) -> DataFrame:
-    """(query_id, n) of training rows."""
+    """(query_id, n): how many training rows each query has."""
     return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
