@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Values are written as they are, with the spaces at their ends.
+WHOLE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def run_rows(results: DataFrame) -> DataFrame:
     """(query_number, rank, url, score) in order; rows whose score is no number are left out."""
@@ -13,7 +16,7 @@ def run_rows(results: DataFrame) -> DataFrame:
 
 def write_run(results: DataFrame, path: str) -> None:
     """A run: tab-separated, no header, in order across the files' names. A batch's run is of queries times k rows."""
-    run_rows(results).write.mode("overwrite").option("sep", "\t").csv(path)
+    run_rows(results).write.mode("overwrite").options(sep="\t", **WHOLE).csv(path)
 
 
 def write_token_blocks(rows: DataFrame, path: str) -> None:
@@ -25,7 +28,7 @@ def write_token_blocks(rows: DataFrame, path: str) -> None:
 def write_ranked_results(rows: DataFrame, path: str) -> None:
     """Pipe-separated (index, title, url, tokens as a list literal, score)."""
     literal = F.concat(F.lit("["), F.array_join(F.transform("tokens", lambda t: F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("")), F.lit("'"))), ", "), F.lit("]"))
-    rows.select("index", "title", "url", literal.alias("content"), "score").write.mode("overwrite").option("sep", "|").csv(path)
+    rows.select("index", "title", "url", literal.alias("content"), "score").write.mode("overwrite").options(sep="|", **WHOLE).csv(path)
 
 
 def write_keyword_counts(counts: DataFrame, path: str) -> None:
@@ -34,7 +37,7 @@ def write_keyword_counts(counts: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").options(header=True, **WHOLE).csv(path)
 
 
 def write_readable(results: DataFrame, path: str, k: int = 10) -> None:
