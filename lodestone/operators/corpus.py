@@ -55,11 +55,14 @@ def simhashes(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
                 for w in counts:
                     if w not in known:
                         known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-                bits = np.unpackbits(np.array([known[w] for w in counts], ">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-                n = np.array([*counts.values()])
+                terms = np.array([known[w] for w in counts], ">u8")
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                bits = np.unpackbits(terms.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
                 ids.append(doc)
                 hashes.append(int.from_bytes(np.packbits(2 * (n @ bits) > n.sum()).tobytes(), "big", signed=True))
-                bags.append(int.from_bytes(hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=8).digest(), "big", signed=True))
+                # A sum over the counted terms, each multiplied by an odd number of its count's.
+                odd = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) << np.uint64(1) | np.uint64(1)
+                bags.append(int((terms.astype(np.uint64) * odd).sum(dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(hashes, pa.int64()), pa.array(bags, pa.int64())], ["doc_id", "simhash", "bag"])
 
     return docs.select("doc_id", tokens.alias("tokens")).mapInArrow(run, fields)
