@@ -47,9 +47,9 @@ def _delete(spark: SparkSession, path: str) -> bool:
 def discard(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote for these frames. All that was computed from them must be written by now."""
     for df in frames:
-        path = getattr(df, "_written_to", None)
-        if path:
-            _written.get(df.sparkSession.sparkContext.applicationId, []).remove(path)
+        path, held = getattr(df, "_written_to", None), _written.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in held:
+            held.remove(path)
             _delete(df.sparkSession, path)
 
 

@@ -78,3 +78,31 @@ def test_sweep(spark):
 
     held, other = materialise(spark.range(5), "held"), materialise(spark.range(3), "other")
     assert other.count() == 3 and sweep(spark, keep=held) >= 1 and held.count() == 5
+
+
+def test_discard_and_drop_since(spark):
+    from lodestone.storage import discard, drop_since, materialise, position
+
+    one = materialise(spark.range(4), "one")
+    begin = position(spark)
+    two, three = materialise(spark.range(5), "two", narrow=True), materialise(spark.range(6), "three")
+    assert position(spark) == begin + 2 and two.count() == 5
+    drop_since(spark, begin, three)
+    assert position(spark) == begin + 1 and three.count() == 6 and one.count() == 4
+    discard(one, one, spark.range(1))
+    assert position(spark) == begin
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lodestone.storage import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    session = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
+    assert shared_folder(session("local[4]")).startswith("file://")
