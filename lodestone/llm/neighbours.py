@@ -81,11 +81,12 @@ def terms(texts: list[bytes]) -> np.ndarray:
 class Space:
     """The latent space, its labelled vectors and their votes."""
 
-    def __init__(self, texts: list[bytes], labels: list[int]):
-        found = terms(texts)
+    def __init__(self, texts: list[bytes] | np.ndarray, labels: list[int]):
+        """Of labelled texts, or of their ``terms``."""
+        found = texts if isinstance(texts, np.ndarray) else terms(texts)
         self.rarity = np.ones(WIDTH, np.float32)
-        if len(texts):
-            self.rarity[:HASHED] = np.log((1 + len(texts)) / (1 + (found[:, :HASHED] > 0).sum(axis=0))) + 0.5
+        if len(found):
+            self.rarity[:HASHED] = np.log((1 + len(found)) / (1 + (found[:, :HASHED] > 0).sum(axis=0))) + 0.5
         weighted = found * self.rarity
         # Right singular vectors from the terms' Gram matrix.
         values, vectors = np.linalg.eigh(weighted.T.astype(np.float64) @ weighted)
@@ -109,11 +110,23 @@ class Space:
         return np.where(total > 0, (weight * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-300), 0.5).clip(0, 1)
 
 
+def term_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, quality, terms): the ``terms`` of each text as little-endian floats, of one size for any text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.astype("<f4").tobytes() for x in terms(encoded(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "terms"])
+
+    return arrow_map(docs.select("doc_id", "quality", "text"), run, T.StructType([docs.schema["doc_id"], docs.schema["quality"], T.StructField("terms", T.BinaryType())]))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Space:
     """The space of up to SAMPLE labelled texts of each label, none of them held out.
 
     The sample is the first rows by a hash of their key, so it is the same at every run; it is bounded by
-    SAMPLE rows a label, and by leaving out texts of over SAMPLE_BYTES, whatever the size of the corpus.
+    SAMPLE rows a label, and by leaving out texts of over SAMPLE_BYTES, whatever the size of the corpus. Terms are
+    counted on the executors: the driver gets 4 * WIDTH bytes a text, 14 MB at most, and no text.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("quality").cast("int")).alias("other")).where("quality = other")
@@ -123,9 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Space:
     # At most 2 * SAMPLE keys.
     small = F.broadcast(spark.createDataFrame([*chosen.items()], "doc_id long, quality int"))
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = short.join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).collect()
-    rows = sorted((r.doc_id, r.text, r.quality) for r in rows)
-    return Space([text.encode() for _, text, _ in rows], [int(q > 0) for _, _, q in rows])
+    taught = short.join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = sorted((r.doc_id, r.quality, bytes(r.terms)) for r in term_rows(taught).collect())
+    found = np.frombuffer(b"".join(x for _, _, x in rows), "<f4").reshape(-1, WIDTH)
+    return Space(found, [int(q > 0) for _, q, _ in rows])
 
 
 def scored(docs: DataFrame, space: Space) -> DataFrame:

@@ -287,6 +287,25 @@ def test_labels_that_differ_teach_nothing(spark):
     assert sorted(space.labels.tolist()) == sorted(q for k, q in ((1, 1.0), (3, 0.0)) if k not in held)
 
 
+def test_long_texts_teach_without_reaching_the_driver(spark):
+    """A driver that may receive 8 MB fits 26 MB of labelled texts, to the same space as from the texts themselves."""
+    made = "concat_ws(' ', transform(sequence(1, 5500), i -> hex(xxhash64(id, i))))"
+    docs = spark.range(350).selectExpr("id AS doc_id", f"{made} AS text")
+    labels = spark.range(350).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0]
+    assert sum(len(x) for _, x in rows) > 24 << 20 and max(len(x) for _, x in rows) <= neighbours.SAMPLE_BYTES
+    conf = spark.sparkContext._jsc.sc().conf()
+    was = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "8m")
+    try:
+        space = neighbours.fit(docs, labels)
+    finally:
+        conf.set("spark.driver.maxResultSize", was)
+    want = neighbours.Space([x.encode() for _, x in rows], [k % 2 for k, _ in rows])
+    assert space.labels.tolist() == want.labels.tolist() and (space.rarity == want.rarity).all()
+    assert np.allclose(space.points @ space.points.T, want.points @ want.points.T, atol=1e-4)
+
+
 def test_neighbours_learn_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
