@@ -15,26 +15,55 @@ from ..storage import discard, materialise
 from .retrieval import top_k
 
 
+#: Pairs of cells that are held at once, 8 bytes each in a handful of arrays.
+PAIRS = 1 << 20
+
+
 def lambda_gradients(label: np.ndarray, score: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(gradient, curvature) of a query's documents: over all pairs of different labels, the pull of the better one
-    up, by how wrong their order is and by the nDCG that swapping them would change."""
+    up, by how wrong their order is and by the nDCG that swapping them would change.
+
+    Documents of one score and label form a cell. A pair's order and gain follow from its two cells, and as discounts
+    fall with the rank, their differences add up to a count times one's own discount less a sum; so cells meet,
+    in blocks of PAIRS, not documents. Only within a score the ranks tell who comes first: there running sums serve.
+    """
     n = len(label)
     gain = np.exp2(label) - 1
     order = np.lexsort((np.arange(n), -score))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    discount = 1 / np.log2(rank + 2.0)
-    if k is not None:
-        discount[rank >= k] = 0
-    best = np.sort(gain)[::-1] / np.log2(np.arange(n) + 2.0)
+    discount = 1 / np.log2(np.arange(n) + 2.0)
+    best = np.sort(gain)[::-1] * discount
     ideal = best[: k or n].sum()
     if ideal <= 0:
         return np.zeros(n), np.zeros(n)
-    better = label[:, None] > label[None, :]
-    change = np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal
-    wrong = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -50, 50)))
-    pull, bend = np.where(better, change * wrong, 0), np.where(better, change * wrong * (1 - wrong), 0)
-    return pull.sum(axis=1) - pull.sum(axis=0), bend.sum(axis=1) + bend.sum(axis=0)
+    if k is not None:
+        discount[k:] = 0
+    levels, level = np.unique(label[order], return_inverse=True)
+    gains, s = np.exp2(levels) - 1, score[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
+    cells, cell = np.unique(run * len(levels) + level, return_inverse=True)
+    runs, kinds = np.divmod(cells, len(levels))
+    held = np.stack([np.bincount(cell), np.bincount(cell, weights=discount)], axis=1)
+    pulls, bends = np.empty(held.shape), np.empty(held.shape)
+    step = max(1, PAIRS // len(cells))
+    for at in range(0, len(cells), step):
+        r, c = runs[at : at + step, None], kinds[at : at + step, None]
+        up = np.sign(c - kinds)
+        wrong = 1 / (1 + np.exp(np.clip(up * (s[first[r]] - s[first[runs]]), -50, 50)))
+        change = np.abs(gains[c] - gains[kinds]) * np.sign(runs - r) / ideal * wrong
+        pulls[at : at + step], bends[at : at + step] = (change * up) @ held, (change * (1 - wrong)) @ held
+    pull, bend = (discount * x[cell, 0] - x[cell, 1] for x in (pulls, bends))
+    last = np.r_[first[1:], n][run]
+    for c in range(len(levels)):
+        seen, mass = (np.r_[0, np.cumsum(x)] for x in (level == c, discount * (level == c)))
+        i, begin = np.arange(n) + 1, first[run]
+        apart = mass[i] - mass[begin] - discount * (seen[i] - seen[begin]) + discount * (seen[last] - seen[i]) - (mass[last] - mass[i])
+        change = np.abs(gains[level] - gains[c]) * apart / ideal
+        pull += np.sign(level - c) * change / 2
+        bend += change / 4
+    out = np.empty((2, n))
+    out[:, order] = pull, bend
+    return out[0], out[1]
 
 
 def tree_expression(tree: dict, columns: list[str]) -> Column:
@@ -59,8 +88,8 @@ def tree_nodes(model) -> dict:
 class LambdaRanker:
     """Trees fitted one after another to the lambda gradients of the ranking so far.
 
-    A query's gradients need its rows together: at most the ``candidates`` that the first stage gave it, so a
-    group is bounded. Each tree is fitted by Spark's library over all rows, its leaves being sums of gradients
+    A query's gradients need its rows together, but only their numbers, labels and scores, ordered by doc_id so that
+    ties in score rank alike at every run; the pairs are never held at once. Each tree is fitted by Spark's library over all rows, its leaves being sums of gradients
     over sums of curvatures, as the rows are weighted by curvature and taught gradient over curvature.
     """
 
@@ -81,6 +110,7 @@ class LambdaRanker:
         state = materialise(features.transform(rows.select("query_id", "doc_id", F.col("label").cast("double").alias("label"), *self.columns)).withColumn("score", F.lit(0.0)), "ranking")
 
         def slopes(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("doc_id", kind="stable")
             pull, bend = lambda_gradients(group["label"].to_numpy(), group["score"].to_numpy(), at)
             return pd.DataFrame({"query_id": group["query_id"], "doc_id": group["doc_id"], "step": pull / np.maximum(bend, 1e-9), "weight": bend})
 

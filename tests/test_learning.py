@@ -39,6 +39,30 @@ def test_lambda_gradients_by_pairs():
     assert not learning.lambda_gradients(np.zeros(4), np.arange(4.0))[0].any()
 
 
+def test_lambda_gradients_hold_no_square():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    label, score = rng.integers(0, 4, 6000).astype(float), rng.integers(0, 300, 6000) / 8
+    tracemalloc.start()
+    pull, bend = learning.lambda_gradients(label, score)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and abs(pull.sum()) < 1e-6 * np.abs(pull).sum() and (bend > 0).all()
+    # Many equal scores, some alone: as by pairs.
+    label, score = rng.integers(0, 3, 60).astype(float), np.r_[rng.integers(0, 3, 50) / 2, rng.normal(size=10)]
+    for k in (None, 10):
+        rank = np.empty(60, int)
+        rank[np.lexsort((np.arange(60), -score))] = np.arange(60)
+        discount = np.where(rank < (k or 60), 1 / np.log2(rank + 2.0), 0)
+        gain = np.exp2(label) - 1
+        ideal = (np.sort(gain)[::-1] / np.log2(np.arange(60) + 2.0))[: k or 60].sum()
+        p = 1 / (1 + np.exp(score[:, None] - score[None, :]))
+        change = np.where(label[:, None] > label[None, :], np.abs((gain[:, None] - gain) * (discount[:, None] - discount)) / ideal, 0) * p
+        pull, bend = learning.lambda_gradients(label, score, k)
+        assert pull == pytest.approx(change.sum(1) - change.sum(0)) and bend == pytest.approx((change * (1 - p)).sum(1) + (change * (1 - p)).sum(0))
+
+
 def test_ranker_beats_first_stage_on_new_queries(spark):
     rng = random.Random(4)
     rows, judged = [], []
