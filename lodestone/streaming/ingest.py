@@ -53,24 +53,25 @@ def sync(stream: DataFrame, store: str, checkpoint: str, order: str = "page_id")
     """Upsert the documents of a stream into a store by URL: a known URL takes the new row.
 
     A batch is written to a folder of its own, so that a batch that is tried again overwrites what it wrote
-    before and nothing is sent twice. The store's rows are those of the last batch of each URL, and in a batch
-    the last by ``order``.
+    before and nothing is sent twice. The store's row of a URL is the last by ``order``, however files were dealt to
+    batches, and of equal ones that of the last batch.
     """
     spark, schema = stream.sparkSession, stream.schema
 
     def send(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("url").agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        # As a struct, a row counts even if its place in the order is unknown.
+        last = batch.groupBy("url").agg(F.max_by(F.struct(*batch.columns), F.struct(order)).alias("r")).select("r.*")
         last.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     _begin(spark, store, schema)
     stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return synced(spark, store, schema)
+    return synced(spark, store, schema, order)
 
 
-def synced(spark: SparkSession, store: str, schema: StructType) -> DataFrame:
-    """The rows of a store, one a URL."""
+def synced(spark: SparkSession, store: str, schema: StructType, order: str = "page_id") -> DataFrame:
+    """The rows of a store, one a URL: the last by ``order``."""
     names = schema.fieldNames()
-    return _batches(spark, store, schema).groupBy("url").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("r.*")
+    return _batches(spark, store, schema).groupBy("url").agg(F.max_by(F.struct(*names), F.struct(order, "batch")).alias("r")).select("r.*")
 
 
 FOUND = StructType([StructField("url", StringType()), StructField("crawled", BooleanType()), StructField("error", BooleanType())])
@@ -113,8 +114,8 @@ def frontier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def crawled_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The first document of each URL."""
-    first = F.min_by(F.struct(*DOCUMENT.fieldNames()), F.struct("batch", "page_id"))
+    """The document of each URL with the least page_id, however files were dealt to batches; of equal ones the first batch's."""
+    first = F.min_by(F.struct(*DOCUMENT.fieldNames()), F.struct(F.isnull("page_id"), "page_id", "batch"))
     return _batches(spark, f"{folder}/documents", DOCUMENT).groupBy("url").agg(first.alias("r")).select("r.*")
 
 

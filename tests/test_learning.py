@@ -179,6 +179,20 @@ def test_sync_takes_the_last_row(spark, tmp_path):
     assert read(ingest.sync(docs(), *where)) == {"https://h/a": (3, "newer"), "https://h/b": (4, "changed")}
 
 
+def test_batches_in_any_order_give_the_same_rows(spark, tmp_path):
+    source = str(tmp_path / "in")
+    put = lambda rows: spark.createDataFrame(rows, ingest.PAGES).coalesce(1).write.mode("append").parquet(source)
+    docs = lambda: ingest.page_stream(spark, source)
+    store, crawl = (str(tmp_path / "store"), str(tmp_path / "checkpoint")), (str(tmp_path / "crawl"), str(tmp_path / "checkpoint2"))
+    # The last page by its number comes first, the first last.
+    for page in (3, 2, 1):
+        put([(page, "https://h/a", f"<p>town {page}</p>")])
+        synced = ingest.sync(ingest.documents_of(docs()), *store)
+        ingest.crawl(docs(), *crawl, ["town"])
+    assert [(r.page_id, r.content) for r in synced.collect()] == [(3, "town 3")]
+    assert [(r.page_id, r.content) for r in ingest.crawled_documents(spark, crawl[0]).collect()] == [(1, "town 1")]
+
+
 def test_alternate():
     log = []
     calls = ingest.alternate(lambda: log.append("w"), lambda: log.append("s"), seconds=0.05, rounds=3, pause=0.02)
