@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.engine import Engine, TableRewriter
 from lodestone.functions import scoring, text, web
@@ -169,3 +170,15 @@ def test_all_scores_have_no_last_rank(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("doc_id"), F.lit("ingti").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES["bm25_own_all_scores"](spark, str(tmp_path)).agg(F.count(F.lit(1)), F.max("rank")).first()
     assert tuple(got) == (n, n)
+
+
+def test_workers_hold_few_rows_at_once(spark):
+    import pyarrow as pa
+
+    seen = lambda df: corpus._in_arrow(df, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"]) for b in batches), StructType.fromDDL("rows long, bytes long")).collect()
+    found = seen(spark.range(0, 5000, 1, 1))
+    assert sum(r.rows for r in found) == 5000 and max(r.rows for r in found) <= corpus.BATCH_ROWS
+    found = seen(spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 40_000).alias("text")))
+    assert sum(r.rows for r in found) == 400 and max(r.bytes for r in found) <= 2 * corpus.BATCH_BYTES
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1201))], ["a"])
+    assert [x for b in corpus._slices(iter([batch])) for x in b.column("a").to_pylist()] == list(range(1201))
