@@ -23,6 +23,46 @@ def term_stats(posting: DataFrame) -> DataFrame:
     return posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+#: Terms that are joined by broadcast: the most frequent ones, which make up most of the postings.
+HEAD = 100_000
+
+
+def counted(docs: DataFrame, tokens: Column, key: str = "doc_id", name: str = "term") -> DataFrame:
+    """(key, dl, term, tf) of documents with their lengths, counted within each row, so that nothing is shuffled.
+
+    Sorted tokens are cut where they change. Where keys repeat, rows of one key and length add up.
+    """
+    split = docs.select(key, F.sort_array(tokens).alias("_s"))
+    starts = F.array_compact(F.transform("_s", lambda t, i: F.when((i == 0) | (t != F.get("_s", i - 1)), i)))
+    marked = split.select(key, "_s", starts.alias("_i"))
+    entries = F.transform("_i", lambda i, j: F.struct(F.get("_s", i).alias(name), (F.coalesce(F.get("_i", j + 1), F.size("_s")) - i).cast("long").alias("tf")))
+    out = marked.select(key, F.size("_s").alias("dl"), F.explode(entries).alias("x")).select(key, "dl", f"x.{name}", "x.tf")
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return out
+    return out.groupBy(key, "dl", name).agg(F.sum("tf").alias("tf"))
+
+
+def with_term(posting: DataFrame, terms: DataFrame, on: str = "term", head: int = HEAD) -> DataFrame:
+    """Postings with the columns of ``terms`` (on, df, ...), a written table.
+
+    The most frequent terms, at most ``head``, are broadcast; only postings of the others, which no task has many of,
+    are shuffled.
+    """
+    bits = terms.groupBy(F.length(F.bin("df")).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()  # 64 rows at most
+    taken, cut = 0, None
+    for row in bits:
+        if taken + row.n > head:
+            break
+        taken, cut = taken + row.n, 1 << (row.b - 1)
+    if cut is None:
+        return posting.join(terms, on)
+    common = posting.join(F.broadcast(terms.where(F.col("df") >= cut)), on)
+    if cut == 1 << (bits[-1].b - 1):
+        return common
+    rare = posting.join(F.broadcast(terms.where(F.col("df") >= cut).select(on)), on, "left_anti").join(terms.where(F.col("df") < cut), on)
+    return common.unionByName(rare)
+
+
 def doc_stats(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """(doc_id, dl): lengths in tokens, of empty documents too."""
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
@@ -80,16 +120,17 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], method: str = "lucene"
 def impacts(docs: DataFrame, method: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, places: int | None = 6, tokens: Column | None = None) -> DataFrame:
     """(term, doc_id, impact): every posting's score, less what the lack of the term scores; rounded to ``places``."""
     # Texts are split once; a posting carries its document's length.
-    tokens = word_tokens(F.col("text")) if tokens is None else tokens
-    split = docs.select("doc_id", tokens.alias("tokens"))
-    posting = materialise(split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    stats = posting.agg(F.sum("tf").alias("all")).crossJoin(n).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
-    joined = posting.join(term_stats(posting).select("term", "df"), "term").crossJoin(F.broadcast(stats))
+    posting = materialise(counted(docs, word_tokens(F.col("text")) if tokens is None else tokens), "postings")
+    return weighed(posting, materialise(term_stats(posting), "terms"), docs.count(), method, k1, b, delta, places)
+
+
+def weighed(posting: DataFrame, terms: DataFrame, n: int, method: str, k1: float, b: float, delta: float, places: int | None, on: str = "term") -> DataFrame:
+    """(term, doc_id, impact) of postings (on, doc_id, dl, tf) and the written table of their terms (on, term, df, cf)."""
+    average = float(terms.agg(F.sum("cf").alias("c")).first().c or 0) / n if n else 0.0
     d = lambda c: F.col(c).cast("double")
-    part = saturation(method, d("tf"), d("dl"), F.col("avgdl"), k1, b, delta) - absent(method, k1, delta)
-    impact = idf(method, F.col("n"), d("df")) * part
-    return joined.select("term", "doc_id", (impact if places is None else F.round(impact, places)).alias("impact"))
+    part = saturation(method, d("tf"), d("dl"), F.lit(average), k1, b, delta) - absent(method, k1, delta)
+    impact = idf(method, F.lit(float(n)), d("df")) * part
+    return with_term(posting, terms, on).select("term", "doc_id", (impact if places is None else F.round(impact, places)).alias("impact"))
 
 
 class Bm25Index:
@@ -102,16 +143,32 @@ class Bm25Index:
     @classmethod
     def build(cls, docs: DataFrame, method: str = "lucene", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens: Column | None = None) -> Bm25Index:
         """``tokens`` may be a column of words, or of numbers, whose digits are then the terms; by default texts are split."""
-        if tokens is not None:
-            tokens = tokens.cast("array<string>")
-        posting = postings(docs, tokens)
-        n = docs.count()
+        tokens = word_tokens(F.col("text")) if tokens is None else tokens.cast("array<string>")
+        posting = materialise(counted(docs, tokens), "postings")
+        return cls._of(posting, materialise(term_stats(posting), "terms"), docs.count(), method, k1, b, delta)
+
+    @classmethod
+    def _of(cls, posting: DataFrame, terms: DataFrame, n: int, method: str = "lucene", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, on: str = "term") -> Bm25Index:
+        """Of written postings and statistics of their terms: texts are split once for both."""
         shift = idf(method, F.lit(float(n)), F.col("df").cast("double")) * absent(method, k1, delta)
-        return cls(impacts(docs, method, k1, b, delta, places=None, tokens=tokens), term_stats(posting).withColumn("shift", shift), {"method": method, "k1": k1, "b": b, "delta": delta, "n": n})
+        scored = weighed(posting, terms, n, method, k1, b, delta, None, on)
+        return cls(scored, terms.select("term", "df", "cf", shift.alias("shift")), {"method": method, "k1": k1, "b": b, "delta": delta, "n": n})
 
     @classmethod
     def from_numbers(cls, docs: DataFrame, vocabulary: DataFrame, ids: str = "ids", **settings) -> Bm25Index:
-        """Of documents as arrays of word numbers, with the vocabulary (number, term) that they are numbers of."""
+        """Of documents as arrays of word numbers, with the vocabulary (number, term) that they are numbers of.
+
+        Numbers are counted as they are, and named by term, not by posting. Where the vocabulary gives a number or a
+        term twice or lacks a number, the arrays are turned into words first.
+        """
+        vocabulary = materialise(vocabulary.select("number", "term"), "vocabulary")
+        sizes = vocabulary.agg(F.count(F.lit(1)), F.count_distinct("number"), F.count_distinct("term")).first()
+        if sizes[0] == sizes[1] == sizes[2]:
+            posting = materialise(counted(docs, F.col(ids), name="number"), "postings")
+            found = posting.groupBy("number").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+            named = materialise(found.join(vocabulary, "number", "left"), "terms")
+            if named.where("term IS NULL").isEmpty():
+                return cls._of(posting, named, docs.count(), on="number", **settings)
         flat = docs.select("doc_id", F.explode(ids).alias("number")).join(vocabulary, "number").groupBy("doc_id").agg(F.collect_list("term").alias("_words"))
         named = docs.select("doc_id").join(flat, "doc_id", "left").select("doc_id", F.coalesce("_words", F.array().cast("array<string>")).alias("words"))
         return cls.build(materialise(named, "words"), tokens=F.col("words"), **settings)
@@ -127,7 +184,7 @@ class Bm25Index:
         """
         if corpus is not None:
             corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         spark = self.postings.sparkSession
         spark.createDataFrame([(json.dumps(self.params),)], "params string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
@@ -170,11 +227,11 @@ class VectorSpace:
     @classmethod
     def fit(cls, docs: DataFrame, tokens: Column | None = None) -> VectorSpace:
         tokens = word_tokens(F.col("text")) if tokens is None else tokens
-        split = docs.select("doc_id", tokens.alias("tokens"))
-        tf = materialise(split.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+        tf = materialise(counted(docs, tokens), "tf")
         n = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
-        idfs = materialise(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", F.log10(F.col("n") / F.col("df")).alias("idf")), "idfs")
-        weights = tf.join(idfs, "term").select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
+        idfs = materialise(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log10(F.col("n") / F.col("df")).alias("idf")), "idfs")
+        # A document's postings lie together, so its norm is added up before the shuffle.
+        weights = with_term(tf, idfs).select("doc_id", "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
         norms = materialise(weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
         return cls(weights, norms, idfs)
 

@@ -182,3 +182,36 @@ def test_workers_hold_few_rows_at_once(spark):
     assert sum(r.rows for r in found) == 400 and max(r.bytes for r in found) <= 2 * corpus.BATCH_BYTES
     batch = pa.RecordBatch.from_arrays([pa.array(range(1201))], ["a"])
     assert [x for b in corpus._slices(iter([batch])) for x in b.column("a").to_pylist()] == list(range(1201))
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_are_counted_where_they_are_read(spark, golden):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c c a")], "doc_id int, text string")
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda t: t != "")
+    found = retrieval.counted(docs, split)
+    assert {tuple(r) for r in found.collect()} == {(1, 3, "a", 1), (1, 3, "b", 2), (4, 3, "a", 1), (4, 3, "c", 2)}
+    assert shuffles(found) == 0
+    # Rows of one key and length add up.
+    again = {tuple(r) for r in retrieval.counted(docs.union(docs), split).collect()}
+    assert again == {(1, 3, "a", 2), (1, 3, "b", 4), (4, 3, "a", 2), (4, 3, "c", 4)}
+    # Frequent terms are broadcast and the others shuffled: the same rows, whatever the bound.
+    posting = spark.createDataFrame([(d, t, 1) for d in range(40) for t in range(20) if d % (t + 1) == 0], "doc_id int, term int, tf int")
+    terms = retrieval.term_stats(posting)
+    want = {tuple(r) for r in posting.join(terms, "term").collect()}
+    for head in (0, 1, 5, 100):
+        got = [tuple(r) for r in retrieval.with_term(posting, terms, head=head).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # Impacts and norms move no postings of frequent terms.
+    assert shuffles(retrieval.impacts(golden, "lucene")) == 0
+
+
+def test_numbers_without_words_and_words_with_two_numbers(spark):
+    docs = spark.createDataFrame([(1, [1, 2, 9]), (2, [3, 2]), (3, [4])], "doc_id int, ids array<int>")
+    words = spark.createDataFrame([(1, "rean"), (2, "onsh"), (3, "rean"), (4, "erth")], "number int, term string")
+    text = spark.createDataFrame([(1, "rean onsh"), (2, "rean onsh"), (3, "erth")], "doc_id int, text string")
+    asked = [(1, "rean erth")]
+    got = retrieval.Bm25Index.from_numbers(docs, words).topk(asked).collect()
+    assert got and got == retrieval.Bm25Index.build(text).topk(asked).collect()
