@@ -27,13 +27,18 @@ def member_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return known_edges(edges.dropDuplicates(["src", "dst"]), nodes)
 
 
+#: Nodes from which on a round's tables are joined by shuffle: broadcast ones pass through the driver in every round.
+BROADCAST_NODES = 20_000
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, normalise: bool = False, members: bool = False, each: bool = False, every: int = 5) -> DataFrame:
     """(node, rank) by power iteration, without redistribution of what leaves the graph.
 
     Each round joins edges with ranks on the source and sums by target; partial sums take hot targets. Every
     ``every`` rounds the ranks are written to shared storage, which bounds the plan. With a tolerance the
     rounds end once the ranks' total change (with ``each``, every node's change) is below it, and the ranks
-    before that round are returned. With ``members`` repeated links count once.
+    before that round are returned. With ``members`` repeated links count once. Ranks of over BROADCAST_NODES nodes
+    are never broadcast, so the driver gets a number a round, whatever the planner's threshold.
     """
     n = nodes.count()
     if not n:
@@ -41,9 +46,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     held = materialise((member_edges if members else known_edges)(edges, nodes), "edges")
     ranks = materialise(nodes.select("node", F.lit(1.0 / n).alias("rank")), "ranks")
     base = (1 - damping) / n
+    dealt = (lambda df: df.hint("merge")) if n > BROADCAST_NODES else lambda df: df
     for i in range(rounds):
-        flow = held.join(ranks, held["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("in"))
-        new = ranks.select("node", F.col("rank").alias("was")).join(flow, F.col("node") == F.col("dst"), "left").select("node", "was", (F.lit(base) + F.lit(damping) * F.coalesce("in", F.lit(0.0))).alias("rank"))
+        flow = held.join(dealt(ranks), held["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("in"))
+        new = ranks.select("node", F.col("rank").alias("was")).join(dealt(flow), F.col("node") == F.col("dst"), "left").select("node", "was", (F.lit(base) + F.lit(damping) * F.coalesce("in", F.lit(0.0))).alias("rank"))
         if normalise:
             new = materialise(new, "flow")  # read twice
             total = new.agg(F.sum("rank").alias("total"))

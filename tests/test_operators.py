@@ -215,3 +215,14 @@ def test_numbers_without_words_and_words_with_two_numbers(spark):
     asked = [(1, "rean erth")]
     got = retrieval.Bm25Index.from_numbers(docs, words).topk(asked).collect()
     assert got and got == retrieval.Bm25Index.build(text).topk(asked).collect()
+
+
+def test_ranks_of_a_large_graph_are_not_broadcast(spark, monkeypatch):
+    nodes = spark.range(50).select(F.col("id").alias("node"))
+    edges = spark.range(100).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 50).alias("dst"), F.lit(0.5).alias("w"))
+    ranks = lambda: graph.pagerank(nodes, edges, rounds=3, tolerance=None, every=5)
+    small = {r.node: r.rank for r in ranks().collect()}
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 10)
+    large = ranks()
+    assert {r.node: r.rank for r in large.collect()} == pytest.approx(small)
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
