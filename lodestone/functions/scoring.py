@@ -60,8 +60,9 @@ EMBEDDING = 16
 
 def hashed_embedding(tokens: Column) -> Column:
     """A stand-in for a sentence embedding that needs no model: counts of tokens by the first digit of their md5."""
-    digits = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 1), 16, 10).cast("int"))
-    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING - 1)), lambda i: F.size(F.filter(held, lambda d: d == i)).cast("double"))
+    digits = F.array_join(F.transform(tokens, lambda t: F.substring(F.md5(t), 1, 1)), "")
+    # Counted in a string of digits, not element by element.
+    counts = lambda held: F.array(*[(F.length(held) - F.length(F.replace(held, F.lit(f"{i:x}")))).cast("double") for i in range(EMBEDDING)])
     # As the one element of an array, the digits are made once and not for each bucket.
     return F.element_at(F.transform(F.array(digits), counts), 1)
 

@@ -14,15 +14,20 @@ from ..functions.scoring import cosine, grade_weight, graded_label, hashed_embed
 from ..functions.text import simple_tokens
 from ..functions.web import count_of, url_terms
 from ..storage import materialise
+from .retrieval import counted, with_term
 
 PARTS = ("body", "title", "url")
 
 
 def part_terms(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc_id, part, term, tf, stream_length) of split candidates (query_id, doc_id, t_body, t_title, t_url)."""
+    """(query_id, doc_id, part, term, tf, stream_length) of split candidates (query_id, doc_id, t_body, t_title, t_url).
+
+    Counted within the row, so that nothing is shuffled; where a query has a candidate twice, its terms add up.
+    """
     long = candidates.select("query_id", "doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"t_{p}").alias("tokens")) for p in PARTS])).alias("x"))
-    flat = long.select("query_id", "doc_id", "x.part", F.size("x.tokens").alias("stream_length"), F.explode("x.tokens").alias("term"))
-    return flat.groupBy("query_id", "doc_id", "part", "stream_length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    keyed = long.select(F.struct("query_id", "doc_id", "x.part").alias("_key"), F.col("x.tokens").alias("tokens"))
+    flat = counted(keyed, F.col("tokens"), "_key")
+    return flat.select("_key.*", "term", "tf", F.col("dl").alias("stream_length"))
 
 
 FEATURES = [f"{p}_{f}" for p in PARTS for f in ("sum_tf", "sum_tfidf", "stream_length", "cosine", "synonym_count", "embedding")] + ["url_slashes", "url_chars"]
@@ -32,55 +37,64 @@ def part_texts() -> dict[str, Column]:
     return {"body": simple_tokens(F.col("body")), "title": simple_tokens(F.col("title")), "url": url_terms(F.col("url"))}
 
 
-def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFrame | None = None, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+def lexical_features(candidates: DataFrame, queries: DataFrame, synonyms: DataFrame | None = None, embed: Callable[[Column], Column] = hashed_embedding, wanted: list[str] = FEATURES) -> DataFrame:
     """Per candidate and part: sum_tf, sum_tfidf, stream_length, cosine, synonym_count and the cosine of embeddings;
-    slashes and length of the URL: 20 features.
+    slashes and length of the URL: 20 features, or those ``wanted``.
 
     The corpus of the inverse document frequencies, ln(N / df), is the query's candidate set. ``embed`` makes a
-    vector of an array of tokens; a model may stand behind it.
+    vector of an array of tokens; a model may stand behind it. Queries are a batch of the caller and are broadcast.
     """
     # Pages are split into tokens once; all that follows reads those, and their counts.
     candidates = materialise(candidates.select("query_id", "doc_id", "url", *[t.alias(f"t_{p}") for p, t in part_texts().items()]), "parts")
+    # Rows alone: the URL's counts, and the parts' embeddings against the query's.
+    asked_vectors = F.broadcast(queries.select("query_id", embed(simple_tokens(F.col("text"))).alias("asked")))
+    alike = {f"{p}_embedding": F.round(cosine(embed(F.col(f"t_{p}")), F.col("asked")), 6) for p in PARTS}
+    own = candidates.join(asked_vectors, "query_id").select("query_id", "doc_id", *[v.alias(k) for k, v in alike.items()], count_of(F.col("url"), "/").cast("double").alias("url_slashes"), F.length("url").cast("double").alias("url_chars"))
+    if set(wanted) <= set(own.columns):
+        return own.select("query_id", "doc_id", *wanted)
     terms = materialise(part_terms(candidates), "terms")
-    n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.broadcast(candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))
     df = terms.groupBy("query_id", "part", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(n, "query_id").select("query_id", "part", "term", F.log(F.col("n") / F.col("df")).alias("idf"))
+    idf = materialise(df.join(n, "query_id").select("query_id", "part", "term", "df", F.log(F.col("n") / F.col("df")).alias("idf")), "idfs")
     asked = queries.select("query_id", F.explode(simple_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = terms.join(idf, ["query_id", "part", "term"])
-    norms = weighted.groupBy("query_id", "doc_id", "part", "stream_length").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
     parts = F.explode(F.array(*map(F.lit, PARTS))).alias("part")
     # A query's term that no candidate has weighs ln N.
-    query_weights = asked.join(n, "query_id").select("query_id", "term", "qtf", "n", parts).join(idf, ["query_id", "part", "term"], "left").withColumn("qw", F.col("qtf") * F.coalesce("idf", F.log("n")))
-    qnorm = query_weights.groupBy("query_id", "part").agg(F.sqrt(F.sum(F.pow("qw", 2))).alias("qnorm"))
-    hits = weighted.join(query_weights.select("query_id", "part", "term", "qw"), ["query_id", "part", "term"])
-    sums = hits.groupBy("query_id", "doc_id", "part").agg(F.sum("tf").alias("sum_tf"), F.sum(F.col("tf") * F.col("idf")).alias("sum_tfidf"), F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
-    long = norms.join(sums, ["query_id", "doc_id", "part"], "left").join(qnorm, ["query_id", "part"], "left")
+    weights = asked.join(n, "query_id").select("query_id", "term", "qtf", "n", parts).join(idf, ["query_id", "part", "term"], "left").select("query_id", "part", "term", (F.col("qtf") * F.coalesce("idf", F.log("n"))).alias("qw"))
+    weights = materialise(weights, "weights")
+    # All of a candidate's sums in one step; its terms lie together, so they are added up before the shuffle.
+    found = with_term(terms, idf, ["query_id", "part", "term"]).join(F.broadcast(weights), ["query_id", "part", "term"], "left")
     if synonyms is not None:
-        also = asked.join(synonyms, "term").select("query_id", F.col("synonym").alias("term")).distinct()
-        counted = terms.join(also, ["query_id", "term"]).groupBy("query_id", "doc_id", "part").agg(F.sum("tf").alias("synonyms"))
-        long = long.join(counted, ["query_id", "doc_id", "part"], "left")
+        also = asked.join(synonyms, "term").select("query_id", F.col("synonym").alias("term"), F.lit(True).alias("also")).distinct()
+        found = found.join(F.broadcast(also), ["query_id", "term"], "left")
     else:
-        long = long.withColumn("synonyms", F.lit(0))
-    zero = lambda c: F.coalesce(c, F.lit(0))
+        found = found.withColumn("also", F.lit(None).cast("boolean"))
+    hit, w = F.col("qw").isNotNull(), F.col("tf") * F.col("idf")
+    sums = {"sum_tf": F.when(hit, F.col("tf")), "sum_tfidf": F.when(hit, w), "dot": w * F.col("qw"), "synonyms": F.when(F.col("also"), F.col("tf")), "squares": F.pow(w, 2)}
+    wide = found.groupBy("query_id", "doc_id").agg(*[F.max(F.when(F.col("part") == p, F.col("stream_length"))).alias(f"{p}_length") for p in PARTS], *[F.sum(F.when(F.col("part") == p, v)).alias(f"{p}_{k}") for p in PARTS for k, v in sums.items()])
+    qnorm = weights.groupBy("query_id").agg(*[F.sqrt(F.sum(F.when(F.col("part") == p, F.pow("qw", 2)))).alias(f"{p}_qnorm") for p in PARTS])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     of = {
-        "sum_tf": lambda: zero(F.col("sum_tf")).cast("double"),
-        "sum_tfidf": lambda: F.round(zero(F.col("sum_tfidf")).cast("double"), 6),
-        "stream_length": lambda: F.col("stream_length").cast("double"),
-        "cosine": lambda: F.round(F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")), F.lit(0.0)), 6),
-        "synonym_count": lambda: zero(F.col("synonyms")).cast("double"),
+        "sum_tf": lambda p: zero(f"{p}_sum_tf"),
+        "sum_tfidf": lambda p: F.round(zero(f"{p}_sum_tfidf"), 6),
+        "stream_length": lambda p: zero(f"{p}_length"),
+        "cosine": lambda p: F.round(F.coalesce(F.try_divide(F.col(f"{p}_dot"), F.sqrt(f"{p}_squares") * F.col(f"{p}_qnorm")), F.lit(0.0)), 6),
+        "synonym_count": lambda p: zero(f"{p}_synonyms"),
     }
-    wide = long.groupBy("query_id", "doc_id").agg(*[F.coalesce(F.max(F.when(F.col("part") == p, make())), F.lit(0.0)).alias(f"{p}_{name}") for p in PARTS for name, make in of.items()])
-    # Rows alone: the URL's counts, and the parts' embeddings against the query's.
-    asked_vectors = queries.select("query_id", embed(simple_tokens(F.col("text"))).alias("asked"))
-    alike = {f"{p}_embedding": F.round(cosine(embed(F.col(f"t_{p}")), F.col("asked")), 6) for p in PARTS}
-    own = candidates.join(asked_vectors, "query_id").select("query_id", "doc_id", *[v.alias(k) for k, v in alike.items()], count_of(F.col("url"), "/").cast("double").alias("url_slashes"), F.length("url").cast("double").alias("url_chars"))
-    return wide.join(own, ["query_id", "doc_id"]).select("query_id", "doc_id", *FEATURES)
+    both = wide.join(F.broadcast(qnorm), "query_id", "left").select("query_id", "doc_id", *[make(p).alias(f"{p}_{k}") for p in PARTS for k, make in of.items()])
+    return both.join(own, ["query_id", "doc_id"]).select("query_id", "doc_id", *wanted)
 
 
-def normalized(features: DataFrame, columns: list[str], by: str = "query_id") -> DataFrame:
-    """Each column between its least and greatest in the query's group; 0 where they are equal."""
-    whole = Window.partitionBy(by)
+def normalized(features: DataFrame, columns: list[str], by: str = "query_id", written: bool = False) -> DataFrame:
+    """Each column between its least and greatest in the query's group; 0 where they are equal.
+
+    Of a ``written`` table with large groups the extremes are found first and joined, so that no task gets a group.
+    """
     others = [c for c in features.columns if c not in columns]
+    if written:
+        limits = features.groupBy(F.col(by).alias("_by")).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
+        met = features.join(F.broadcast(limits), F.col(by).eqNullSafe(F.col("_by")))
+        return met.select(*others, *[F.round(min_max(F.col(c), F.col(f"_low_{c}"), F.col(f"_high_{c}")), 6).alias(c) for c in columns])
+    whole = Window.partitionBy(by)
     return features.select(*others, *[F.round(min_max(F.col(c), F.min(c).over(whole), F.max(c).over(whole)), 6).alias(c) for c in columns])
 
 

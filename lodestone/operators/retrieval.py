@@ -42,12 +42,13 @@ def counted(docs: DataFrame, tokens: Column, key: str = "doc_id", name: str = "t
     return out.groupBy(key, "dl", name).agg(F.sum("tf").alias("tf"))
 
 
-def with_term(posting: DataFrame, terms: DataFrame, on: str = "term", head: int = HEAD) -> DataFrame:
+def with_term(posting: DataFrame, terms: DataFrame, on: str | list[str] = "term", head: int = HEAD) -> DataFrame:
     """Postings with the columns of ``terms`` (on, df, ...), a written table.
 
     The most frequent terms, at most ``head``, are broadcast; only postings of the others, which no task has many of,
     are shuffled.
     """
+    on = [on] if isinstance(on, str) else on
     bits = terms.groupBy(F.length(F.bin("df")).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()  # 64 rows at most
     taken, cut = 0, None
     for row in bits:
@@ -59,7 +60,7 @@ def with_term(posting: DataFrame, terms: DataFrame, on: str = "term", head: int
     common = posting.join(F.broadcast(terms.where(F.col("df") >= cut)), on)
     if cut == 1 << (bits[-1].b - 1):
         return common
-    rare = posting.join(F.broadcast(terms.where(F.col("df") >= cut).select(on)), on, "left_anti").join(terms.where(F.col("df") < cut), on)
+    rare = posting.join(F.broadcast(terms.where(F.col("df") >= cut).select(*on)), on, "left_anti").join(terms.where(F.col("df") < cut), on)
     return common.unionByName(rare)
 
 

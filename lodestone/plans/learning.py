@@ -89,7 +89,9 @@ def _learn_candidates(spark, sf):
     """A first stage by page number: each page is a candidate of a quarter of the queries."""
     pages = table(spark, sf, "pages")
     ids = F.filter(F.sequence(F.lit(0), F.lit(len(LEARN_QUERIES) - 1)), lambda q: (F.col("page_id") + q) % 4 == 0)
-    return pages.select(F.explode(ids).alias("query_id"), F.col("page_id").alias("doc_id"), W.main_text(F.col("html")).alias("body"), W.title(F.col("html")).alias("title"), "url")
+    # Texts first, so that a page is read once and not for each of its queries.
+    texts = pages.select(ids.alias("ids"), F.col("page_id").alias("doc_id"), W.main_text(F.col("html")).alias("body"), W.title(F.col("html")).alias("title"), "url")
+    return texts.select(F.explode("ids").alias("query_id"), "doc_id", "body", "title", "url")
 
 
 def _judged(rows):
@@ -102,7 +104,7 @@ def _training(spark, sf):
     candidates = _learn_candidates(spark, sf)
     features = materialise(K.lexical_features(candidates, spark.createDataFrame(LEARN_QUERIES, "query_id int, text string")), "features")
     scored = features.select("query_id", "doc_id", F.col("title_sum_tfidf").alias("score"))
-    return L.training_rows(scored, K.normalized(features, K.FEATURES), _judged(features))
+    return L.training_rows(scored, K.normalized(features, K.FEATURES, written=True), _judged(features))
 
 
 @query("ltr_training_set", f"WITH {features_sql(LEARN_CANDIDATES, LEARN_QUERIES, [('zzz', 'zzz')])} SELECT query_id, doc_id, (CASE WHEN body_sum_tf >= 6 THEN 3 WHEN body_sum_tf >= 3 THEN 2 WHEN body_sum_tf >= 1 THEN 1 ELSE 0 END)::INTEGER AS label, title_sum_tfidf AS score, " + ", ".join(f"round(coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0), 6) AS {c}" for c in K.FEATURES) + " FROM allf WINDOW w AS (PARTITION BY query_id)")

@@ -10,6 +10,7 @@ from ..operators import ranking as K
 from ..operators import retrieval as R
 from ..sources import writers
 from ..sources.readers import table
+from ..storage import materialise
 from .common import HOST, MAIN_TEXT, POSTINGS, SPACE, TITLE, TOKENS, query, tok
 
 #: Demonstration queries: words of the invented test corpus.
@@ -242,9 +243,9 @@ def _candidates(spark, sf):
     return pages.select((F.col("page_id") % 3).cast("int").alias("query_id"), F.col("page_id").alias("doc_id"), W.main_text(F.col("html")).alias("body"), W.title(F.col("html")).alias("title"), "url")
 
 
-def _features(spark, sf):
+def _features(spark, sf, wanted=K.FEATURES):
     queries = spark.createDataFrame(FEATURE_QUERIES, "query_id int, text string")
-    return K.lexical_features(_candidates(spark, sf), queries, spark.createDataFrame(SYNONYMS, "term string, synonym string"))
+    return K.lexical_features(_candidates(spark, sf), queries, spark.createDataFrame(SYNONYMS, "term string, synonym string"), wanted=wanted)
 
 
 def _simple(x: str) -> str:
@@ -289,7 +290,7 @@ COLUMNS = K.FEATURES
 def _feature_query(name: str, wanted: list[str]):
     @query(name, f"WITH {FEATURES_SQL} SELECT query_id, doc_id, {', '.join(wanted)} FROM allf")
     def run(spark, sf):
-        return _features(spark, sf).select("query_id", "doc_id", *wanted)
+        return _features(spark, sf, wanted)
 
     return run
 
@@ -302,7 +303,7 @@ _feature_query("feat_embedding", [c for c in COLUMNS if c.endswith("embedding")]
 
 @query("feat_normalized", f"WITH {FEATURES_SQL} SELECT query_id, doc_id, " + ", ".join(f"round(coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0), 6) AS {c}" for c in COLUMNS) + " FROM allf WINDOW w AS (PARTITION BY query_id)")
 def feat_normalized(spark, sf):
-    return K.normalized(_features(spark, sf), COLUMNS)
+    return K.normalized(materialise(_features(spark, sf), "features"), COLUMNS, written=True)
 
 
 @query("feat_cosine_dense", "SELECT e.vec_id, q.vec_id AS query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 3) q")

@@ -226,3 +226,20 @@ def test_ranks_of_a_large_graph_are_not_broadcast(spark, monkeypatch):
     large = ranks()
     assert {r.node: r.rank for r in large.collect()} == pytest.approx(small)
     assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_move_no_terms_that_they_can_do_without(spark):
+    rows = [(q, d, f"the {w} rean {w}", w, f"https://h.org/{w}") for q in (0, 1) for d, w in enumerate(("onsh", "erth", "anst", "", "onsh"))]
+    candidates = spark.createDataFrame(rows, "query_id int, doc_id int, body string, title string, url string")
+    queries = spark.createDataFrame([(0, "the onsh"), (1, "erth zzz")], "query_id int, text string")
+    alone = [c for c in ranking.FEATURES if c.endswith("embedding")]
+    part = ranking.lexical_features(candidates, queries, wanted=alone)
+    assert shuffles(part) == 0
+    whole = ranking.lexical_features(candidates, queries)
+    assert shuffles(whole) <= 4
+    held = {(r.query_id, r.doc_id): r.asDict() for r in whole.collect()}
+    assert len(held) == 10 and all(held[r.query_id, r.doc_id][c] == r[c] for r in part.collect() for c in alone)
+    assert held[0, 0]["body_sum_tf"] == 3 and held[1, 1]["body_sum_tf"] == 2 and held[1, 0]["body_sum_tf"] == 0
+    by_window, by_join = (sorted(map(tuple, ranking.normalized(whole, ranking.FEATURES, written=w).collect())) for w in (False, True))
+    assert by_window == by_join
+    assert "Window" not in ranking.normalized(whole, ranking.FEATURES, written=True)._jdf.queryExecution().optimizedPlan().toString()
